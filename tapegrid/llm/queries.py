@@ -8,18 +8,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapegrid.llm import ball_tree, hilbert_sharding, language_id, pattern_packing, token_counts
+from tapegrid.llm import ball_tree, decontamination, hilbert_sharding, language_id, near_dedup, pattern_packing, secret_forest, site_quality, token_counts
 from tapegrid.llm.common import table
 
 
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    evidence = site_quality.fit_documents(docs, table(spark, sf_dir, "labels"))
+    return site_quality.site_quality(docs, evidence, F.col("source"), F.col("lang"))
+
+
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op7_coordinate_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), similarity_percent=85)
+
+
 def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_sharding.hilbert_shards(table(spark, sf_dir, "documents"), ["lang", "source", "n_chars", "doc_id"], shards=40)
 
@@ -37,8 +55,12 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_spaced_seed_decontamination,
         op3_ball_tree_top_k,
+        op4_site_quality,
+        op5_secret_forest,
         op6_token_counts,
+        op7_coordinate_near_dedup,
         op8_hilbert_sharding,
         op9_pattern_packing,
         op10_rank_order_language,
