@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapegrid.llm.common import words
+from tapegrid.llm.common import cut_lineage, words
 
 #: Five words each; a 0 is a position that may differ.
 MASKS = ("1110101", "110010011")
 #: Words of a passage that are compared around a hit; shorter items whole.
 WINDOW = 25
 SIMILARITY = 0.8
-#: Test seeds that are broadcast at most (each about 1 KB with its item's words); more are joined by a shuffle.
+#: Rows of seeds, or of hits, that are broadcast at most (under 400 bytes each); more are joined by a shuffle.
 MAX_BROADCAST = 200_000
 
 
-def _key(array: str, at: F.Column, mask: str) -> F.Column:
-    """Hash of the words under the mask from position at; null where the mask doesn't fit."""
-    picked = [F.get(F.col(array), at + k) for k, m in enumerate(mask) if m == "1"]
-    return F.when(at + len(mask) <= F.size(array), F.xxhash64(F.lit(mask), *picked))
+def _seeds(df: DataFrame, masks: list[str]) -> DataFrame:
+    """df with a row (at, seed) for each position of `words` and mask that fits there; the seed is the hash of the words under the mask."""
+    at = F.col("at")
+    keys = [F.when(at + len(m) <= F.size("words"), F.xxhash64(F.lit(m), *[F.get("words", at + k) for k, c in enumerate(m) if c == "1"])) for m in masks]
+    placed = df.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
+    return placed.withColumn("seed", F.explode(F.array(*keys))).where("seed IS NOT NULL")
 
 
-def _seeds(df: DataFrame, array: str, masks: list[str]) -> DataFrame:
-    """df with a row (at, seed) for each position and mask that fits there."""
-    placed = df.withColumn("at", F.explode(F.sequence(F.lit(0), F.size(array) - 1)))
-    return placed.withColumn("seed", F.explode(F.array(*[_key(array, F.col("at"), m) for m in masks]))).where("seed IS NOT NULL")
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """df with a hint to broadcast it, if it has no more rows than that."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, window: int = WINDOW, masks: tuple[str, ...] = MASKS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -44,37 +45,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     null ids take part with a null id; repeated rows are merged into one; other
     columns are left out; empty tables give an empty one.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("item_words")).where("size(item_words) > 0").distinct()
+    items = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("words")).where("size(words) > 0").distinct()
     longest = max(map(len, masks))
     # How long the items below the longest mask are: at most as many numbers as the mask has places.
-    short = sorted(r[0] for r in items.where(F.size("item_words") < longest).select(F.size("item_words")).distinct().collect())
+    short = sorted(r[0] for r in items.where(F.size("words") < longest).select(F.size("words")).distinct().collect())
     whole = ["1" * n for n in short]
-    long_seeds = _seeds(items.where(F.size("item_words") >= longest), "item_words", list(masks))
-    short_items = items.where(F.size("item_words") < longest).withColumn("at", F.lit(0))
-    short_seeds = [short_items.where(F.size("item_words") == len(m)).withColumn("seed", _key("item_words", F.lit(0), m)) for m in whole]
-    tests = long_seeds
-    for part in short_seeds:
-        tests = tests.unionByName(part)
-    tests = tests.withColumnRenamed("at", "item_at").distinct()
-    if tests.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        tests = F.broadcast(tests)
+    tests = _seeds(items.where(F.size("words") >= longest), list(masks))
+    for m in whole:
+        tests = tests.unionByName(_seeds(items.where(F.size("words") == len(m)), [m]))
+    # The window around a seed: where it begins in the item, about centred, and its words.
+    n = F.size("words")
+    compared = F.least(n, F.lit(window))
+    begin = F.greatest(F.least(F.col("at") - F.floor((compared - longest) / 2).cast("int"), n - compared), F.lit(0))
+    tests = tests.select("item", "seed", (F.col("at") - begin).alias("back"), F.slice("words", begin + 1, compared).alias("theirs")).distinct()
+    tests = _small(tests, MAX_BROADCAST)
+
     own = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words")).where("size(words) > 0")
-    hits = _seeds(own, "words", [*masks, *whole]).join(tests, "seed")
+    met = _seeds(own, [*masks, *whole]).select("id", "at", "seed").join(tests, "seed")
+    placed = met.groupBy("id", "item", (F.col("at") - F.col("back")).alias("place"), "theirs").agg(F.count("*").alias("hits"))
+    hits = _small(cut_lineage(placed.withColumnRenamed("id", "hit_id")), MAX_BROADCAST)
 
-    m = F.size("item_words")
-    w = F.least(m, F.lit(window))
-    # Begin of the window in the item, about centred on the hit, and in the document.
-    begin = F.greatest(F.least(F.col("item_at") - F.floor((w - longest) / 2).cast("int"), m - w), F.lit(0))
-    placed = hits.withColumn("compared", w).withColumn("begin", begin).withColumn("place", F.col("at") - F.col("item_at") + F.col("begin"))
-    # What hangs over the document's ends can't match.
-    skipped = F.greatest(-F.col("place"), F.lit(0))
-    length = F.greatest(F.least(F.col("compared"), F.size("words") - F.col("place")) - skipped, F.lit(0))
-    mine = F.slice("words", F.col("place") + skipped + 1, length)
-    theirs = F.slice("item_words", F.col("begin") + skipped + 1, length)
-    matched = F.size(F.filter(F.zip_with(mine, theirs, lambda a, b: a == b), lambda same: same))
-    checked = placed.withColumn("matched", matched).withColumn("similarity", F.col("matched") / F.col("compared")).where(F.col("similarity") >= similarity)
+    # What hangs over the document's ends is null there and can't match.
+    same = [F.coalesce((F.get("words", F.col("place") + k) == F.get("theirs", F.lit(k))).cast("int"), F.lit(0)) for k in range(window)]
+    matched = sum(same[1:], same[0])
+    checked = own.join(hits, F.col("id").eqNullSafe(F.col("hit_id"))).select("id", "item", "place", "hits", F.size("theirs").alias("compared"), matched.alias("matched")).withColumn("similarity", F.col("matched") / F.col("compared")).where(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", "compared", "matched", (-F.col("place")).alias("back")))
-    found = checked.groupBy("id", "item").agg(best.alias("best"), F.count("*").alias("hits"))
+    found = checked.groupBy("id", "item").agg(best.alias("best"), F.sum("hits").alias("hits"))
     return found.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "best.similarity", F.col("best.matched").cast("long").alias("matched"), F.col("best.compared").cast("long").alias("compared"), (-F.col("best.back")).cast("long").alias("at"), "hits"
     )
