@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +43,26 @@ def words(text: str | F.Column) -> F.Column:
     text = F.col(text) if isinstance(text, str) else text
     lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.array_remove(F.split(lowered, SPACE), "")
+
+
+#: Ids of rows to leave out that are broadcast at most (about 16 MB); more are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs less the rows whose id is in ids (one column). Rows with a null id stay; columns and repeated rows stay as they are."""
+    out = cut_lineage(ids.toDF("left_out_id").where("left_out_id IS NOT NULL").distinct())
+    if out.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        out = F.broadcast(out)
+    return docs.join(out, docs[id_col] == out["left_out_id"], "left_anti")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

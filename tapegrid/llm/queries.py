@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapegrid.llm import ball_tree, decontamination, hilbert_sharding, language_id, near_dedup, pattern_packing, secret_forest, site_quality, token_counts
+from tapegrid.llm import ball_tree, decontamination, hilbert_sharding, language_id, near_dedup, pattern_packing, secret_forest, site_quality, substring_dedup, token_counts
 from tapegrid.llm.common import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_suffix_array_dedup,
         op2_spaced_seed_decontamination,
         op3_ball_tree_top_k,
         op4_site_quality,
@@ -80,7 +85,7 @@ SQL: dict[str, str] = {
           FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
         )
         SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
-        QUALIFY row_number() OVER w <= 20
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 20
     """,
 }
