@@ -1,7 +1,7 @@
 """Intraday factors and their rank correlation with later returns.
 
 Definitions are this library's own: names and meanings are public, formulas here.
-All windows stay within a symbol's day.
+All windows stay within a symbol's day. A quotient with a zero below is null.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def bar_panel(bars: DataFrame, adjusted: DataFrame | None = None) -> DataFrame:
     rows = bars.withColumn("vwap", vwap).withColumn("amount", F.col("vwap") * F.col("volume"))
     factor = F.lit(1.0)
     if adjusted is not None:
-        rows = rows.join(adjusted.select("symbol", "trade_date", (F.col("close_adj") / F.col("close")).alias("adj")), ["symbol", "trade_date"], "left")
+        rows = rows.join(adjusted.select("symbol", "trade_date", F.try_divide("close_adj", "close").alias("adj")), ["symbol", "trade_date"], "left")
         factor = F.coalesce("adj", F.lit(1.0))
     bucket = F.when(F.col("minute") <= "10:00", "open").when(F.col("minute") > "15:30", "close").otherwise("mid")
     return rows.withColumns({"close_adj": F.col("close") * factor, "vwap_adj": F.col("vwap") * factor, "session_bucket": bucket, "minute_index": F.row_number().over(_day())}).drop("adj")
@@ -32,17 +32,17 @@ def bar_panel(bars: DataFrame, adjusted: DataFrame | None = None) -> DataFrame:
 def factors(panel: DataFrame) -> DataFrame:
     """panel with the columns of DIRECTIONS; null where a day has too few bars before."""
     close = F.col("close_adj")
-    ret = panel.withColumn("ret", close / F.lag(close, 1).over(_day()) - 1)
+    ret = panel.withColumn("ret", F.try_divide(close, F.lag(close, 1).over(_day())) - 1)
     last20, last10 = _day().rowsBetween(-19, 0), _day().rowsBetween(-9, 0)
-    mom = close / F.lag(close, 20).over(_day()) - 1
-    deviation = F.avg(F.col("vwap_adj") / close - 1).over(last10)
+    mom = F.try_divide(close, F.lag(close, 20).over(_day())) - 1
+    deviation = F.avg(F.try_divide(F.col("vwap_adj"), close) - 1).over(last10)
     flat = F.max(F.abs(F.col("vwap_adj") - close)).over(last10) < 1e-9
     enough = F.col("minute_index") > 20
     out = {
         "mom_20b": mom,
         "rev_20b": -mom,
         "volatility_20b": F.when(enough, F.stddev_samp("ret").over(last20)),
-        "amount_surge_20b": F.when(enough, F.col("amount") / F.nullif(F.avg("amount").over(last20), F.lit(0.0))),
+        "amount_surge_20b": F.when(enough, F.try_divide(F.col("amount"), F.avg("amount").over(last20))),
         "vwap_close_dev_10b": F.when((F.col("minute_index") >= 10) & ~flat, deviation),
     }
     return ret.withColumns(out)
@@ -52,8 +52,8 @@ def forward_returns(panel: DataFrame, horizons: tuple[int, ...] = (1, 4)) -> Dat
     """panel with fwd_{h} (h bars on, within the day) and fwd_eod (to the day's last bar)."""
     close = F.col("close_adj")
     whole = _day().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = {f"fwd_{h}": F.lead(close, h).over(_day()) / close - 1 for h in horizons}
-    return panel.withColumns(out | {"fwd_eod": F.last(close).over(whole) / close - 1})
+    out = {f"fwd_{h}": F.try_divide(F.lead(close, h).over(_day()), close) - 1 for h in horizons}
+    return panel.withColumns(out | {"fwd_eod": F.try_divide(F.last(close).over(whole), close) - 1})
 
 
 def _average_rank(column: str, known: Column) -> Column:
@@ -81,7 +81,7 @@ def combine(rows: DataFrame, directions: dict[str, int] | None = None) -> DataFr
         scores.append(F.when(spread > 0, sign * (F.col(name) - F.avg(name).over(cross)) / spread))
     total = sum((F.coalesce(s, F.lit(0.0)) for s in scores[1:]), F.coalesce(scores[0], F.lit(0.0)))
     known = sum((s.isNotNull().cast("int") for s in scores[1:]), scores[0].isNotNull().cast("int"))
-    return rows.withColumn("combo", total / F.nullif(known, F.lit(0)))
+    return rows.withColumn("combo", F.try_divide(total, known))
 
 
 def liquid_universe(daily: DataFrame, top: int = 200, window: int = 20, min_price: float = 5.0, min_days: int = 60) -> DataFrame:

@@ -127,5 +127,5 @@ def adjusted_close(daily: DataFrame, actions: DataFrame) -> DataFrame:
     days = daily.select("symbol", F.col("trade_date").alias("day"), F.col("close").cast("double").alias("close"), F.lit(1.0).alias("ratio"), F.lit(True).alias("is_bar"))
     later = Window.partitionBy("symbol").orderBy(F.desc("day")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     same_day = Window.partitionBy("symbol", "day")
-    summed = days.unionByName(splits).withColumn("later_ratio", F.product("ratio").over(later) / F.product("ratio").over(same_day))
-    return summed.where("is_bar").select("symbol", F.col("day").alias("trade_date"), "close", (F.col("close") / F.col("later_ratio")).alias("close_adj"))
+    summed = days.unionByName(splits).withColumn("later_ratio", F.try_divide(F.product("ratio").over(later), F.product("ratio").over(same_day)))
+    return summed.where("is_bar").select("symbol", F.col("day").alias("trade_date"), "close", F.try_divide("close", "later_ratio").alias("close_adj"))

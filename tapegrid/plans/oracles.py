@@ -147,12 +147,12 @@ FACTORS = """eb AS (
 ), pan AS (
   SELECT symbol, trade_date, minute, "close", vwap, vwap * volume AS amount, row_number() OVER d AS minute_index,
     CASE WHEN minute <= '10:00' THEN 'open' WHEN minute > '15:30' THEN 'close' ELSE 'mid' END AS session_bucket,
-    "close" / lag("close", 1) OVER d - 1 AS ret, "close" / lag("close", 20) OVER d - 1 AS mom_20b,
-    lead("close", 1) OVER d / "close" - 1 AS fwd_1, lead("close", 4) OVER d / "close" - 1 AS fwd_4, last_value("close") OVER (d ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / "close" - 1 AS fwd_eod
+    "close" / nullif(lag("close", 1) OVER d, 0) - 1 AS ret, "close" / nullif(lag("close", 20) OVER d, 0) - 1 AS mom_20b,
+    lead("close", 1) OVER d / nullif("close", 0) - 1 AS fwd_1, lead("close", 4) OVER d / nullif("close", 0) - 1 AS fwd_4, last_value("close") OVER (d ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / nullif("close", 0) - 1 AS fwd_eod
   FROM eb WINDOW d AS (PARTITION BY symbol, trade_date ORDER BY minute)
 ), fac AS (
   SELECT *, -mom_20b AS rev_20b, CASE WHEN minute_index > 20 THEN stddev_samp(ret) OVER d20 END AS volatility_20b, CASE WHEN minute_index > 20 THEN amount / nullif(avg(amount) OVER d20, 0) END AS amount_surge_20b,
-    CASE WHEN minute_index >= 10 AND max(abs(vwap - "close")) OVER d10 >= 1e-9 THEN avg(vwap / "close" - 1) OVER d10 END AS vwap_close_dev_10b
+    CASE WHEN minute_index >= 10 AND max(abs(vwap - "close")) OVER d10 >= 1e-9 THEN avg(vwap / nullif("close", 0) - 1) OVER d10 END AS vwap_close_dev_10b
   FROM pan WINDOW d20 AS (PARTITION BY symbol, trade_date ORDER BY minute ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), d10 AS (PARTITION BY symbol, trade_date ORDER BY minute ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)
 )"""
 
@@ -215,13 +215,13 @@ SQL = {
       dot AS (SELECT replace(symbol, '.', '') AS plain, min(symbol) AS native FROM listing WHERE contains(symbol, '.') GROUP BY 1 HAVING count(*) = 1)
       SELECT c_custkey, CASE WHEN a.symbol NOT IN (SELECT symbol FROM listing) AND native IS NOT NULL THEN native ELSE a.symbol END AS symbol FROM act a LEFT JOIN dot ON plain = a.symbol""",
     "adjusted_close": f"""WITH {ACTIONS}, {PRICES}, r AS (SELECT symbol, ex_date, product(split_ratio) AS ratio FROM sp WHERE ex_date LIKE '1996-%' GROUP BY 1, 2)
-      SELECT p.symbol, trade_date, round("close", 8) AS "close", round("close" / coalesce(product(ratio), 1.0), 8) AS close_adj FROM prices p LEFT JOIN r ON r.symbol = p.symbol AND trade_date < ex_date GROUP BY p.symbol, trade_date, "close" """,
+      SELECT p.symbol, trade_date, round("close", 10) AS "close", round("close" / coalesce(product(ratio), 1.0), 10) AS close_adj FROM prices p LEFT JOIN r ON r.symbol = p.symbol AND trade_date < ex_date GROUP BY p.symbol, trade_date, "close" """,
     "trading_calendar": f"WITH {calendar('2024-01-01', '2024-12-31')} SELECT * FROM cal",
     "minute_grid": feat("SELECT condition_id, trade_date, ts, strftime(ts, '%H:%M') AS minute FROM grid"),
     "missing_days": f"""WITH {CN}, {calendar('2024-01-01', '2024-03-31')}, s AS (SELECT symbol, min(trade_date) AS a, max(trade_date) AS b FROM cn_day GROUP BY 1)
       SELECT symbol, trade_date FROM s JOIN cal ON trade_date BETWEEN a AND b WHERE (symbol, trade_date) NOT IN (SELECT (symbol, trade_date) FROM cn_day)""",
     "trades_et": f"WITH {tape('event_type')} SELECT condition_id, event_id, et AS et_ts, resolved_et, round(p_event, 6) AS p_event, round(d * usdc_amount, 6) AS signed FROM tr",
-    "minute_flow": f"WITH {tape('user_id')} SELECT condition_id, date_trunc('minute', utc) AS m, round(arg_max(p_event, event_id + epoch(utc) * 100000000), 6) AS p, round(sum(d * usdc_amount), 6) AS net, round(sum(usdc_amount), 6) AS usdc, count(*) AS n FROM tr GROUP BY 1, 2",
+    "minute_flow": f"WITH {tape('user_id')} SELECT condition_id, date_trunc('minute', utc) AS m, round(arg_max(p_event, CAST(epoch(utc) AS BIGINT) * 10000000 + event_id), 6) AS p, round(sum(d * usdc_amount), 6) AS net, round(sum(usdc_amount), 6) AS usdc, count(*) AS n FROM tr GROUP BY 1, 2",
     "market_features": feature_columns(_ALL),
     "asof_locf": feature_columns("p"),
     "dp_intraday": feature_columns("dp_intraday"),
@@ -256,7 +256,7 @@ SQL = {
         for c in cs.split()
     ),
     "input_manifest": "SELECT CAST(year(ts) AS INTEGER) AS year, count(*) AS n_rows FROM events GROUP BY 1",
-    "factor_panel": f"WITH {FACTORS} SELECT symbol, trade_date, minute, CAST(minute_index AS INTEGER) AS minute_index, session_bucket, {_r(' '.join(_ZS) + ' fwd_1 fwd_4 fwd_eod', 6)} FROM fac",
+    "factor_panel": f"WITH {FACTORS} SELECT symbol, trade_date, minute, CAST(minute_index AS INTEGER) AS minute_index, session_bucket, {_r(' '.join(_ZS) + ' fwd_1 fwd_4 fwd_eod', 10)} FROM fac",
     "factor_rank_ic": f"""WITH {FACTORS}, hour AS (SELECT trade_date, rev_20b AS x, fwd_4 AS y FROM fac WHERE substr(minute, 1, 2) = '10' AND rev_20b IS NOT NULL AND fwd_4 IS NOT NULL),
         k AS (SELECT trade_date, rank() OVER (PARTITION BY trade_date ORDER BY x) + (count(*) OVER (PARTITION BY trade_date, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY trade_date ORDER BY y) + (count(*) OVER (PARTITION BY trade_date, y) - 1) / 2.0::DOUBLE AS ry FROM hour)
         SELECT trade_date, count(*) AS n, round(CASE WHEN count(*) > 1 THEN corr(rx, ry) END, 6) AS ic FROM k GROUP BY 1""",

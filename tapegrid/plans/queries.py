@@ -222,7 +222,7 @@ def remap_symbols(spark, sf_dir):
 @query
 def adjusted_close(spark, sf_dir):
     actions = securities.corporate_actions(D.splits(spark, sf_dir).where("ex_date LIKE '1996-%'"), D.dividends(spark, sf_dir))
-    return rounded(securities.adjusted_close(D.daily_prices(spark, sf_dir), actions), 8)
+    return rounded(securities.adjusted_close(D.daily_prices(spark, sf_dir), actions), 10)
 
 
 # --- calendar
@@ -378,7 +378,7 @@ def _by_hour(rows):
 
 @query
 def factor_panel(spark, sf_dir):
-    return rounded(_factor_rows(spark, sf_dir).select("symbol", "trade_date", "minute", "minute_index", "session_bucket", *factors.DIRECTIONS, "fwd_1", "fwd_4", "fwd_eod"))
+    return rounded(_factor_rows(spark, sf_dir).select("symbol", "trade_date", "minute", "minute_index", "session_bucket", *factors.DIRECTIONS, "fwd_1", "fwd_4", "fwd_eod"), 10)
 
 
 @query
