@@ -91,10 +91,12 @@ def overnight_flow(flow: DataFrame, days: DataFrame) -> DataFrame:
     nights = days.select("condition_id", "trade_date", F.lag("close_utc").over(in_order).alias("night_from"), F.col("open_utc").alias("night_to"))
     marks = nights.select("condition_id", F.col("night_to").alias("m"), "trade_date", "night_from", F.lit(0).alias("kind"))
     rows = flow.select("condition_id", "m", F.lit(None).cast("string").alias("trade_date"), F.lit(None).cast("timestamp_ntz").alias("night_from"), F.lit(1).alias("kind"), "net", "usdc", "n")
-    after = Window.partitionBy("condition_id").orderBy("m", F.desc("kind")).rowsBetween(1, Window.unboundedFollowing)
-    # The first opening after a minute is that of the night, or of the session, that it lies in; one at the same minute isn't after it.
+    # Backwards in time, the last opening met is the first after a minute. (A frame that
+    # runs to the end of its partition would be computed anew for each row.) An opening
+    # at the same minute isn't after it: such trades belong to the session.
+    backwards = Window.partitionBy("condition_id").orderBy(F.desc("m"), "kind").rowsBetween(Window.unboundedPreceding, -1)
     mixed = marks.unionByName(rows, allowMissingColumns=True)
-    opening = F.first(F.when(F.col("kind") == 0, F.struct("trade_date", "night_from", "m")), ignorenulls=True).over(after)
+    opening = F.last(F.when(F.col("kind") == 0, F.struct("trade_date", "night_from", "m")), ignorenulls=True).over(backwards)
     placed = mixed.withColumn("opening", opening).where("kind = 1 AND opening IS NOT NULL AND opening.m > m AND m >= opening.night_from")
     sums = placed.groupBy("condition_id", F.col("opening.trade_date").alias("trade_date")).agg(F.sum("net").alias("net"), F.sum("usdc").alias("usdc"), F.sum("n").alias("n"))
     joined = nights.join(sums, ["condition_id", "trade_date"], "left")
