@@ -1,0 +1,102 @@
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tapegrid.llm import decontamination, near_dedup, secret_forest, site_quality
+from tapegrid.llm.common import table, without
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, score string, keep int"
+
+
+def test_held_out_quality(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    even = labels.where("doc_id % 2 = 0")
+    found = site_quality.site_quality(docs, site_quality.fit_documents(docs, even), F.col("source"), F.col("lang"))
+    odd = found.join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    assert len(odd) > 100 and (odd.keep == (odd.quality == 1)).mean() > 0.97
+
+
+def test_sparse_sites_take_the_share_above_them(spark):
+    evidence = site_quality.fit(np.array([[1.0, -1], [1, 1], [1, -2], [1, 2], [1, 0.2], [1, -0.2]]), np.array([0, 1, 0, 1, 0, 1]))
+
+    class Sign:
+        prior = 0.0
+
+        def __call__(self, texts):
+            return np.array([4.0 if t.startswith(b"good") else -4.0 if t.startswith(b"bad") else 0.0 for t in texts])
+
+    assert evidence.prior == 0
+    rows = [(k, "bad" if k % 10 else "good", "spam", "p", 1, "x", 1) for k in range(200)] + [(300 + k, "good" if k % 10 else "bad", "fine", "p", 1, "x", 1) for k in range(200)]
+    rows += [(600, "", "spam", "p", 1, "x", 1), (601, "", "fine", "p", 1, "x", 1), (602, None, "new", None, 1, "x", 1), (603, "", "spam", "new", 1, "x", 1), (None, "good", None, None, 1, "x", 1)]
+    found = {r.doc_id: r for r in site_quality.site_quality(spark.createDataFrame(rows, SCHEMA), Sign(), F.col("source"), F.col("lang")).collect()}
+    assert len(found) == 401 + 4
+    assert found[600].score < 0.2 and found[601].score > 0.8
+    assert 0.3 < found[602].score < 0.7 and found[603].score < 0.35
+    assert found[None].keep and (found[None].host, found[None].path) == ("", "")
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    evidence = site_quality.fit_documents(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert site_quality.site_quality(docs, evidence, F.col("source"), F.col("lang")).collect() == []
+    assert secret_forest.secrets(docs).collect() == []
+    assert secret_forest.redacted(docs, secret_forest.secrets(docs)).columns == docs.columns
+
+
+def test_planted_secrets_are_found_and_numbers_are_left(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    form = re.compile(r'(?:password=|token = ")([0-9a-f]{18,})|(AKIA[A-Z0-9]{16})')
+    planted = {(r.doc_id, a or b) for r in docs.collect() for a, b in form.findall(r.text)}
+    found = {(r.doc_id, r.finding) for r in secret_forest.secrets(docs).collect()}
+    assert planted and planted <= found
+    assert not [x for x in found if re.fullmatch(r"[0-9]+", x[1])]
+
+
+def test_forest_and_redaction_of_odd_rows(spark):
+    keys = [f"AKIA{'ABCDEFGHIJKLMNOP'[k:]}{'Q2W3E4R5T6Y7U8I9'[:k]}" for k in range(4, 12)]
+    rows = [(k, f"lorem ipsum {key} dolor", "a.py", "en", 1, "x", 1) for k, key in enumerate(keys)]
+    rows += [(100 + k, f"call {4000000000000000 + 7919 * k} now", "b", "en", 1, "x", 1) for k in range(30)]
+    rows += [(200, 'x = 1; api_key: "aB3dE5fG7hI9jK1l" end', "c", "en", 42, "x", 1), (201, None, None, None, None, None, None), (202, "", "", "", 0, "", 0), (None, f"id {keys[0]}", "d", "en", 15, "x", 1), (200, 'x = 1; api_key: "aB3dE5fG7hI9jK1l" end', "c", "en", 42, "x", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = secret_forest.secrets(docs)
+    got = {(r.doc_id, r.finding): r.n for r in found.collect()}
+    assert set(got) == {(k, key) for k, key in enumerate(keys)} | {(200, "aB3dE5fG7hI9jK1l"), (None, keys[0])} and got[200, "aB3dE5fG7hI9jK1l"] == 2
+    clean = secret_forest.redacted(docs, found)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    text = {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}
+    assert text[0] == ("lorem ipsum [SECRET] dolor", 26) and text[105] == (rows[13][1], 1) and text[201] == (None, None)
+    assert text[200][0] == 'x = 1; api_key: "[SECRET]" end'
+
+
+def test_without(spark):
+    docs = spark.createDataFrame([(1, "a", "s", "l", 1, "x", 1), (1, "a", "s", "l", 1, "x", 1), (2, "b", "s", "l", 1, "x", 1), (None, "c", "s", "l", 1, "x", 1)], SCHEMA)
+    out = without(docs, spark.createDataFrame([(1,), (None,), (9,)], "id long"))
+    assert sorted((r.doc_id for r in out.collect()), key=str) == [2, None] and out.columns == docs.columns
+
+
+def test_stages_take_effect(spark):
+    docs = table(spark, SF, "documents")
+    labels = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
+    before = {r.doc_id: r for r in docs.collect()}
+    good = corpus_pipeline.quality(spark, docs, SF)
+    kept = {r.doc_id for r in good.collect()}
+    assert good.columns == docs.columns
+    judged = [(labels[i] == 1) == (i in kept) for i in before if labels.get(i) is not None]
+    assert sum(judged) >= 0.98 * len(judged)
+    single = corpus_pipeline.deduplicate(spark, good, SF)
+    groups = near_dedup.near_duplicates(good, 80).toPandas()
+    assert {r.doc_id for r in single.collect()} == set(groups.component_id)
+    clean = corpus_pipeline.decontaminate(spark, single, SF)
+    leaks = {r.doc_id for r in decontamination.contaminated(single, table(spark, SF, "benchmark")).collect()}
+    items = [" ".join(r.text.lower().split()) for r in table(spark, SF, "benchmark").collect()]
+    whole = {r.doc_id for r in single.collect() if any(i in " ".join(r.text.lower().split()) for i in items)}
+    ids = {r.doc_id for r in clean.collect()}
+    assert whole <= leaks and ids == {r.doc_id for r in single.collect()} - leaks
+    safe = corpus_pipeline.redact(spark, clean, SF).collect()
+    assert {r.doc_id for r in safe} == ids and not [r for r in safe if re.search(r"AKIA[A-Z0-9]{16}", r.text)]
+    assert all(r == before[r.doc_id] for r in safe if "[SECRET]" not in r.text)
+    assert sum("[SECRET]" in r.text for r in safe) > 0
+    assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None

@@ -24,7 +24,8 @@ def test_units_give_the_library_s_counts_and_ids():
     byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
     for text in odd_texts(600, 30):
         assert int(counter.encode(text)[1][-1]) == len(byte.encode(text, add_special_tokens=False)), text
-        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == word.encode(text, add_special_tokens=False).ids, text
+        encoder.learn(units := encoder.units(text))
+        assert np.frombuffer(encoder.ids(units), "<u4").tolist() == word.encode(text, add_special_tokens=False).ids, text
 
 
 @pytest.mark.parametrize("chunk,overlap", [(64, 40), (100, 16), (300, 64)])
