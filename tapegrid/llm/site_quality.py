@@ -29,8 +29,14 @@ _CLASSES[[9, 10, 11, 12, 13, 32], 4] = 1
 _CLASSES[124, 5] = 1
 
 
+#: Texts whose words are held at a time.
+PART = 256
+
+
 def features(texts: list[bytes]) -> np.ndarray:
     """A row of FEATURES for each text; an empty text has the bias alone."""
+    if len(texts) > PART:
+        return np.concatenate([features(texts[at : at + PART]) for at in range(0, len(texts), PART)])
     h, _, size, first = word_hashes(texts)
     out = np.zeros((len(texts), len(FEATURES)))
     out[:, 0] = 1
