@@ -18,7 +18,7 @@ from tapegrid.llm.unit_tokens import UnitIds
 CAPACITY = 4096
 END_ID = 1
 #: Groups into which the rows of one length are dealt for numbering.
-SALTS = 64
+SALTS = 16
 #: Lengths tried as the second of three documents, and the third of four, of a pattern.
 GRID = 24
 _END = np.array([END_ID], "<u4").tobytes()
@@ -36,10 +36,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             texts = [t or "" for t in batch.column(1).to_pylist()]
             out: tuple[list, ...] = ([], [], [], [], [])
             for at in range(0, len(texts), 64):
-                part = texts[at : at + 64]
-                encoder.learn({u for t in part for u in encoder.units(t)})
-                for k, text in enumerate(part):
-                    ids = encoder.ids(text) + _END
+                part = [encoder.units(t) for t in texts[at : at + 64]]
+                encoder.learn([u for units in part for u in units])
+                for k, units in enumerate(part):
+                    ids = encoder.ids(units) + _END
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[start : start + 4 * capacity]
                         for column, value in zip(out, (at + k, piece, start // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):

@@ -1,8 +1,8 @@
 """Exact token ids and counts of a public tokenizer, by memorised units.
 
 Both tokenizers cut a text at white space before they merge, so a text is a row
-of units whose tokens don't depend on their neighbours. Each Python worker keeps
-the tokens of the units that it has met, up to a fixed number, and asks the
+of units whose tokens don't depend on their neighbours. Each Python worker
+keeps the tokens of the units that it has met, up to a fixed number, and asks the
 library only for new ones.
 """
 
@@ -10,11 +10,16 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 
-#: Units that a worker keeps before it starts again.
+#: Units that a worker keeps (about 150 bytes each); beyond, the older half goes.
 MEMO_UNITS = 600_000
+#: Marks that, alone after a word of Latin letters, are a unit of their own.
+_MARKS = ",.;:!?"
+_LATIN_END = "\u0250"
 #: Of GPT-2's rule: a run of other characters with one space before it, or white space up to such a run.
 _UNIT = re.compile("(?: ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+)")
 #: White space besides the four above; a text with one of these goes to the library whole.
@@ -35,6 +40,41 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+def _make_room(memo: dict) -> None:
+    for unit in list(islice(memo, len(memo) // 2)):
+        del memo[unit]
+
+
+def _word_and_mark(unit: str) -> tuple[str, str]:
+    """A unit of Latin letters, with or without a space before it, and one mark after it, in two; else the unit and ''.
+
+    Letters and other characters are never merged, so the tokens of both parts are those of the whole.
+    """
+    if unit[-1] in _MARKS and (unit[1:-1] if unit[0] == " " else unit[:-1]).isalpha() and max(unit) < _LATIN_END:
+        return unit[:-1], unit[-1]
+    return unit, ""
+
+
+def _encoded(tok, special: list[str], units: list[str]) -> Iterator[tuple[list[str], bytes, list[int]]]:
+    """Some units at a time: the units, their ids one after the other, and where each unit's bytes end there.
+
+    Many units go in one text with a special token between, which parts a text
+    before anything else is done to it; the special token's own id stands before
+    each unit but the first.
+    """
+    mark = special[0]
+    number = tok.token_to_id(mark)
+    alone = {u for u in units if any(x in u for x in special)}
+    joined = [u for u in units if u not in alone]
+    for at in range(0, len(joined), 1000):
+        part = joined[at : at + 1000]
+        ids = np.array(tok.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+        yield part, ids.tobytes(), [*(4 * np.flatnonzero(ids == number)).tolist(), 4 * len(ids)]
+    for u in alone:
+        ids = np.array(tok.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
+        yield [u], ids, [len(ids)]
+
+
 class UnitCounter:
     """Token counts under a byte-level vocabulary whose pre-tokenizer is GPT-2's."""
 
@@ -49,13 +89,23 @@ class UnitCounter:
         return len(self.tok.encode(text, add_special_tokens=False))
 
     def learn(self, units: list[str]) -> None:
-        new = [u for u in dict.fromkeys(units) if u not in self.memo]
-        if len(self.memo) + len(new) > MEMO_UNITS:
-            self.memo.clear()
-            new = list(dict.fromkeys(units))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.memo.update(zip(part, map(len, self.tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        memo = self.memo
+        new = set(units).difference(memo)
+        if not new:
+            return
+        if len(memo) + 2 * len(new) > MEMO_UNITS:
+            _make_room(memo)
+            new = set(units).difference(memo)
+        parts = {u: _word_and_mark(u) for u in new}
+        ask = [x for x in dict.fromkeys(x for pair in parts.values() for x in pair) if x and x not in memo]
+        for part, _, ends in _encoded(self.tok, self.special, ask):
+            start = 0
+            for u, end in zip(part, ends, strict=True):
+                memo[u] = (end - start) // 4
+                start = end + 4
+        for u, (word, mark) in parts.items():
+            if mark:
+                memo[u] = memo[word] + memo[mark]
 
     def units(self, text: str) -> list[str]:
         return _UNIT.findall(text)
@@ -83,28 +133,35 @@ class UnitIds:
     """Token ids, as little-endian 32-bit bytes, under a vocabulary that drops white space."""
 
     def __init__(self, path: str):
-        self.tok, self.memo, _ = tokenizer(path)
+        self.tok, self.memo, self.special = tokenizer(path)
         self.memo[""] = b""
 
     @staticmethod
     def units(text: str) -> list[str]:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
-    def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.memo]
-        if len(self.memo) + len(new) > MEMO_UNITS:
-            self.memo.clear()
-            self.memo[""] = b""
-            new = [u for u in units if u]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for u, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[u] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        units = self.units(text)
-        try:
-            return b"".join(map(self.memo.__getitem__, units))
-        except KeyError:
-            self.learn(set(units))
-            return b"".join(map(self.memo.__getitem__, units))
+    def learn(self, units: list[str]) -> None:
+        memo = self.memo
+        new = set(units).difference(memo)
+        if not new:
+            return
+        if len(memo) + 3 * len(new) > MEMO_UNITS:
+            _make_room(memo)
+            memo[""] = b""
+            new = set(units).difference(memo)
+        parts = {}
+        for u in new:
+            word, mark = _word_and_mark(u)
+            # The vocabulary has small letters only; those of Latin-1 have one small form each.
+            parts[u] = (word.lower() if word.isalpha() and max(word) < "\u0100" else word, mark)
+        ask = [x for x in dict.fromkeys(x for pair in parts.values() for x in pair) if x not in memo]
+        for part, ids, ends in _encoded(self.tok, self.special, ask):
+            start = 0
+            for u, end in zip(part, ends, strict=True):
+                memo[u] = ids[start:end]
+                start = end + 4
+        for u, (word, mark) in parts.items():
+            memo[u] = memo[word] + memo[mark]
+
+    def ids(self, units: list[str]) -> bytes:
+        return b"".join(map(self.memo.__getitem__, units))
