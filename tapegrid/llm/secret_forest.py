@@ -42,22 +42,48 @@ FEATURES = (
 )
 
 
+# A name with its sign of assignment, and the secrets' names that values of any form may follow.
+_SIGN = r"[\"']?+[\x20\x09]{0,3}+[:=][\x20\x09]{0,3}+[\"']?+"
+_RUN_START = r"(?<![A-Za-z0-9+/_\-])"
+_ANY = rf"{_RUN_START}([^\x20\x09-\x0DA-Za-z0-9+/_\-]{{0,4}}+(?:[A-Za-z_.\-]{{2,40}}+{_SIGN})?)((?=[A-Za-z+/_\-]{{0,60}}+[0-9]|[A-Za-z0-9+/_\-]{{20}}){_CORE})"
+#: 6 or more of any characters, up to the closing quote or, unquoted, to the end of the word less its punctuation.
+_VALUE = r"(?:(?<=[\"'])[^\x20\x09-\x0D\"']{6,}|[^\x20\x09-\x0D\"'`<>,;]{5,}[^\x20\x09-\x0D\"'`<>,;.:)\]}])"
+_NAMED = rf"{_RUN_START}((?=[A-Za-z0-9+/_.\-]{{2,80}}+{_SIGN})[A-Za-z0-9+/_.\-]*?(?i:{_NAMES})[A-Za-z0-9_\-]*+{_SIGN})({_VALUE})"
+_IS_NAMED = rf"(?i)(?:{_NAMES})[a-z0-9_\-]*[\x20\x09]{{0,3}}[:=][\x20\x09]{{0,3}}[\"']?$"
+#: Characters of the text before a match in which its previous word is looked for.
+_BACK = 48
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """id, path, before, finding and n for each distinct finding with its neighbourhood.
 
     A finding is a run of 12 or more of a key's characters that has a digit, or is
-    assigned to a name; runs of letters alone aren't keys.
+    assigned to a name; runs of letters alone aren't keys. What is assigned to a
+    secret's name is a finding from 6 characters on, whichever they are. The word
+    before is only looked at, so that it may be a finding too.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # The word before, the name with its sign, and the run. Java's matcher goes on after each match.
-    near = r"(?:[^\x20\x09-\x0D]{1,40}+[\x20\x09-\x0D]{1,3}+)?[^\x20\x09-\x0DA-Za-z0-9+/_\-]{0,4}+(?:[A-Za-z_.\-]{2,40}+[\"']?+[\x20\x09]{0,3}+[:=][\x20\x09]{0,3}+[\"']?+)?"
-    whole = F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9+/_\-]){near}(?=[A-Za-z+/_\-]{{0,60}}+[0-9]|[A-Za-z0-9+/_\-]{{20}}){_CORE}"), F.lit(0))
+    any_found, named = F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), F.regexp_extract_all(text, F.lit(_NAMED), F.lit(0))
+    named = F.when(text.rlike(f"(?i)(?:{_NAMES})"), named)
     # What is kept below has a digit, or such a sign before it; texts without either aren't searched.
     docs = docs.where(text.rlike("[0-9:=]"))
-    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.explode(whole).alias("match"))
-    finding = F.regexp_extract("match", rf"({_CORE})$", 1)
-    parted = found.withColumn("finding", finding).withColumn("before", F.expr("substring(match, 1, char_length(match) - char_length(finding))")).where("finding != ''")
-    kept = parted.where(F.col("finding").rlike("[0-9]") | F.col("before").rlike("[:=][\\x20\\x09]{0,3}[\"']?$"))
+    pieces = {"any": (any_found, _ANY), "named": (named, _NAMED)}
+    found = docs.select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"),
+        *[m.alias(f"{k}_found") for k, (m, _) in pieces.items()], *[F.when(F.size(m) > 0, F.split(text, p, -1)).alias(f"{k}_between") for k, (m, p) in pieces.items()],
+    )
+    # A match, the text between it and the match before, and that match.
+    kind = "array<struct<match:string,between:string,last:string>>"
+    rows = [F.coalesce(F.arrays_zip(f"{k}_found", f"{k}_between", F.concat(F.array(F.lit("")), f"{k}_found")).cast(kind), F.array().cast(kind)) for k in pieces]
+    # Parted by the pattern that found it; a named value that is a key in itself is found by the other one.
+    placed = found.select("id", "path", F.posexplode(F.array(*rows)).alias("pattern", "rows")).select("id", "path", "pattern", F.inline("rows")).where("match IS NOT NULL")
+    pattern = {k: F.col("pattern") == i for i, k in enumerate(pieces)}
+    part = lambda at: F.when(pattern["any"], F.regexp_extract("match", f"^{_ANY}$", at)).otherwise(F.regexp_extract("match", f"^{_NAMED}$", at))
+    ahead = F.concat(F.right("last", F.lit(_BACK)), F.right("between", F.lit(_BACK)))
+    previous = F.regexp_extract(F.right(ahead, F.lit(_BACK)), rf"{_RUN_START}[^\x20\x09-\x0D]{{1,40}}+(?:[\x20\x09-\x0D]{{1,3}})?$", 0)
+    parted = placed.select("id", "path", "pattern", F.concat(previous, part(1)).alias("before"), part(2).alias("finding")).where("finding != ''")
+    key = F.col("finding").rlike(rf"^(?=[A-Za-z+/_\-]{{0,60}}+[0-9]|[A-Za-z0-9+/_\-]{{20}}){_CORE}$")
+    kept = parted.where((pattern["any"] & (F.col("finding").rlike("[0-9]") | F.col("before").rlike("[:=][\\x20\\x09]{0,3}[\"']?$"))) | (pattern["named"] & ~key))
     return kept.groupBy("id", "path", "before", "finding").agg(F.count("*").alias("n"))
 
 
@@ -92,7 +118,7 @@ def described(found: DataFrame, trigrams: list[str]) -> DataFrame:
         "distinct_share": F.size(F.array_distinct(F.split(c, ""))) / n,
         "dictionary": covered / (n - 2),
         "hex": flag(c.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
-        "named": flag(before.rlike(rf"(?i)(?:{_NAMES})[a-z_\-]*[\x20\x09]{{0,3}}[:=][\x20\x09]{{0,3}}[\"']?$")),
+        "named": flag(before.rlike(_IS_NAMED)),
         "assigned": flag(before.rlike("[:=][\\x20\\x09]{0,3}[\"']?$")),
         "quoted": flag(before.rlike("[\"']$")),
         "name_near": flag(before.rlike(f"(?i){_NAMES}")),
@@ -111,8 +137,8 @@ def weak_labels(found: DataFrame) -> DataFrame:
     issued = F.lit(False)
     for form in _ISSUED:
         issued = issued | c.rlike(f"^{form}$")
-    random_value = c.rlike("[0-9]") & c.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(c, ""))) >= 8)
-    named = F.col("before").rlike(rf"(?i)(?:{_NAMES})[a-z_\-]*[\x20\x09]{{0,3}}[:=][\x20\x09]{{0,3}}[\"']?$") & random_value
+    random_value = c.rlike("[0-9]") & c.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(c, ""))) >= F.least(F.lit(8), F.char_length(c) - 1))
+    named = F.col("before").rlike(_IS_NAMED) & random_value
     plain = c.rlike("^[A-Za-z_/+-]+={0,2}$") | c.rlike("^[0-9+/_-]+$") | ~F.col("before").rlike("[:=]") & ~c.rlike("^[A-Za-z0-9]{16,}$")
     return found.withColumn("label", F.when(issued | named, 1.0).when(plain, 0.0))
 

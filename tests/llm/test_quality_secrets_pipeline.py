@@ -100,3 +100,20 @@ def test_stages_take_effect(spark):
     assert all(r == before[r.doc_id] for r in safe if "[SECRET]" not in r.text)
     assert sum("[SECRET]" in r.text for r in safe) > 0
     assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_secrets_in_a_row_and_short_values_are_candidates(spark):
+    keys = [f"AKIA{'ABCDEFGHIJKLMNOP'[k:]}{'Q2W3E4R5T6Y7U8I9'[:k]}" for k in range(4, 12)]
+    texts = {
+        1: "DB_PASSWORD=abc123def456\nAPI_TOKEN=ghi789jkl012\nSECRET_KEY=mno345pqr678\nAPI_KEY_2=stu901vwx234",
+        2: "\n".join(keys),
+        3: "password: hunter2\ndb2_password = \"p@ss,w0rd!\" next token='x$9%k&2z' end",
+        4: "to hunter2: pass the version7 of it",
+    }
+    wanted = {1: {"abc123def456", "ghi789jkl012", "mno345pqr678", "stu901vwx234"}, 2: set(keys), 3: {"hunter2", "p@ss,w0rd!", "x$9%k&2z"}, 4: set()}
+    docs = spark.createDataFrame([(k, t, "a", "en", 1, "x", 1) for k, t in texts.items()], SCHEMA)
+    rows = secret_forest.candidates(docs).collect()
+    assert all(wanted[k] <= {r.finding for r in rows if r.id == k} for k in texts) and not [r for r in rows if r.id == 4] and all(r.n == 1 for r in rows)
+    found = secret_forest.scored(secret_forest.candidates(docs), secret_forest.SecretModel([], None)).where("score >= 0.5")
+    clean = {r.doc_id: r.text for r in secret_forest.redacted(docs, found.withColumnRenamed("id", "doc_id")).collect()}
+    assert all(v not in clean[k] for k, values in wanted.items() for v in values) and clean[2] == "\n".join(["[SECRET]"] * len(keys))
