@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from tapegrid.llm.common import SPACE, cut_lineage
 
-#: Labelled findings that the forest is grown on at most (about), and rows that the dictionary is taken from.
+#: Labelled findings that the forest is grown on at most (about).
 MAX_TRAINING = 20_000
-MAX_DICTIONARY = 5_000
 #: Letter trigrams that stand for the dictionary.
 TRIGRAMS = 120
 TREES, DEPTH = 20, 6
@@ -87,12 +86,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return kept.groupBy("id", "path", "before", "finding").agg(F.count("*").alias("n"))
 
 
-def dictionary(docs: DataFrame, max_rows: int = MAX_DICTIONARY, size: int = TRIGRAMS, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """The commonest letter trigrams of words, in about max_rows rows: those with the smallest hashes of the id."""
-    total = docs.count()
-    rows = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(max_rows / total * (1 << 30))) if total > max_rows else docs
+def dictionary(docs: DataFrame, size: int = TRIGRAMS, text_col: str = "text") -> list[str]:
+    """The commonest letter trigrams of the words of all rows."""
     word = F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SPACE))
-    counted = rows.select(word.alias("word")).where("word RLIKE '^[a-z]{3,}[.,]?$'").groupBy("word").agg(F.count("*").alias("n"))
+    counted = docs.select(word.alias("word")).where("word RLIKE '^[a-z]{3,}[.,]?$'").groupBy("word").agg(F.count("*").alias("n"))
     at = F.explode(F.sequence(F.lit(1), F.char_length("word") - 2))
     grams = counted.select("word", "n", at.alias("at")).select(F.expr("substring(word, at, 3)").alias("gram"), "n").where("gram RLIKE '^[a-z]{3}$'")
     return sorted(r["gram"] for r in grams.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(size).collect())
@@ -182,7 +179,7 @@ def secrets(docs: DataFrame, model: SecretModel | None = None, threshold: float
     """
     found = candidates(docs, id_col, text_col, path_col)
     if model is None:
-        model = fit(weak_labels(found), dictionary(docs, id_col=id_col, text_col=text_col))
+        model = fit(weak_labels(found), dictionary(docs, text_col=text_col))
     kept = scored(found, model).where(F.col("score") >= threshold)
     return kept.select(F.col("id").alias(id_col), "finding", "before", "n", "score")
 

@@ -117,3 +117,8 @@ def test_secrets_in_a_row_and_short_values_are_candidates(spark):
     found = secret_forest.scored(secret_forest.candidates(docs), secret_forest.SecretModel([], None)).where("score >= 0.5")
     clean = {r.doc_id: r.text for r in secret_forest.redacted(docs, found.withColumnRenamed("id", "doc_id")).collect()}
     assert all(v not in clean[k] for k, values in wanted.items() for v in values) and clean[2] == "\n".join(["[SECRET]"] * len(keys))
+
+
+def test_dictionary_covers_all_rows(spark):
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 500 == 0, F.concat(F.lit("q"), F.char(97 + F.col("id") / 500), F.lit("z"))).alias("text"))
+    assert secret_forest.dictionary(docs) == [f"q{chr(97 + k)}z" for k in range(20)]
