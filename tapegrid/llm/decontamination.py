@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ MASKS = ("1110101", "110010011")
 #: Words of a passage that are compared around a hit; shorter items whole.
 WINDOW = 25
 SIMILARITY = 0.8
-#: Rows of seeds, or of hits, that are broadcast at most (under 400 bytes each); more are joined by a shuffle.
+#: Rows of seeds, or of hits, that are broadcast at most (under 100 bytes each), and eight times the items; more are joined by a shuffle.
 MAX_BROADCAST = 200_000
 
 
@@ -24,6 +26,12 @@ def _seeds(df: DataFrame, masks: list[str]) -> DataFrame:
     return placed.withColumn("seed", F.explode(F.array(*keys))).where("seed IS NOT NULL")
 
 
+def _whole_masks(n: int, similarity: float) -> list[str]:
+    """Masks of which each overlap with an item of n words meets one: all choices of as many words as must be equal."""
+    may_differ = max(t for t in range(n) if t == 0 or (n - t) / n >= similarity)
+    return sorted({"".join("0" if k in left_out else "1" for k in range(n)).strip("0") for left_out in combinations(range(n), may_differ)})
+
+
 def _small(df: DataFrame, most: int) -> DataFrame:
     """df with a hint to broadcast it, if it has no more rows than that."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -34,13 +42,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     Documents and items are words with A-Z in lower case. The words under each mask
     are hashed at every position; where a document's hash meets an item's, both are
-    laid on each other there, and `window` words around the hit (the whole item, if
+    laid on each other there, and each `window` words of the item (the whole item, if
     it is shorter) are compared place by place. An overlap is a window of which the
     part `similarity` or more is equal, the rest being substitutions; `at` is the
-    document's word where the best window begins, `hits` counts the seeds that lie
-    in such windows.
+    document's word where the best window begins, `hits` counts the seeds that lay
+    document and item on each other in such a way.
 
-    Items with fewer words than a mask are looked up by all their words together.
+    Items with fewer words than a mask have masks of their own, which find each overlap.
     Items without words and texts that are null or blank match nothing; rows with
     null ids take part with a null id; repeated rows are merged into one; other
     columns are left out; empty tables give an empty one.
@@ -51,24 +59,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     short = sorted(r[0] for r in items.where(F.size("words") < longest).select(F.size("words")).distinct().collect())
     whole = ["1" * n for n in short]
     tests = _seeds(items.where(F.size("words") >= longest), list(masks))
-    for m in whole:
-        tests = tests.unionByName(_seeds(items.where(F.size("words") == len(m)), [m]))
-    # The window around a seed: where it begins in the item, about centred, and its words.
-    n = F.size("words")
-    compared = F.least(n, F.lit(window))
-    begin = F.greatest(F.least(F.col("at") - F.floor((compared - longest) / 2).cast("int"), n - compared), F.lit(0))
-    tests = tests.select("item", "seed", (F.col("at") - begin).alias("back"), F.slice("words", begin + 1, compared).alias("theirs")).distinct()
-    tests = _small(tests, MAX_BROADCAST)
+    whole = {n: _whole_masks(n, similarity) for n in short}
+    for n, own_masks in whole.items():
+        tests = tests.unionByName(_seeds(items.where(F.size("words") == n), own_masks))
+    # An item's words are looked up again at its hits, as a seed carries only their hash.
+    key = F.xxhash64("words")
+    tests = _small(tests.select("item", key.alias("key"), "seed", F.col("at").alias("item_at")).distinct(), MAX_BROADCAST)
+    theirs = _small(items.select(F.col("item").alias("their_item"), key.alias("their_key"), F.col("words").alias("theirs")), MAX_BROADCAST // 8)
 
     own = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words")).where("size(words) > 0")
-    met = _seeds(own, [*masks, *whole]).select("id", "at", "seed").join(tests, "seed")
-    placed = met.groupBy("id", "item", (F.col("at") - F.col("back")).alias("place"), "theirs").agg(F.count("*").alias("hits"))
+    every_mask = [*masks, *sorted({m for own_masks in whole.values() for m in own_masks} - set(masks))]
+    met = _seeds(own, every_mask).select("id", "at", "seed").join(tests, "seed")
+    # The document's word on which the item's first one lies; it may hang over the document's ends.
+    placed = met.groupBy("id", "item", "key", (F.col("at") - F.col("item_at")).alias("place")).agg(F.count("*").alias("hits"))
     hits = _small(cut_lineage(placed.withColumnRenamed("id", "hit_id")), MAX_BROADCAST)
 
     # What hangs over the document's ends is null there and can't match.
-    same = [F.coalesce((F.get("words", F.col("place") + k) == F.get("theirs", F.lit(k))).cast("int"), F.lit(0)) for k in range(window)]
-    matched = sum(same[1:], same[0])
-    checked = own.join(hits, F.col("id").eqNullSafe(F.col("hit_id"))).select("id", "item", "place", "hits", F.size("theirs").alias("compared"), matched.alias("matched")).withColumn("similarity", F.col("matched") / F.col("compared")).where(F.col("similarity") >= similarity)
+    laid = own.join(hits, F.col("id").eqNullSafe(F.col("hit_id"))).join(theirs, F.col("item").eqNullSafe(F.col("their_item")) & (F.col("key") == F.col("their_key")))
+    n = F.size("theirs")
+    same = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.coalesce((F.get("words", F.col("place") + k) == F.get("theirs", k)).cast("int"), F.lit(0)))
+    equal = laid.select("id", "item", "place", "hits", F.least(n, F.lit(window)).alias("compared"), same.alias("same"))
+    # The first window, and each next one from the one before: a place more behind, one less in front.
+    first = F.aggregate(F.slice("same", 1, F.col("compared")), F.lit(0), lambda x, y: x + y)
+    state = lambda run, most, begin: F.struct(run.alias("run"), most.alias("most"), begin.alias("begin"))
+
+    def moved(x: F.Column, k: F.Column) -> F.Column:
+        run = x["run"] + F.get("same", k + F.col("compared") - 1) - F.get("same", k - 1)
+        return state(run, F.greatest(x["most"], run), F.when(run > x["most"], k).otherwise(x["begin"]))
+
+    started = equal.withColumn("first", first).withColumn("begins", F.slice(F.sequence(F.lit(0), F.size("same") - F.col("compared")), 2, F.size("same")))
+    run = F.aggregate("begins", state(F.col("first"), F.col("first"), F.lit(0)), moved)
+    checked = started.withColumn("run", run).select("id", "item", "hits", "compared", F.col("run.most").alias("matched"), (F.col("place") + F.col("run.begin")).alias("place"))
+    checked = checked.withColumn("similarity", F.col("matched") / F.col("compared")).where(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", "compared", "matched", (-F.col("place")).alias("back")))
     found = checked.groupBy("id", "item").agg(best.alias("best"), F.sum("hits").alias("hits"))
     return found.select(

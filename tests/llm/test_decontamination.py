@@ -67,3 +67,34 @@ def test_empty_tables(spark):
     assert [tuple(r)[:2] for r in decontamination.contaminated(docs, items).collect()] == [(1, 1)]
     assert decontamination.contaminated(docs.limit(0), items).collect() == []
     assert decontamination.contaminated(docs, items.limit(0)).collect() == []
+
+
+def test_all_windows_and_short_items(spark):
+    rng = random.Random(3)
+    v = [f"V{k}" for k in range(2000)]
+    items = [(k, " ".join(rng.sample(v, n))) for k, n in enumerate([60, 75, 90, 8, 7, 6, 5, 4])]
+    docs = []
+    for d in range(200):
+        piece = items[d % 8][1].split()
+        begin = rng.randint(0, max(0, len(piece) - 25))
+        piece = piece[begin : begin + 25]
+        for k in rng.sample(range(len(piece)), rng.randint(3, 5) if len(piece) == 25 else 1):
+            piece[k] = "zz"
+        docs.append((d, " ".join(["aa"] * (d % 4) + piece + ["bb"] * 30)))
+    # Seeds are only asked whether there is one; then each window counts.
+    wanted = {}
+    for d, t in docs:
+        for i, it in items:
+            a, b = w(t), w(it)
+            n = min(len(b), 25)
+            for place in range(-len(b) + 1, len(a)):
+                same = [0 <= place + k < len(a) and a[place + k] == x for k, x in enumerate(b)]
+                met = len(b) < 9 or any(all(same[q + k] for k, c in enumerate(m) if c == "1") and 0 <= place + q <= len(a) - len(m) for m in decontamination.MASKS for q in range(len(b) - len(m) + 1))
+                best = max(sum(same[k : k + n]) for k in range(len(b) - n + 1))
+                if met and best / n >= 0.8:
+                    wanted[d, i] = max(best, wanted.get((d, i), 0))
+    assert len(wanted) > 120 and {i for _, i in wanted} >= {0, 1, 2, 3, 4, 5, 6}
+    found = decontamination.contaminated(spark.createDataFrame([(*r, "x", 1) for r in docs], DOCS), spark.createDataFrame([(*r, "x") for r in items], ITEMS)).collect()
+    assert {(r.doc_id, r.item_id): r.matched for r in found} == wanted
+    for r in found:
+        assert r.compared == min(25, len(w(items[r.item_id][1]))) and r.similarity == r.matched / r.compared
