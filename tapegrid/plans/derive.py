@@ -80,12 +80,12 @@ def raw_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_suppkey < 20 AND l_returnflag = 'R'")
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
     return rows.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("ex_date"), (1 + F.col("l_linenumber") % 3).cast("double").alias("split_ratio"))
 
 
 def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_suppkey < 20 AND l_returnflag = 'A'")
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'")
     return rows.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("ex_date"), F.col("l_discount").alias("cash_div"))
 
 
@@ -106,10 +106,11 @@ def ticker_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again)
 
 
-def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty symbols with a close on each order date."""
+def daily_prices(spark: SparkSession, sf_dir: str, symbols: int | None = 20) -> DataFrame:
+    """So many symbols, or one for each customer, with a close on each order date."""
     o = table(spark, sf_dir, "orders")
-    rows = o.groupBy(F.concat(F.lit("S"), (F.col("o_custkey") % 20).cast("string")).alias("symbol"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("trade_date"))
+    number = F.col("o_custkey") if symbols is None else F.col("o_custkey") % symbols
+    rows = o.groupBy(F.concat(F.lit("S"), number.cast("string")).alias("symbol"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("trade_date"))
     return rows.agg(F.max("o_totalprice").alias("close"), F.count("*").alias("volume"), F.sum("o_totalprice").alias("amount"))
 
 

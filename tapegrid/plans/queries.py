@@ -221,8 +221,8 @@ def remap_symbols(spark, sf_dir):
 
 @query
 def adjusted_close(spark, sf_dir):
-    actions = securities.corporate_actions(D.splits(spark, sf_dir).where("ex_date LIKE '1996-%'"), D.dividends(spark, sf_dir))
-    return rounded(securities.adjusted_close(D.daily_prices(spark, sf_dir), actions), 10)
+    actions = securities.corporate_actions(D.splits(spark, sf_dir), D.dividends(spark, sf_dir))
+    return rounded(securities.adjusted_close(D.daily_prices(spark, sf_dir, symbols=None), actions), 10)
 
 
 # --- calendar
