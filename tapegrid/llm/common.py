@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,16 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder and read back from there.
-
-    The folder is the one that the cluster names in spark.checkpoint.dir; a
-    folder is made only where none is set, as in tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of its own only on a single machine where none is set, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written once to the shared checkpoint folder and read back from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -60,9 +67,6 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared checkpoint folder."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.parquet(path)

@@ -13,39 +13,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapegrid.llm.common import cut_lineage
-from tapegrid.llm.unit_tokens import UnitIds
+from tapegrid.llm.word_ids import WordIds
 
 CAPACITY = 4096
 END_ID = 1
-#: Groups into which the rows of one length are dealt for numbering.
-SALTS = 16
+#: Rows of one length that are numbered together, about; more are dealt to groups.
+GROUP_ROWS = 1_000_000
 #: Lengths tried as the second of three documents, and the third of four, of a pattern.
 GRID = 24
-_END = np.array([END_ID], "<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece of each document: id, piece, start, length, ids_crc32, and `row`, a number of the input row.
+    """One row per piece of each document: id, piece, start, length, ids_crc32.
 
     A document is its ids and the end id; a null text has the end id alone.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitIds(tokenizer_path)
+        encoder = WordIds(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for at in range(0, len(texts), 64):
-                part = [encoder.units(t) for t in texts[at : at + 64]]
-                encoder.learn([u for units in part for u in units])
-                for k, units in enumerate(part):
-                    ids = encoder.ids(units) + _END
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[start : start + 4 * capacity]
-                        for column, value in zip(out, (at + k, piece, start // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
-                            column.append(value)
-            rows = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], ["id", "piece", "start", "length", "ids_crc32"])
+            for first, ids, ends in encoder(batch.column(1)):
+                ids = np.insert(ids, ends, END_ID).astype("<u4")
+                ends = ends + np.arange(1, len(ends) + 1)
+                begins = np.r_[0, ends[:-1]]
+                pieces = -(-(ends - begins) // capacity)
+                row = np.repeat(np.arange(len(ends)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, (ends - begins)[row] - start)
+                raw, at = memoryview(ids).cast("B"), 4 * (begins[row] + start)
+                crc = [zlib.crc32(raw[s:e]) for s, e in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, piece int, start long, length long, ids_crc32 long")
 
@@ -190,21 +188,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Lengths are counted where the rows are; only the histogram of at most `capacity`
     entries comes to the driver, and only the plan, which follows from it, goes
-    back. Rows are numbered within a length through SALTS groups, so that a length
-    which a third of all rows share isn't numbered by one task. An empty table
-    gives an empty one.
+    back. Patterns are at most capacity * (GRID + 2) and a few thousand, and each row
+    of the plan uses up a pattern's member, a length or a run of sequences, so the
+    plan has under a million rows of 40 bytes whatever the input. Rows are numbered
+    within a length through groups of about GROUP_ROWS, so that a length which a
+    third of all rows share isn't numbered by one task. An empty table gives an
+    empty one.
     """
     spark = pieces.sparkSession
     own = pieces.columns
-    salted = cut_lineage(pieces.withColumn("salt", F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int")))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "salt"], ignore_index=True)
+    pieces = cut_lineage(pieces)
+    lengths = pieces.groupBy("length").agg(F.count("*").alias("n")).toPandas()
     histogram = np.zeros(capacity + 1, np.int64)
-    np.add.at(histogram, counts["length"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
+    histogram[lengths["length"].to_numpy(np.int64)] = lengths["n"].to_numpy(np.int64)
     where = spark.sparkContext.broadcast(plan(histogram, capacity))
+    lengths["salts"] = -(-lengths["n"] // GROUP_ROWS)
+    salts = spark.createDataFrame(lengths[["length", "salts"]].astype("int64"), "length long, salts long")
+    # At most `capacity` rows.
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64(*own), F.col("salts"))).drop("salts")
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "salt"], ignore_index=True)
     counts["before"] = counts.groupby("length")["n"].cumsum() - counts["n"] if len(counts) else 0
-    before = spark.createDataFrame(counts[["length", "salt", "before"]].astype("int64"), "length long, salt long, before long").withColumn("salt", F.col("salt").cast("int"))
+    before = spark.createDataFrame(counts[["length", "salt", "before"]].astype("int64"), "length long, salt long, before long")
     order = Window.partitionBy("length", "salt").orderBy(*[F.col(c) for c in own if c != "length"])
-    # At most capacity * SALTS rows of 20 bytes: under 6 MB.
+    # At most `capacity` rows and one for each GROUP_ROWS of the input.
     ranked = salted.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.row_number().over(order) - 1 + F.col("before"))
 
     @F.pandas_udf("sequence_id long, offset long")

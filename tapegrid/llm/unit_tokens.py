@@ -1,9 +1,9 @@
-"""Exact token ids and counts of a public tokenizer, by memorised units.
+"""Exact token counts of a public byte-level tokenizer, by memorised units.
 
-Both tokenizers cut a text at white space before they merge, so a text is a row
-of units whose tokens don't depend on their neighbours. Each Python worker
-keeps the tokens of the units that it has met, up to a fixed number, and asks the
-library only for new ones.
+The tokenizer cuts a text at white space before it merges, so a text is a row of
+units whose tokens don't depend on their neighbours. Each task keeps the counts
+of the units that it has met, up to a number of bytes, and asks the library only
+for new ones.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 
-#: Units that a worker keeps (about 150 bytes each); beyond, the older half goes.
-MEMO_UNITS = 600_000
+#: Bytes of units that a counter keeps, about; beyond, it starts anew.
+MEMO_BYTES = 48 << 20
+#: About what a unit takes in the memo besides its own characters.
+_UNIT_BYTES = 150
 #: Marks that, alone after a word of Latin letters, are a unit of their own.
 _MARKS = ",.;:!?"
 _LATIN_END = "\u0250"
@@ -25,24 +26,15 @@ _UNIT = re.compile("(?: ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+)")
 #: White space besides the four above; a text with one of these goes to the library whole.
 _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-_loaded: dict = {}
-
 
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _loaded:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _loaded[path] = (t, {}, [x.content for x in t.get_added_tokens_decoder().values()])
-    return _loaded[path]
-
+    from tokenizers import Tokenizer
 
-def _make_room(memo: dict) -> None:
-    for unit in list(islice(memo, len(memo) // 2)):
-        del memo[unit]
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
 
 
 def _word_and_mark(unit: str) -> tuple[str, str]:
@@ -79,7 +71,10 @@ class UnitCounter:
     """Token counts under a byte-level vocabulary whose pre-tokenizer is GPT-2's."""
 
     def __init__(self, path: str):
-        self.tok, self.memo, self.special = tokenizer(path)
+        self.tok = tokenizer(path)
+        self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        self.memo: dict[str, int] = {}
+        self.held = 0
 
     def plain(self, text: str) -> bool:
         """True if units of this text can be taken alone."""
@@ -93,9 +88,10 @@ class UnitCounter:
         new = set(units).difference(memo)
         if not new:
             return
-        if len(memo) + 2 * len(new) > MEMO_UNITS:
-            _make_room(memo)
-            new = set(units).difference(memo)
+        if self.held > MEMO_BYTES:
+            memo.clear()
+            self.held = 0
+            new = set(units)
         parts = {u: _word_and_mark(u) for u in new}
         ask = [x for x in dict.fromkeys(x for pair in parts.values() for x in pair) if x and x not in memo]
         for part, _, ends in _encoded(self.tok, self.special, ask):
@@ -106,6 +102,7 @@ class UnitCounter:
         for u, (word, mark) in parts.items():
             if mark:
                 memo[u] = memo[word] + memo[mark]
+        self.held += sum(map(len, new)) + sum(map(len, ask)) + _UNIT_BYTES * (len(new) + len(ask))
 
     def units(self, text: str) -> list[str]:
         return _UNIT.findall(text)
@@ -127,41 +124,3 @@ class UnitCounter:
         n = np.fromiter(map(self.memo.__getitem__, units), np.int64, len(units))
         size = np.fromiter(map(len, units), np.int64, len(units))
         return np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(n)]
-
-
-class UnitIds:
-    """Token ids, as little-endian 32-bit bytes, under a vocabulary that drops white space."""
-
-    def __init__(self, path: str):
-        self.tok, self.memo, self.special = tokenizer(path)
-        self.memo[""] = b""
-
-    @staticmethod
-    def units(text: str) -> list[str]:
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-    def learn(self, units: list[str]) -> None:
-        memo = self.memo
-        new = set(units).difference(memo)
-        if not new:
-            return
-        if len(memo) + 3 * len(new) > MEMO_UNITS:
-            _make_room(memo)
-            memo[""] = b""
-            new = set(units).difference(memo)
-        parts = {}
-        for u in new:
-            word, mark = _word_and_mark(u)
-            # The vocabulary has small letters only; those of Latin-1 have one small form each.
-            parts[u] = (word.lower() if word.isalpha() and max(word) < "\u0100" else word, mark)
-        ask = [x for x in dict.fromkeys(x for pair in parts.values() for x in pair) if x not in memo]
-        for part, ids, ends in _encoded(self.tok, self.special, ask):
-            start = 0
-            for u, end in zip(part, ends, strict=True):
-                memo[u] = ids[start:end]
-                start = end + 4
-        for u, (word, mark) in parts.items():
-            memo[u] = memo[word] + memo[mark]
-
-    def ids(self, units: list[str]) -> bytes:
-        return b"".join(map(self.memo.__getitem__, units))

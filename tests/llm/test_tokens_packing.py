@@ -3,11 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tapegrid.llm import pattern_packing, token_counts
-from tapegrid.llm.unit_tokens import UnitCounter, UnitIds
+from tapegrid.llm import pattern_packing, token_counts, word_ids
+from tapegrid.llm.unit_tokens import UnitCounter
+from tapegrid.llm.word_ids import WordIds
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 SCHEMA = "doc_id long, text string, n_bytes string, id int"
@@ -19,13 +21,25 @@ def odd_texts(n: int, size: int) -> list[str]:
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, size))) for _ in range(n)]
 
 
-def test_units_give_the_library_s_counts_and_ids():
-    counter, encoder = UnitCounter(BYTE), UnitIds(WORD)
-    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+def test_units_give_the_library_s_counts():
+    counter, byte = UnitCounter(BYTE), Tokenizer.from_file(BYTE)
     for text in odd_texts(600, 30):
         assert int(counter.encode(text)[1][-1]) == len(byte.encode(text, add_special_tokens=False)), text
-        encoder.learn(units := encoder.units(text))
-        assert np.frombuffer(encoder.ids(units), "<u4").tolist() == word.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("part,memo", [(1 << 21, 1 << 24), (64, 1 << 24), (500, 1000)])
+def test_ids_are_the_library_s(monkeypatch, part, memo):
+    monkeypatch.setattr(word_ids, "PART", part)
+    monkeypatch.setattr(word_ids, "MEMO_BYTES", memo)
+    rng = random.Random(5)
+    letters = [*"abstrdlmvABST''''..,,!  \n\t\x0b\x0c\x85\xa0 1234é×÷ßÄ³ªµΣςжİıſﬃ中’<|>", "̸", "̱", "́", "H̱", "ᄀ", "ᅡ", "<|STARTOFTEXT|>", "'re", "'LL"]
+    texts = [None, "", "<|endoftext|>" * 3, *odd_texts(300, 30), *["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]]
+    word = Tokenizer.from_file(WORD)
+    found = []
+    for first, ids, ends in WordIds(WORD)(pa.array(["left out", *texts])[1:]):
+        assert first == len(found)
+        found += [x.tolist() for x in np.split(ids, ends[:-1])]
+    assert found == [e.ids for e in word.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("chunk,overlap", [(64, 40), (100, 16), (300, 64)])
