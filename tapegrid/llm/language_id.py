@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapegrid.llm.common import map_arrow, sliced
+
 #: N-grams of a profile, of a language and of a document.
 PROFILE = 300
 #: Learning rows at most (about): the rows with the smallest hashes of the id.
@@ -73,7 +75,7 @@ def profiles(docs: DataFrame, size: int = PROFILE, max_training: int = MAX_TRAIN
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters()
-        for batch in batches:
+        for batch in sliced(batches):
             found: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found.setdefault(lang, []).append(grams(letters(text)))
@@ -81,7 +83,7 @@ def profiles(docs: DataFrame, size: int = PROFILE, max_training: int = MAX_TRAIN
                 gram, count = counted(np.sort(np.concatenate(parts)))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram), pa.array(count.astype(np.int64))], ["lang", "gram", "n"])
 
-    counts = rows.select("lang", "text").mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_arrow(rows.select("lang", "text"), work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < size).select("lang", "gram", "rank").toPandas()
 
@@ -115,11 +117,11 @@ def predict(docs: DataFrame, learned: pd.DataFrame, size: int = PROFILE, id_col:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [one(t, letters) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["id", "lang_pred", "score"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, lang_pred string, score double")
+    out = map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work, "id long, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapegrid.llm.common import cut_lineage, partitions
+from tapegrid.llm.common import cut_lineage, map_arrow, partitions
 from tapegrid.llm.components import components
 from tapegrid.llm.text_hashes import mix, shingle_sets
 
@@ -122,7 +122,7 @@ def by_group(df: DataFrame, columns: list[str], work: Callable[[dict[str, list]]
                 held.append(batch.slice(s, e - s))
         yield from done()
 
-    return sorted_rows.mapInArrow(run, "a long, b long")
+    return map_arrow(sorted_rows, run, "a long, b long")
 
 
 def in_blocks(df: DataFrame, key: str, count: str, block: int) -> DataFrame:
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, id_col: str =
                 )
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = cut_lineage(own.mapInArrow(sketched, "id long, n_shingles long, set_key binary, posted array<long>, sketch binary"))
+    base = cut_lineage(map_arrow(own, sketched, "id long, n_shingles long, set_key binary, posted array<long>, sketch binary"))
     usable = base.where("id IS NOT NULL AND set_key IS NOT NULL")
     same = usable.groupBy("set_key").agg(F.min("id").alias("first"))
     member = cut_lineage(usable.select("id", "set_key").join(same, "set_key").select("id", "first", "set_key"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapegrid.llm.common import cut_lineage
+from tapegrid.llm.common import cut_lineage, map_arrow
 from tapegrid.llm.word_ids import WordIds
 
 CAPACITY = 4096
@@ -45,7 +45,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 crc = [zlib.crc32(raw[s:e]) for s, e in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work, "id long, piece int, start long, length long, ids_crc32 long")
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapegrid.llm.common import cut_lineage
+from tapegrid.llm.common import cut_lineage, map_arrow, sliced
 from tapegrid.llm.text_hashes import word_hashes
 
 #: Labelled rows that the document classifier is fitted on at most (about).
@@ -107,11 +107,11 @@ def fit_documents(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TR
     width = features([b""]).shape[1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = features([t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2).cast(pa.int32())], ["id", "x", "good"])
 
-    rows = joined.select(F.col("label_id").cast("long").alias("id"), "text", F.col("good").cast("int")).mapInArrow(work, "id long, x array<double>, good int").toPandas().sort_values("id", kind="stable")
+    rows = map_arrow(joined.select(F.col("label_id").cast("long").alias("id"), "text", F.col("good").cast("int")), work, "id long, x array<double>, good int").toPandas().sort_values("id", kind="stable")
     return fit(np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, width)), rows["good"].to_numpy(float))
 
 
@@ -136,12 +136,12 @@ def site_quality(docs: DataFrame, evidence: Evidence, host: F.Column, path: F.Co
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = evidence([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(3).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.float64())], ["id", "host", "path", "evidence"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("text"))
-    rows = cut_lineage(own.mapInArrow(work, "id long, host string, path string, evidence double"))
+    rows = cut_lineage(map_arrow(own, work, "id long, host string, path string, evidence double"))
     good = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(evidence.prior))))
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("path_n"), F.sum(good).alias("path_good"))
     hosts = paths.groupBy("host").agg(F.sum("path_n").alias("host_n"), F.sum("path_good").alias("host_good"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapegrid.llm.common import cut_lineage, partitions, text_bytes
+from tapegrid.llm.common import cut_lineage, map_arrow, partitions, text_bytes
 from tapegrid.llm.suffix_sorting import adjacent_prefixes, heads, suffix_array
 from tapegrid.llm.text_hashes import mix
 
@@ -206,8 +206,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 value, text, _, _ = anchors(data, ends, length)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(key[a + text])], ["anchor", "key"])
 
-    dealt = texts.mapInArrow(anchored, "anchor long, key long").repartition(n, "anchor").sortWithinPartitions("anchor", "key")
-    shared = dealt.mapInArrow(_shared, "key long, anchor long").groupBy("key").agg(F.collect_list("anchor").alias("anchors"))
+    dealt = map_arrow(texts, anchored, "anchor long, key long").repartition(n, "anchor").sortWithinPartitions("anchor", "key")
+    shared = map_arrow(dealt, _shared, "key long, anchor long").groupBy("key").agg(F.collect_list("anchor").alias("anchors"))
 
     def surrounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,8 +254,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         if found is not None:
             yield found
 
-    around = texts.join(shared, "key").select("key", "raw", "anchors").mapInArrow(surrounded, "anchor long, key long, start long, context binary")
-    spans = around.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(covered, "key long, start long, stop long")
+    around = map_arrow(texts.join(shared, "key").select("key", "raw", "anchors"), surrounded, "anchor long, key long, start long, context binary")
+    spans = map_arrow(around.repartition(n, "anchor").sortWithinPartitions("anchor"), covered, "key long, start long, stop long")
     by_key = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +277,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["key", "n_removed", "n_spans", "kept"])
 
-    cut = texts.join(by_key, "key").select("key", "raw", "spans").mapInArrow(cut_out, "key long, n_removed long, n_spans long, kept string")
+    cut = map_arrow(texts.join(by_key, "key").select("key", "raw", "spans"), cut_out, "key long, n_removed long, n_spans long, kept string")
     gone = (F.col("key") > F.col("first")) & (F.col("n_bytes") >= length)
     found = keyed.join(cut, "key", "left").select(
         "id", "n_bytes",

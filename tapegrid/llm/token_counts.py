@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapegrid.llm.common import map_arrow
 from tapegrid.llm.unit_tokens import UnitCounter
 
 #: Characters of a chunk, and of the overlap that is tried first.
@@ -95,5 +96,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
             n_bytes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(counts, pa.int64()), pa.array(counts > limit, pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, n_bytes long, n_tokens long, over_limit boolean")
+    out = map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work, "id long, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)
