@@ -10,20 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapegrid.llm.common import cut_lineage, map_arrow, partitions
+from tapegrid.llm.common import cut_lineage, map_arrow, partitions, sliced
 from tapegrid.llm.components import components
 from tapegrid.llm.text_hashes import mix, shingle_sets
 
-#: Coordinates of a signature, and how many of them are posted. Two sets of
-#: similarity s share none of the posted ones with a chance of (1 - s) ** POSTED:
-#: 4e-8 at 0.85.
-COORDINATES = 128
-POSTED = 9
+#: Coordinates of a signature.
+COORDINATES = 64
 #: Standard deviations by which the number of equal coordinates may stay below its mean.
 DEVIATIONS = 5.0
-#: Documents of a group that are compared in one task; larger groups are split into
-#: blocks, and each pair of blocks is a group of its own.
+#: Coordinates that are counted before rows that can't reach the match threshold are skipped.
+STEP = 16
+#: Documents of a group that are compared in one task, and shingles that count as one more; larger groups are split into blocks.
 BLOCK = 1024
+BLOCK_SHINGLES = 2048
 
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _XOR, _ODD = _SEEDS[:COORDINATES], _SEEDS[COORDINATES:] | np.uint64(1)
@@ -34,9 +33,14 @@ def least_matches(similarity: float) -> int:
     return int(COORDINATES * similarity - DEVIATIONS * (COORDINATES * similarity * (1 - similarity)) ** 0.5)
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For sets that aren't empty: keys of the posted coordinate-value pairs (n, POSTED), and a byte of each value (n, COORDINATES)."""
-    keys = np.zeros((len(sets), POSTED), np.int64)
+def prefix(similarity: float) -> int:
+    """Coordinates of which two signatures with least_matches equal ones share one at least, whichever these are."""
+    return COORDINATES - least_matches(similarity) + 1
+
+
+def signatures(sets: list[np.ndarray], posted: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For sets that aren't empty: keys of the posted coordinate-value pairs (n, posted), and a byte of each value (n, COORDINATES)."""
+    keys = np.zeros((len(sets), posted), np.int64)
     sketch = np.zeros((len(sets), COORDINATES), np.uint8)
     at = 0
     while at < len(sets):
@@ -50,42 +54,54 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(COORDINATES):
             least = mix(np.minimum.reduceat((x ^ _XOR[k]) * _ODD[k], first) + np.uint64(k))
             sketch[at:end, k] = (least >> np.uint64(56)).astype(np.uint8)
-            if k < POSTED:
+            if k < posted:
                 keys[at:end, k] = least.view(np.int64)
         at = end
     return keys, sketch
 
 
-class Forest:
-    """Sets of row numbers that are joined pair by pair."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
+def matching(sketch: np.ndarray, size: np.ndarray, similarity: float, i: int, rest: np.ndarray) -> np.ndarray:
+    """Those of rest with enough coordinates equal to row i's, and near enough in size.
 
-
-def likely_pairs(sketch: np.ndarray, size: np.ndarray, similarity: float, split: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row the later rows with enough equal coordinates and near enough in size; with split, across it only."""
+    Collisions are counted STEP coordinates at a time; a row whose count can't reach
+    the match threshold with all coordinates to come is skipped.
+    """
     least = least_matches(similarity)
-    for i in range(len(sketch) - 1):
-        rest = np.arange(i + 1, len(sketch))
-        near = (np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]) - 1e-9)
-        if split is not None:
-            near &= split[rest] != split[i]
-        rest = rest[near]
-        rest = rest[(sketch[rest] == sketch[i]).sum(1) >= least]
-        if len(rest):
-            yield i, rest
+    rest = rest[np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]) - 1e-9]
+    count = np.zeros(len(rest), np.int64)
+    for at in range(0, COORDINATES, STEP):
+        count += (sketch[rest, at : at + STEP] == sketch[i, at : at + STEP]).sum(1)
+        keep = count >= least - (COORDINATES - at - STEP)
+        rest, count = rest[keep], count[keep]
+    return rest
+
+
+def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray], home: np.ndarray | None = None, split: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """Edges (row, row) of a spanning forest of n rows, by breadth.
+
+    linked(i, rest) gives the rows of rest that are linked with i. A row is only held
+    against rows that nothing has reached yet, so a group of copies of one row costs
+    one comparison each. Rows with one home are reached together; with split, only
+    rows of different splits are compared.
+    """
+    a: list[int] = []
+    b: list[int] = []
+    alive = np.ones(n, bool)
+    while alive.any():
+        start = int(alive.argmax())
+        frontier = [start] if home is None else np.flatnonzero(alive & (home == home[start])).tolist()
+        alive[frontier] = False
+        while frontier and alive.any():
+            i = frontier.pop()
+            found = linked(i, np.flatnonzero(alive if split is None else alive & (split != split[i])))
+            if len(found):
+                a += [i] * len(found)
+                b += found.tolist()
+                if home is not None:
+                    found = np.flatnonzero(alive & np.isin(home, home[found]))
+                alive[found] = False
+                frontier += found.tolist()
+    return a, b
 
 
 def by_group(df: DataFrame, columns: list[str], work: Callable[[dict[str, list]], tuple[list, list]]) -> DataFrame:
@@ -125,51 +141,66 @@ def by_group(df: DataFrame, columns: list[str], work: Callable[[dict[str, list]]
     return map_arrow(sorted_rows, run, "a long, b long")
 
 
-def in_blocks(df: DataFrame, key: str, count: str, block: int) -> DataFrame:
-    """df with columns own, block_i, block_j: rows of a key with more than `block` rows go to each pair of blocks that has theirs."""
-    n = F.ceil(F.col(count) / block).cast("int")
-    own = F.when(F.col(count) <= block, 0).otherwise(F.pmod(F.xxhash64("id", F.lit(5)), n)).cast("int")
-    other = F.explode(F.when(F.col(count) <= block, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1)))
-    return df.withColumn("own", own).withColumn("other", other).withColumn("block_i", F.least("own", "other")).withColumn("block_j", F.greatest("own", "other")).drop("other", count)
+def linked_rows(rows: DataFrame, held: DataFrame, sizes: DataFrame, key: str, work: Callable[[dict[str, list]], tuple[list, list]]) -> DataFrame:
+    """Edges (a, b) that join all rows of a key which `work` links, directly or through others of that key.
+
+    rows: id and key, each once; held: id and what work needs; sizes: key, blocks,
+    first (the key's smallest id). Rows of a key are dealt to its blocks, and the first
+    one goes to each of them. Only keys whose rows aren't joined by that are looked at
+    again, pairs of blocks together, with what is joined already as one home.
+    """
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
+    to = F.when((F.col("id") == F.col("first")) & (F.col("blocks") > 1), every).otherwise(F.array(own))
+    dealt = rows.join(sizes, key).select(key, "id", F.explode(to).alias("block"))
+    edges = cut_lineage(by_group(dealt.join(held, "id"), [key, "block"], work))
+    large = sizes.where("blocks > 1")
+    if large.isEmpty():
+        return edges
+    homes = components(edges).withColumnRenamed("component", "home")
+    labelled = cut_lineage(rows.join(large, key).join(homes, "id", "left").select(key, "id", own.alias("own"), "blocks", F.coalesce("home", "id").alias("home")))
+    apart = labelled.groupBy(key).agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low != high").select(key)
+    pairs = labelled.join(apart, key).withColumn("other", F.explode(every)).where("own != other")
+    pairs = pairs.select(key, "id", "own", "home", F.least("own", "other").alias("block_i"), F.greatest("own", "other").alias("block_j"))
+    return edges.unionByName(by_group(pairs.join(held, "id"), [key, "block_i", "block_j"], work))
+
+
+def _parts(group: dict) -> tuple[np.ndarray | None, np.ndarray | None]:
+    return tuple(np.array(group[c]) if c in group else None for c in ("home", "own"))
+
+
+def _named(ids: list, edges: tuple[list[int], list[int]]) -> tuple[list, list]:
+    return tuple([ids[k] for k in side] for side in edges)
 
 
-def _posted_edges(similarity: float) -> Callable:
+def _likely_edges(similarity: float) -> Callable:
     def work(group: dict) -> tuple[list, list]:
-        ids, n = group["id"], np.array(group["n_shingles"], np.int64)
-        split = np.array(group["own"]) if group["block_i"] != group["block_j"] else None
-        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(ids), COORDINATES)
-        forest, a, b = Forest(len(ids)), [], []
-        for i, rest in likely_pairs(sketch, n, similarity, split):
-            for j in rest.tolist():
-                if forest.join(i, j):
-                    a.append(ids[i])
-                    b.append(ids[j])
-        return a, b
+        size = np.array(group["n_shingles"], np.int64)
+        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(size), COORDINATES)
+        return _named(group["id"], forest(len(size), lambda i, rest: matching(sketch, size, similarity, i, rest), *_parts(group)))
 
     return work
 
 
 def _true_edges(similarity_percent: int) -> Callable:
     def work(group: dict) -> tuple[list, list]:
-        ids, sets = group["id"], shingle_sets([t.encode("utf-8", "surrogatepass") for t in group["text"]])
-        split = np.array(group["own"]) if group["block_i"] != group["block_j"] else None
+        sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in group["text"]])
+        full = [k for k, x in enumerate(sets) if len(x)]  # another row of an id may be blank
+        group = {c: [x[k] for k in full] if isinstance(x, list) else x for c, x in group.items()}
+        sets = [sets[k] for k in full]
         size = np.array([len(s) for s in sets], np.int64)
         _, sketch = signatures(sets)
-        forest, a, b = Forest(len(ids)), [], []
-        for i, rest in likely_pairs(sketch, size, similarity_percent / 100, split):
-            # Likeliest first; those already in the same component needn't be compared.
-            order = rest[np.argsort(-(sketch[rest] == sketch[i]).sum(1), kind="stable")]
-            mine = sets[i]
-            for j in order.tolist():
-                if forest.find(i) == forest.find(j):
-                    continue
+
+        def linked(i: int, rest: np.ndarray) -> np.ndarray:
+            mine, found = sets[i], []
+            for j in matching(sketch, size, similarity_percent / 100, i, rest).tolist():
                 at = np.searchsorted(mine, sets[j])
                 common = int((mine[np.minimum(at, len(mine) - 1)] == sets[j]).sum())
                 if 100 * common >= similarity_percent * (len(mine) + len(sets[j]) - common):
-                    forest.join(i, j)
-                    a.append(ids[i])
-                    b.append(ids[j])
-        return a, b
+                    found.append(j)
+            return np.array(found, np.int64)
+
+        return _named(group["id"], forest(len(sets), linked, *_parts(group)))
 
     return work
 
@@ -180,12 +211,13 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, id_col: str =
     Documents are linked if 100 * |A & B| >= similarity_percent * |A | B| over their
     5-word shingle sets; component_id is the smallest id that links reach.
 
-    Equal sets are one document from the start. Each other posts the pairs of
-    coordinate and value that lead its MinHash signature; documents that meet under
-    a pair and agree in enough coordinates are candidates. A spanning forest of
-    these, not all pairs, leaves each posting list; its components are the groups
-    in which links are then tested on full sets. No list or group is capped: large
-    ones are compared block by block.
+    Equal sets are one document from the start. Each other is posted under the
+    coordinate-value pairs of its MinHash signature that come first: as many that two
+    documents above the match threshold share one of them (prefix). Collisions are
+    counted in each posting list, and rows that can't reach the threshold are skipped;
+    a spanning forest of the pairs above it, not all pairs, leaves the list. Its
+    components are the groups in which links are then tested on full sets. No list or
+    group is capped: large ones are compared block by block.
 
     A null or blank text has an empty set and no link. A row with a null id is
     linked with nothing (component_id null, kept true). Rows with the same id are
@@ -193,45 +225,48 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, id_col: str =
     table gives an empty one.
     """
     similarity = similarity_percent / 100
+    posted = prefix(similarity)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
-                full = [k for k, s in enumerate(sets) if len(s)]
-                keys, sketch = signatures([sets[k] for k in full])
-                place = {k: x for x, k in enumerate(full)}
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([keys[place[k]].tolist() if k in place else None for k in range(len(sets))], pa.list_(pa.int64())),
-                        pa.array([sketch[place[k]].tobytes() if k in place else None for k in range(len(sets))], pa.binary()),
-                    ],
-                    ["id", "n_shingles", "set_key", "posted", "sketch"],
-                )
+        for part in sliced(batches):
+            sets = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
+            full = [k for k, s in enumerate(sets) if len(s)]
+            keys, sketch = signatures([sets[k] for k in full], posted)
+            place = {k: x for x, k in enumerate(full)}
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([keys[place[k]].tolist() if k in place else None for k in range(len(sets))], pa.list_(pa.int64())),
+                    pa.array([sketch[place[k]].tobytes() if k in place else None for k in range(len(sets))], pa.binary()),
+                ],
+                ["id", "n_shingles", "set_key", "posted", "sketch"],
+            )
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = cut_lineage(map_arrow(own, sketched, "id long, n_shingles long, set_key binary, posted array<long>, sketch binary"))
     usable = base.where("id IS NOT NULL AND set_key IS NOT NULL")
-    same = usable.groupBy("set_key").agg(F.min("id").alias("first"))
-    member = cut_lineage(usable.select("id", "set_key").join(same, "set_key").select("id", "first", "set_key"))
-    distinct = usable.join(member.where("id = first").select("id", "set_key").distinct(), ["id", "set_key"]).dropDuplicates(["id", "set_key"])
-
-    posts = distinct.select("id", "n_shingles", "sketch", F.explode("posted").alias("post"))
-    met = posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
-    lists = in_blocks(posts.join(met, "post"), "post", "n", block)
-    likely = by_group(lists, ["post", "block_i", "block_j"], _posted_edges(similarity))
+    # One row for each different set: that of its smallest id. Copies meet it again at the end only.
+    same = cut_lineage(usable.groupBy("set_key").agg(F.min_by(F.struct("n_shingles", "posted", "sketch"), "id").alias("set"), F.min("id").alias("first")))
+    distinct = same.select(F.col("first").alias("id"), "set_key", "set.*")
+    member = cut_lineage(usable.select("id", "set_key").distinct().join(same.select("set_key", "first"), "set_key"))
+    # An id with several sets is one document, and joins them.
+    several = member.groupBy("id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low != high").select("id")
+    several = member.join(several, "id").select(F.col("id").alias("a"), F.col("first").alias("b"))
+
+    posts = distinct.select("id", F.explode("posted").alias("post"))
+    lists = posts.groupBy("post").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    lists = cut_lineage(lists.select("post", F.ceil(F.col("n") / block).cast("int").alias("blocks"), "first"))
+    likely = linked_rows(posts, distinct.select("id", "n_shingles", "sketch"), lists, "post", _likely_edges(similarity))
 
     groups = cut_lineage(components(likely))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    whole = groups.join(sizes, "component").join(own, "id").where(F.col("text").isNotNull())
-    blocks = in_blocks(whole, "component", "n", block)
-    true = by_group(blocks, ["component", "block_i", "block_j"], _true_edges(similarity_percent))
+    weights = groups.join(distinct.select("id", "n_shingles"), "id").groupBy("component").agg(F.sum(1 + F.col("n_shingles") / BLOCK_SHINGLES).alias("weight"))
+    weights = cut_lineage(weights.select("component", F.ceil(F.col("weight") / block).cast("int").alias("blocks"), F.col("component").alias("first")))
+    true = linked_rows(groups, own.where(F.col("text").isNotNull()), weights, "component", _true_edges(similarity_percent))
 
-    linked = components(true.unionByName(member.where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))))
-    found = base.select("id", "n_shingles").join(linked, "id", "left")
+    linked = components(true.unionByName(several)).withColumnRenamed("id", "first")
+    by_id = member.groupBy("id").agg(F.min("first").alias("first")).join(linked, "first", "left").select("id", F.coalesce("component", "first").alias("component"))
+    found = base.select("id", "n_shingles").join(by_id, "id", "left")
     component = F.coalesce("component", "id")
     return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tapegrid.llm import near_dedup
@@ -73,3 +74,64 @@ def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(10, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     found = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {k: 10 for k in range(10, 41)} | {k: 100 for k in range(100, 160)} | {200: 200, 201: 200}
+
+
+def test_one_document_with_several_sets(spark):
+    words = [f"w{k}" for k in range(60)]
+    one, other = " ".join(words), " ".join(words[::-1])
+    near = " ".join([*words[:59], "x"])
+    rows = [(9, one), (3, other), (7, one), (7, other), (7, " "), (5, near), (5, near), (2, "alone in this world of words")]
+    found = near_dedup.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), block=2)
+    assert sorted(map(tuple, found.collect()), key=repr) == brute(rows)
+
+
+def test_a_posted_coordinate_is_shared_and_counts_are_exact():
+    rng = np.random.default_rng(1)
+    sketch = rng.integers(0, 3, (200, near_dedup.COORDINATES)).astype(np.uint8)
+    sketch[100:] = sketch[:100]
+    for k in range(100, 200):
+        sketch[k, rng.choice(near_dedup.COORDINATES, k % 40, replace=False)] = 9
+    size = rng.integers(80, 120, 200)
+    for similarity in (0.8, 0.85):
+        least = near_dedup.least_matches(similarity)
+        for i in range(0, 200, 7):
+            rest = np.arange(i + 1, 200)
+            wanted = [j for j in rest.tolist() if int((sketch[i] == sketch[j]).sum()) >= least and min(size[i], size[j]) >= similarity * max(size[i], size[j]) - 1e-9]
+            assert near_dedup.matching(sketch, size, similarity, i, rest).tolist() == wanted
+            assert all((sketch[i] == sketch[j])[: near_dedup.prefix(similarity)].any() for j in wanted)
+
+
+def test_forest_joins_what_links_join():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 30, 120):
+        link = rng.random((n, n)) < 1.2 / n
+        link |= link.T
+        home, split = rng.integers(0, max(1, n // 3), n), rng.integers(0, 2, n)
+        for h, s in ((None, None), (home, None), (home, split)):
+            allowed = link if s is None else link & (s[:, None] != s)
+            a, b = near_dedup.forest(n, lambda i, rest: rest[link[i, rest]], h, s)
+            assert all(allowed[i, j] for i, j in zip(a, b, strict=True))
+
+            def parts(pairs, n=n, h=h):
+                label = list(range(n)) if h is None else [int((h == x).argmax()) for x in h]
+                for _ in range(n):
+                    for i, j in pairs:
+                        low = min(label[i], label[j])
+                        old = {label[i], label[j]}
+                        label = [low if x in old else x for x in label]
+                return label
+
+            assert parts(list(zip(a, b, strict=True))) == parts(np.argwhere(allowed).tolist())
+
+
+def test_many_near_copies(spark):
+    """Each block is joined to the group's first row, so no pair of blocks is left to compare."""
+    rng = random.Random(6)
+    text = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    rows = []
+    for i in range(1500):
+        copy = list(text)
+        copy[rng.randrange(200)] = f"own{i}"
+        rows.append((i, " ".join(copy), "x", 1))
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), block=256).collect()
+    assert {r.component_id for r in found} == {0}
