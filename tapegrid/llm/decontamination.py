@@ -50,7 +50,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     Items with fewer words than a mask have masks of their own, which find each overlap.
     Items without words and texts that are null or blank match nothing; rows with
-    null ids take part with a null id; repeated rows are merged into one; other
+    null ids take part with a null id, one by text; repeated rows are merged into one; other
     columns are left out; empty tables give an empty one.
     """
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("words")).where("size(words) > 0").distinct()
@@ -67,18 +67,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     tests = _small(tests.select("item", key.alias("key"), "seed", F.col("at").alias("item_at")).distinct(), MAX_BROADCAST)
     theirs = _small(items.select(F.col("item").alias("their_item"), key.alias("their_key"), F.col("words").alias("theirs")), MAX_BROADCAST // 8)
 
-    own = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words")).where("size(words) > 0")
+    # Rows are told apart by id and text, so that null ids and repeated ids aren't laid on each other's hits.
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), words(F.col(text_col)).alias("words")).where("size(words) > 0")
     every_mask = [*masks, *sorted({m for own_masks in whole.values() for m in own_masks} - set(masks))]
-    met = _seeds(own, every_mask).select("id", "at", "seed").join(tests, "seed")
-    # The document's word on which the item's first one lies; it may hang over the document's ends.
-    placed = met.groupBy("id", "item", "key", (F.col("at") - F.col("item_at")).alias("place")).agg(F.count("*").alias("hits"))
-    hits = _small(cut_lineage(placed.withColumnRenamed("id", "hit_id")), MAX_BROADCAST)
-
+    met = _seeds(own, every_mask).select("id", "row", "at", "seed").join(tests, "seed")
+    # The document's word on which the item's first one lies; it may hang over the document's ends. A repeated row has the same seeds again.
+    placed = met.groupBy("id", "row", "item", "key", (F.col("at") - F.col("item_at")).alias("place")).agg(F.count_distinct("at", "seed").alias("hits"))
+    hits = _small(cut_lineage(placed.select(F.col("id").alias("hit_id"), F.col("row").alias("hit_row"), "item", "key", "place", "hits")), MAX_BROADCAST)
+
+    # Only documents with hits are cut into words again.
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    of_hit = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("row") == F.col("hit_row"))
+    with_hits = texts.join(_small(hits.select("hit_id", "hit_row").distinct(), MAX_BROADCAST), of_hit, "left_semi").select("id", "row", words(F.col("text")).alias("words"))
     # What hangs over the document's ends is null there and can't match.
-    laid = own.join(hits, F.col("id").eqNullSafe(F.col("hit_id"))).join(theirs, F.col("item").eqNullSafe(F.col("their_item")) & (F.col("key") == F.col("their_key")))
+    laid = with_hits.join(hits, of_hit).join(theirs, F.col("item").eqNullSafe(F.col("their_item")) & (F.col("key") == F.col("their_key")))
     n = F.size("theirs")
     same = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.coalesce((F.get("words", F.col("place") + k) == F.get("theirs", k)).cast("int"), F.lit(0)))
-    equal = laid.select("id", "item", "place", "hits", F.least(n, F.lit(window)).alias("compared"), same.alias("same"))
+    equal = laid.select("id", "row", "item", "key", "place", "hits", F.least(n, F.lit(window)).alias("compared"), same.alias("same"))
     # The first window, and each next one from the one before: a place more behind, one less in front.
     first = F.aggregate(F.slice("same", 1, F.col("compared")), F.lit(0), lambda x, y: x + y)
     state = lambda run, most, begin: F.struct(run.alias("run"), most.alias("most"), begin.alias("begin"))
@@ -89,10 +94,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     started = equal.withColumn("first", first).withColumn("begins", F.slice(F.sequence(F.lit(0), F.size("same") - F.col("compared")), 2, F.size("same")))
     run = F.aggregate("begins", state(F.col("first"), F.col("first"), F.lit(0)), moved)
-    checked = started.withColumn("run", run).select("id", "item", "hits", "compared", F.col("run.most").alias("matched"), (F.col("place") + F.col("run.begin")).alias("place"))
+    checked = started.withColumn("run", run).select("id", "row", "item", "key", F.col("place").alias("laid_at"), "hits", "compared", F.col("run.most").alias("matched"), (F.col("place") + F.col("run.begin")).alias("place"))
     checked = checked.withColumn("similarity", F.col("matched") / F.col("compared")).where(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", "compared", "matched", (-F.col("place")).alias("back")))
-    found = checked.groupBy("id", "item").agg(best.alias("best"), F.sum("hits").alias("hits"))
+    once = checked.dropDuplicates(["id", "row", "item", "key", "laid_at"])
+    # Rows without an id are documents of their own, by their texts.
+    found = once.groupBy("id", F.when(F.col("id").isNull(), F.col("row")).alias("row"), "item").agg(best.alias("best"), F.sum("hits").alias("hits"))
     return found.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "best.similarity", F.col("best.matched").cast("long").alias("matched"), F.col("best.compared").cast("long").alias("compared"), (-F.col("best.back")).cast("long").alias("at"), "hits"
     )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapegrid.llm.common import cut_lineage, partitions, text_bytes
+from tapegrid.llm.common import cut_lineage, map_arrow, partitions, text_bytes
 
 SHARDS = 40
 #: Bits of each dimension; its range is cut at 2 ** BITS - 1 quantiles at most.
@@ -45,64 +48,98 @@ def hilbert_index(x: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _number(df: DataFrame, column: str) -> F.Column:
-    """A column as a number in the same order: strings by their first six bytes; null stays null."""
+def _numbers(df: DataFrame, column: str) -> F.Column:
+    """A column that isn't a string as a number in the same order; null and NaN are null."""
     kind = df.schema[column].dataType.typeName()
-    if kind == "string":
-        head = F.rpad(F.substring(F.hex(F.encode(F.col(column), "UTF-8")), 1, 12), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
     if kind in ("boolean", "date", "timestamp", "timestamp_ntz"):
         return F.col(column).cast("timestamp" if kind != "boolean" else "int").cast("double")
-    return F.col(column).cast("double")
+    return F.nanvl(F.col(column).cast("double"), F.lit(None))
+
+
+def _string_cuts(rows: DataFrame, column: str, bits: int) -> list[str]:
+    """Quantiles of whole strings: those at which the rows up to them pass a multiple of 1 / 2 ** bits of all.
+
+    Different values are counted, sorted across partitions and summed up; only the
+    cuts and the partitions' sums come to the driver.
+    """
+    spark = rows.sparkSession
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ordered = cut_lineage(counts.repartitionByRange(partitions(spark), "value").withColumn("part", F.spark_partition_id()))
+    sums = ordered.groupBy("part").agg(F.sum("n").alias("n")).toPandas().sort_values("part")
+    total = int(sums["n"].sum())
+    if not total:
+        return []
+    sums["before"] = sums["n"].cumsum() - sums["n"]
+    before = spark.createDataFrame(sums[["part", "before"]].astype("int64"), "part long, before long")
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    # One row per partition.
+    passed = ordered.join(F.broadcast(before), "part").withColumn("upto", upto)
+    step = total / (1 << bits)
+    return sorted(r["value"] for r in passed.where(F.floor(F.col("upto") / step) > F.floor((F.col("upto") - F.col("n")) / step)).select("value").collect())
 
 
 def hilbert_shards(docs: DataFrame, dimensions: list[str], shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """One row per row of docs: id, size, text_crc32, law, shard, slot, grown_shard, hilbert.
 
-    Each dimension is cut at its quantiles (nulls and NaN in the lowest cell), rows
+    Each dimension is cut at its quantiles, strings as a whole (nulls and NaN in the lowest cell), rows
     are sorted by curve index, text checksum, size and id, and run k of the `shards`
     runs is shard k: counts are at most one apart (law `rows`). size is the text's
     bytes plus 16, a null text has none; null ids sort first; repeated rows each
     get a slot; columns that aren't used are left out; an empty table gives an
     empty one. Only partition sizes and quantiles come to the driver.
     """
-    spark = docs.sparkSession
     names = [f"d{k}" for k in range(len(dimensions))]
+    strings = [docs.schema[c].dataType.typeName() == "string" for c in dimensions]
     raw = text_bytes(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), *[F.nanvl(_number(docs, c), F.lit(None)).alias(n) for c, n in zip(dimensions, names, strict=True)])
-    rows = cut_lineage(rows)
+    values = [(F.col(c) if string else _numbers(docs, c)).alias(n) for c, n, string in zip(dimensions, names, strings, strict=True)]
+    rows = cut_lineage(docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), *values))
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = rows.agg(*[F.percentile_approx(n, steps, ACCURACY).alias(n) for n in names]).first()
-    cuts = [np.unique(np.array(found[n] or [], float)) for n in names]
+    numbers = [n for n, string in zip(names, strings, strict=True) if not string]
+    found = rows.agg(F.count("*").alias("n"), *[F.percentile_approx(n, steps, ACCURACY).alias(n) for n in numbers]).first()
+    cuts = [_string_cuts(rows, n, bits) if string else sorted(set(found[n] or [])) for n, string in zip(names, strings, strict=True)]
+
+    def cell(name: str, string: bool, at: list) -> F.Column:
+        """0: null; else one more than the cuts below the value, within the cube."""
+        below = F.size(F.filter(F.array(*map(F.lit, at)), lambda c: c < F.col(name) if string else c <= F.col(name))) if at else F.lit(0)
+        return F.when(F.col(name).isNull(), 0).otherwise(F.least(below + 1, F.lit((1 << bits) - 1)))
 
     @F.pandas_udf("long")
-    def curve(*columns: pd.Series) -> pd.Series:
-        # Cell 0: null; else one more than the quantiles below, within the cube.
-        cells = [np.where(c.isna(), 0, np.minimum(1 + np.searchsorted(cut, c.fillna(0).to_numpy(float)), (1 << bits) - 1)) for c, cut in zip(columns, cuts, strict=True)]
-        return pd.Series(hilbert_index(np.stack(cells, 1), bits))
+    def curve(*cells: pd.Series) -> pd.Series:
+        return pd.Series(hilbert_index(np.stack([c.to_numpy(np.int64) for c in cells], 1), bits))
 
     order = ["hilbert", "text_crc32", "size", "id"]
-    on_curve = rows.withColumn("hilbert", curve(*names)).drop(*names)
-    cut = on_curve.repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id())
-    cut = cut_lineage(cut)
-    sizes = cut.groupBy("part").count().toPandas().sort_values("part")
-    total = int(sizes["count"].sum())
-    sizes["before"] = sizes["count"].cumsum() - sizes["count"]
-    before = spark.createDataFrame(sizes[["part", "before"]].astype("int64"), "part long, before long").withColumn("part", F.col("part").cast("int"))
-    # One row per partition.
-    at = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + F.col("before")
-    each, more = divmod(total, shards)
+    on_curve = rows.withColumn("hilbert", curve(*[cell(*x) for x in zip(names, strings, cuts, strict=True)])).drop(*names)
+    dealt = on_curve.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # Written and read in these partitions and this order.
+    dealt = cut_lineage(dealt)
+    sizes = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before = dict(zip(sorted(sizes), np.cumsum([0, *(sizes[k] for k in sorted(sizes))]).tolist(), strict=False))
+    each, more = divmod(found["n"], shards)
     split = more * (each + 1)  # the first `more` shards have one row more
-    numbered = cut.join(F.broadcast(before), "part").withColumn("at", at)
-    shard = F.when(F.col("at") < split, F.floor(F.col("at") / (each + 1))).otherwise(more + F.floor((F.col("at") - split) / max(each, 1)))
-    slot = F.when(F.col("at") < split, F.col("at") % (each + 1)).otherwise((F.col("at") - split) % max(each, 1))
-    return numbered.select(
-        F.col("id").alias(id_col),
-        "size",
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        shard.cast("int").alias("shard"),
-        slot.cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-        "hilbert",
-    )
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column(4)[0].as_py()  # a task has one partition
+            at = before[part] + seen.get(part, 0) + np.arange(batch.num_rows)
+            seen[part] = seen.get(part, 0) + batch.num_rows
+            large = at < split
+            shard = np.where(large, at // (each + 1), more + (at - split) // max(each, 1))
+            slot = np.where(large, at % (each + 1), (at - split) % max(each, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shard.astype(np.int32)), pa.array(slot)], ["id", "size", "text_crc32", "hilbert", "shard", "slot"])
+
+    out = map_arrow(dealt.select("id", "size", "text_crc32", "hilbert", "part"), numbered, "id long, size long, text_crc32 long, hilbert long, shard int, slot long")
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+def write_shards(docs: DataFrame, path: str, dimensions: list[str], shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """docs as one folder of Parquet per shard; a shard's rows lie together on the curve, so filters on the dimensions skip files.
+
+    Rows meet their shard again by id; ids must be unique and not null.
+    """
+    placed = hilbert_shards(docs, dimensions, shards, id_col, text_col).select(F.col(id_col).alias("placed_id"), "shard", "hilbert")
+    joined = docs.join(placed, docs[id_col] == placed["placed_id"]).drop("placed_id")
+    ordered = joined.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "hilbert").drop("hilbert")
+    ordered.write.partitionBy("shard").parquet(path)

@@ -22,6 +22,8 @@ TEXT_UNIT = 1 << 20
 SORT_UNIT = 1 << 20
 #: Copies that are broadcast at most (about 16 MB).
 MAX_BROADCAST = 1_000_000
+#: A place in a text and, above these bits, the number of the text among those of its id.
+_ORDER_BITS = 40
 _M = 0x9E3779B97F4A7C15
 _POWER = {k: np.uint64(pow(_M, k, 1 << 64)) for k in (1, 2, 4, 8, 16)}
 
@@ -173,30 +175,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     show where one ends, and the smallest id of each counts.
 
     A null text is empty. Rows with null ids are kept whole and compared with
-    nothing. Rows with one id and different texts are taken one after another, by
-    hash, as if their ids rose; repeated rows (same id and text) are one document.
-    Other columns are left out; an empty table gives an empty one.
+    nothing. Rows with one id take nothing from each other, whether their texts are
+    the same or not. Other columns are left out; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     raw = text_bytes(text_col)
     own = docs.select(F.col(id_col).cast("long").alias("id"), raw.alias("raw"))
     base = cut_lineage(own.select("id", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("sha")))
     rows = base.where("id IS NOT NULL")
-    distinct = rows.distinct()
-    most = distinct.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    if most == 1:
-        keyed = rows.withColumn("key", F.col("id"))
-        texts = own.where("id IS NOT NULL").select(F.col("id").alias("key"), "raw")
+    texts = own.where("id IS NOT NULL").select(F.col("id").alias("key"), "raw")
+    each = rows.groupBy("id", "sha").agg(F.count("*").alias("n"))
+    repeated = each.groupBy("id").agg(F.count("*").alias("texts"), F.max("n").alias("n")).agg(F.max("texts").alias("texts"), F.max("n").alias("n")).first()
+    # Texts of one id are told apart by a number, in the order of their hashes.
+    if (repeated["texts"] or 1) == 1:
+        keyed, texts = rows.withColumn("ord", F.lit(0).cast("long")), texts.withColumn("ord", F.lit(0).cast("long"))
     else:
-        number = distinct.withColumn("key", F.col("id") * most + F.row_number().over(Window.partitionBy("id").orderBy("sha")) - 1)
-        keyed = rows.join(number.select("id", "sha", "key"), ["id", "sha"])
-        texts = own.where("id IS NOT NULL").withColumn("sha", F.sha2("raw", 256)).join(number.select("id", "sha", "key"), ["id", "sha"]).select("key", "raw").dropDuplicates(["key"])
-    firsts = keyed.groupBy("sha").agg(F.min("key").alias("first"))
-    keyed = cut_lineage(keyed.join(firsts, "sha"))
-    copies = keyed.where("key > first").select(F.col("key").alias("copy"))
+        number = each.select("id", "sha", (F.row_number().over(Window.partitionBy("id").orderBy("sha")) - 1).cast("long").alias("ord"))
+        keyed = rows.join(number, ["id", "sha"])
+        texts = texts.withColumn("sha", F.sha2("raw", 256)).join(number.withColumnRenamed("id", "key"), ["key", "sha"]).drop("sha")
+    # Only whole texts that come more than once have a first one; short ones stay out, however often they come.
+    firsts = rows.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    keyed = cut_lineage(keyed.join(firsts, "sha", "left"))
+    copies = keyed.where("id > first").select(F.col("id").alias("copy"), F.col("ord").alias("copy_ord"))
     if copies.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         copies = F.broadcast(copies)
-    texts = texts.where(F.octet_length("raw") >= length).join(copies, F.col("key") == F.col("copy"), "left_anti")
+    texts = texts.where(F.octet_length("raw") >= length).join(copies, (F.col("key") == F.col("copy")) & (F.col("ord") == F.col("copy_ord")), "left_anti")
     n = partitions(spark)
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +214,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     def surrounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, lists = batch.column(0).to_numpy(), batch.column(2)
+            key, lists, order = batch.column(0).to_numpy(), batch.column(2), batch.column(3).to_numpy()
             bounds = lists.offsets.to_numpy()
             wanted_all = lists.values.to_numpy()
             for a, data, ends in _units(batch.column(1)):
@@ -225,7 +228,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 begin = np.r_[0, ends[:-1]][text]
                 raw = data.tobytes()
                 contexts = [raw[s : e + length] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(key[a + text]), pa.array(first - begin), pa.array(contexts, pa.binary())], ["anchor", "key", "start", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(key[a + text]), pa.array((order[a + text] << _ORDER_BITS) + first - begin), pa.array(contexts, pa.binary())], ["anchor", "key", "start", "context"])
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, last = _Contexts(length), None
@@ -254,9 +257,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         if found is not None:
             yield found
 
-    around = map_arrow(texts.join(shared, "key").select("key", "raw", "anchors"), surrounded, "anchor long, key long, start long, context binary")
+    around = map_arrow(texts.join(shared, "key").select("key", "raw", "anchors", "ord"), surrounded, "anchor long, key long, start long, context binary")
     spans = map_arrow(around.repartition(n, "anchor").sortWithinPartitions("anchor"), covered, "key long, start long, stop long")
-    by_key = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    in_text = lambda at: F.col(at).bitwiseAND((1 << _ORDER_BITS) - 1).alias(at)
+    by_key = spans.groupBy("key", F.shiftright("start", _ORDER_BITS).alias("ord")).agg(F.array_sort(F.collect_list(F.struct(in_text("start"), in_text("stop")))).alias("spans"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,11 +279,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 kept.update(text[at:])
                 for column, x in zip(out, (removed, runs, kept.hexdigest()), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["key", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["id", "ord", "n_removed", "n_spans", "kept"])
 
-    cut = map_arrow(texts.join(by_key, "key").select("key", "raw", "spans"), cut_out, "key long, n_removed long, n_spans long, kept string")
-    gone = (F.col("key") > F.col("first")) & (F.col("n_bytes") >= length)
-    found = keyed.join(cut, "key", "left").select(
+    cut = map_arrow(texts.join(by_key, ["key", "ord"]).select("key", "raw", "spans", "ord"), cut_out, "id long, ord long, n_removed long, n_spans long, kept string")
+    if (repeated["n"] or 1) > 1:
+        cut = cut.dropDuplicates(["id", "ord"])
+    gone = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
+    found = keyed.join(cut, ["id", "ord"], "left").select(
         "id", "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),

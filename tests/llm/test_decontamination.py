@@ -13,26 +13,19 @@ def w(text):
 
 
 def brute(docs, items, window=25, similarity=0.8):
-    """Best share of equal words over all windows that a seed leads to."""
-    masks = [[k for k, c in enumerate(m) if c == "1"] for m in decontamination.MASKS]
+    """Best count of equal words over all windows of each way to lay an item on a document that a seed allows; short items need none."""
     out = {}
-    for i, it in items:
-        b = w(it)
-        for d, t in docs:
-            a = w(t)
-            starts = []
-            if 0 < len(b) < 9:
-                starts = [(p, 0) for p in range(len(a) - len(b) + 1) if a[p : p + len(b)] == b]
-            elif b:
-                for mask, text in zip(masks, decontamination.MASKS, strict=True):
-                    starts += [(p, q) for p in range(len(a) - len(text) + 1) for q in range(len(b) - len(text) + 1) if all(a[p + k] == b[q + k] for k in mask)]
+    for d, t in docs:
+        a = w(t)
+        for i, it in items:
+            b = w(it)
             n = min(len(b), window)
-            for p, q in starts:
-                begin = max(0, min(q - (n - 9) // 2, len(b) - n))
-                at = p - q + begin
-                m = sum(1 for k in range(n) if 0 <= at + k < len(a) and a[at + k] == b[begin + k])
-                if m / n >= similarity:
-                    out[d, i] = max(out.get((d, i), 0), m)
+            for place in range(-len(b) + 1, len(a)):
+                same = [0 <= place + k < len(a) and a[place + k] == x for k, x in enumerate(b)]
+                met = len(b) < 9 or any(all(same[q + k] for k, c in enumerate(m) if c == "1") and 0 <= place + q <= len(a) - len(m) for m in decontamination.MASKS for q in range(len(b) - len(m) + 1))
+                best = max(sum(same[k : k + n]) for k in range(len(b) - n + 1))
+                if met and best / n >= similarity:
+                    out[d, i] = max(best, out.get((d, i), 0))
     return sorted((d, i, m) for (d, i), m in out.items())
 
 
@@ -81,20 +74,28 @@ def test_all_windows_and_short_items(spark):
         for k in rng.sample(range(len(piece)), rng.randint(3, 5) if len(piece) == 25 else 1):
             piece[k] = "zz"
         docs.append((d, " ".join(["aa"] * (d % 4) + piece + ["bb"] * 30)))
-    # Seeds are only asked whether there is one; then each window counts.
-    wanted = {}
-    for d, t in docs:
-        for i, it in items:
-            a, b = w(t), w(it)
-            n = min(len(b), 25)
-            for place in range(-len(b) + 1, len(a)):
-                same = [0 <= place + k < len(a) and a[place + k] == x for k, x in enumerate(b)]
-                met = len(b) < 9 or any(all(same[q + k] for k, c in enumerate(m) if c == "1") and 0 <= place + q <= len(a) - len(m) for m in decontamination.MASKS for q in range(len(b) - len(m) + 1))
-                best = max(sum(same[k : k + n]) for k in range(len(b) - n + 1))
-                if met and best / n >= 0.8:
-                    wanted[d, i] = max(best, wanted.get((d, i), 0))
+    wanted = {(d, i): m for d, i, m in brute(docs, items)}
     assert len(wanted) > 120 and {i for _, i in wanted} >= {0, 1, 2, 3, 4, 5, 6}
     found = decontamination.contaminated(spark.createDataFrame([(*r, "x", 1) for r in docs], DOCS), spark.createDataFrame([(*r, "x") for r in items], ITEMS)).collect()
     assert {(r.doc_id, r.item_id): r.matched for r in found} == wanted
     for r in found:
         assert r.compared == min(25, len(w(items[r.item_id][1]))) and r.similarity == r.matched / r.compared
+
+
+def test_repeated_rows_and_rows_without_ids(spark):
+    item = " ".join(f"b{k}" for k in range(12))
+    rows = [(1, "x " + item), (None, item + " y"), (None, item + " z"), (None, None), (2, "nothing of it")]
+    items = spark.createDataFrame([(7, item, "x"), (None, item, "x")], ITEMS)
+    once = decontamination.contaminated(spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS), items).collect()
+    assert sorted(((r.doc_id, r.item_id, r.at) for r in once), key=repr) == sorted([(1, 7, 1), (1, None, 1), *[(None, i, 0) for i in (7, None)] * 2], key=repr)
+    hits = {r.hits for r in once}
+    assert len(hits) == 1
+    again = decontamination.contaminated(spark.createDataFrame([(*r, "x", 1) for r in rows * 4], DOCS), items).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, once))
+
+
+def test_a_very_long_text(spark):
+    item = " ".join(f"b{k}" for k in range(30))
+    text = " ".join(f"w{k % 977}" for k in range(100_000)) + " " + item
+    found = decontamination.contaminated(spark.createDataFrame([(1, text, "x", 1)], DOCS), spark.createDataFrame([(7, item, "x")], ITEMS)).collect()
+    assert [(r.doc_id, r.item_id, r.matched) for r in found] == [(1, 7, 25)] and 100_000 <= found[0].at <= 100_005

@@ -93,3 +93,28 @@ def test_top_k_of_odd_rows(spark):
     for size in (8192, 2):
         assert sorted(map(tuple, ball_tree.top_k(df, 3, 20, 64, shard_rows=size).collect())) == brute(pd.DataFrame(used, columns=["vec_id", "v"]), 3, 20)
     assert ball_tree.top_k(df.limit(0)).collect() == []
+
+
+def test_strings_are_cut_as_a_whole(spark):
+    rows = [(k, f"https://example.org/page/{k:05d}", k % 40) for k in range(800)] + [(800, None, 1), (801, "https://example.org/page/00003", 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, url string, n int").withColumn("text", F.col("url"))
+    found = hilbert_sharding.hilbert_shards(docs, ["url"], 4).toPandas()
+    cells = found.hilbert.nunique()
+    assert 31 <= cells <= 33
+    # In one dimension the curve is the order of the values.
+    by_id = found[found.doc_id < 800].sort_values("doc_id")
+    assert (by_id.hilbert.diff().dropna() >= 0).all() and found[found.doc_id == 800].hilbert.max() == 0
+
+
+def test_written_shards_let_filters_skip_files(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    data = pd.DataFrame({"doc_id": np.arange(4000), "text": "x", "a": rng.random(4000), "b": rng.random(4000)})
+    path = str(tmp_path / "shards")
+    hilbert_sharding.write_shards(spark.createDataFrame(data), path, ["a", "b"], 16)
+    ranges = spark.read.parquet(path).groupBy("shard").agg(F.count("*").alias("n"), *[f(c).alias(n + c) for c in "ab" for f, n in ((F.min, "min"), (F.max, "max"))]).toPandas()
+    assert ranges.n.tolist() == [250] * 16
+    # A square of a hundredth of the plane meets a few of the sixteen shards, in either dimension alone about half at most.
+    hit = ranges[(ranges.maxa >= 0.6) & (ranges.mina <= 0.7) & (ranges.maxb >= 0.2) & (ranges.minb <= 0.3)]
+    assert len(hit) <= 4
+    for c in "ab":
+        assert ((ranges["max" + c] >= 0.6) & (ranges["min" + c] <= 0.7)).sum() <= 9
