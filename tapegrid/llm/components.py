@@ -23,16 +23,14 @@ def components(edges: DataFrame) -> DataFrame:
     many edges isn't gathered anywhere.
     """
     edges = cut_lineage(_points_down(edges))
-    seen = None
     while True:
+        # Done when each node points at one other only, and none of these points on.
+        once = edges.groupBy("a").agg(F.count("*").alias("n"))
+        if once.where("n > 1").isEmpty() and edges.join(edges.select("b").distinct().withColumnRenamed("b", "a"), "a", "left_semi").isEmpty():
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         edges = _points_down(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut_lineage(_points_down(moved.unionByName(least.withColumnRenamed("m", "b"))))
-        # A sum of 64-bit hashes as decimals, which don't overflow.
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        seen = now

@@ -15,11 +15,11 @@ from tapegrid.llm.components import components
 from tapegrid.llm.text_hashes import mix, shingle_sets
 
 #: Coordinates of a signature.
-COORDINATES = 64
+COORDINATES = 40
 #: Standard deviations by which the number of equal coordinates may stay below its mean.
 DEVIATIONS = 5.0
 #: Coordinates that are counted before rows that can't reach the match threshold are skipped.
-STEP = 16
+STEP = 8
 #: Documents of a group that are compared in one task, and shingles that count as one more; larger groups are split into blocks.
 BLOCK = 1024
 BLOCK_SHINGLES = 2048
@@ -141,32 +141,44 @@ def by_group(df: DataFrame, columns: list[str], work: Callable[[dict[str, list]]
     return map_arrow(sorted_rows, run, "a long, b long")
 
 
-def linked_rows(rows: DataFrame, held: DataFrame, sizes: DataFrame, key: str, work: Callable[[dict[str, list]], tuple[list, list]]) -> DataFrame:
-    """Edges (a, b) that join all rows of a key which `work` links, directly or through others of that key.
+def _links(found: DataFrame) -> DataFrame:
+    """Components as edges."""
+    return found.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
+def linked_rows(rows: DataFrame, held: DataFrame, sizes: DataFrame, key: str, work: Callable[[dict[str, list]], tuple[list, list]], block_rows: int) -> DataFrame:
+    """Components (id, component) of the rows that `work` links within a key, directly or through others.
 
     rows: id and key, each once; held: id and what work needs; sizes: key, blocks,
     first (the key's smallest id). Rows of a key are dealt to its blocks, and the first
     one goes to each of them. Only keys whose rows aren't joined by that are looked at
-    again, pairs of blocks together, with what is joined already as one home.
+    again, with what is joined already as one home: rows of different blocks meet
+    unless both are of the key's largest home.
     """
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
     to = F.when((F.col("id") == F.col("first")) & (F.col("blocks") > 1), every).otherwise(F.array(own))
     dealt = rows.join(sizes, key).select(key, "id", F.explode(to).alias("block"))
-    edges = cut_lineage(by_group(dealt.join(held, "id"), [key, "block"], work))
+    found = components(by_group(dealt.join(held, "id"), [key, "block"], work))
     large = sizes.where("blocks > 1")
     if large.isEmpty():
-        return edges
-    homes = components(edges).withColumnRenamed("component", "home")
+        return found
+    homes = found.withColumnRenamed("component", "home")
     labelled = cut_lineage(rows.join(large, key).join(homes, "id", "left").select(key, "id", own.alias("own"), "blocks", F.coalesce("home", "id").alias("home")))
-    apart = labelled.groupBy(key).agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low != high").select(key)
-    pairs = labelled.join(apart, key).withColumn("other", F.explode(every)).where("own != other")
-    pairs = pairs.select(key, "id", "own", "home", F.least("own", "other").alias("block_i"), F.greatest("own", "other").alias("block_j"))
-    return edges.unionByName(by_group(pairs.join(held, "id"), [key, "block_i", "block_j"], work))
+    # Rows of a key's largest home stay in their block, and all others visit it, in chunks: n + others * blocks rows, if the others fit one chunk.
+    counts = labelled.groupBy(key, "home").agg(F.count("*").alias("n"))
+    most = counts.groupBy(key).agg(F.max_by("home", F.struct("n", "home")).alias("largest"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    apart = labelled.join(most.select(key, "largest", F.ceil(F.col("others") / block_rows).cast("int").alias("chunks")), key)
+    chunk = F.pmod(F.xxhash64("id", F.lit(6)), F.col("chunks")).cast("int")
+    stay = apart.select(key, "id", "home", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("visits"))
+    visit = apart.where("home != largest").select(key, "id", "home", "own", chunk.alias("chunk"), F.explode(every).alias("block")).where("block != own")
+    both = stay.unionByName(visit.select(key, "id", "home", "block", "chunk", F.lit(1).alias("visits")))
+    more = cut_lineage(by_group(both.join(held, "id"), [key, "block", "chunk"], work))
+    return found if more.isEmpty() else components(more.unionByName(_links(found)))
 
 
 def _parts(group: dict) -> tuple[np.ndarray | None, np.ndarray | None]:
-    return tuple(np.array(group[c]) if c in group else None for c in ("home", "own"))
+    return tuple(np.array(group[c]) if c in group else None for c in ("home", "visits"))
 
 
 def _named(ids: list, edges: tuple[list[int], list[int]]) -> tuple[list, list]:
@@ -258,14 +270,16 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, id_col: str =
     posts = distinct.select("id", F.explode("posted").alias("post"))
     lists = posts.groupBy("post").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     lists = cut_lineage(lists.select("post", F.ceil(F.col("n") / block).cast("int").alias("blocks"), "first"))
-    likely = linked_rows(posts, distinct.select("id", "n_shingles", "sketch"), lists, "post", _likely_edges(similarity))
+    likely = linked_rows(posts, distinct.select("id", "n_shingles", "sketch"), lists, "post", _likely_edges(similarity), block)
 
-    groups = cut_lineage(components(likely))
+    groups = cut_lineage(likely)
     weights = groups.join(distinct.select("id", "n_shingles"), "id").groupBy("component").agg(F.sum(1 + F.col("n_shingles") / BLOCK_SHINGLES).alias("weight"))
     weights = cut_lineage(weights.select("component", F.ceil(F.col("weight") / block).cast("int").alias("blocks"), F.col("component").alias("first")))
-    true = linked_rows(groups, own.where(F.col("text").isNotNull()), weights, "component", _true_edges(similarity_percent))
+    true = linked_rows(groups, own.where(F.col("text").isNotNull()), weights, "component", _true_edges(similarity_percent), block)
 
-    linked = components(true.unionByName(several)).withColumnRenamed("id", "first")
+    if not several.isEmpty():
+        true = components(_links(true).unionByName(several))
+    linked = true.withColumnRenamed("id", "first")
     by_id = member.groupBy("id").agg(F.min("first").alias("first")).join(linked, "first", "left").select("id", F.coalesce("component", "first").alias("component"))
     found = base.select("id", "n_shingles").join(by_id, "id", "left")
     component = F.coalesce("component", "id")
