@@ -9,8 +9,8 @@ from tapegrid.llm.common import cut_lineage
 
 
 def _points_down(edges: DataFrame) -> DataFrame:
-    """Each edge once, from the larger to the smaller end; loops left out."""
-    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    """Each edge once, from the larger to the smaller end; loops left out. One shuffle, which also serves groups and joins by a."""
+    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").repartition("a").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,8 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut_lineage(_points_down(edges))
     while True:
         # Done when each node points at one other only, and none of these points on.
-        once = edges.groupBy("a").agg(F.count("*").alias("n"))
-        if once.where("n > 1").isEmpty() and edges.join(edges.select("b").distinct().withColumnRenamed("b", "a"), "a", "left_semi").isEmpty():
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        if ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out = 1 AND into = 1").isEmpty():
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
