@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +31,17 @@ def write_whole(rows: DataFrame, path: str, sort: str = "symbol", files: int | N
 
 
 def compact(spark: SparkSession, path: str, year: int, files: int = 1) -> None:
-    """Writes a year's rows anew into few files; Spark's committer exchanges them at the end."""
+    """Writes a year's rows anew into few files, in the table's own folder levels; Spark's committer exchanges them at the end.
+
+    The rows are read from the folder that is replaced, so they are written to the
+    checkpoint folder (spark.checkpoint.dir) first.
+    """
     rows = spark.read.parquet(path).where(F.col("year") == year)
-    # The rows are read from the folder that is replaced: they are written aside first.
-    aside = f"{path.rstrip('/')}_compacting_{year}"
-    rows.write.mode("overwrite").parquet(aside)
-    write_minute(spark.read.parquet(aside), path, files)
+    one = rows.select("_metadata.file_path").first()
+    if one is None:
+        return
+    keys = [k for k in re.findall(r"/([^/=]+)=[^/]*(?=/)", one["file_path"]) if k in rows.columns]
+    write_minute(rows.checkpoint(), path, files, tuple(keys))
 
 
 def input_manifest(rows: DataFrame) -> DataFrame:
