@@ -58,9 +58,9 @@ LISTING = """rec AS (
 ), listing AS (SELECT * FROM lst QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY status, delist_date DESC, name, exchange) = 1)"""
 
 ACTIONS = """sp AS (
-  SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS symbol, strftime(l_shipdate, '%Y-%m-%d') AS ex_date, CAST(1 + l_linenumber % 3 AS DOUBLE) AS split_ratio FROM lineitem WHERE l_suppkey < 20 AND l_returnflag = 'R'
+  SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS symbol, strftime(l_shipdate, '%Y-%m-%d') AS ex_date, CAST(1 + l_linenumber % 3 AS DOUBLE) AS split_ratio FROM lineitem WHERE l_returnflag = 'R'
 ), dv AS (
-  SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS symbol, strftime(l_shipdate, '%Y-%m-%d') AS ex_date, l_discount AS cash_div FROM lineitem WHERE l_suppkey < 20 AND l_returnflag = 'A'
+  SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS symbol, strftime(l_shipdate, '%Y-%m-%d') AS ex_date, l_discount AS cash_div FROM lineitem WHERE l_returnflag = 'A'
 )"""
 
 PRICES = """prices AS (
@@ -214,7 +214,7 @@ SQL = {
     "remap_symbols": f"""WITH {LISTING}, act AS (SELECT c_custkey, 'C' || CAST(c_custkey % 1200 AS VARCHAR) || CASE WHEN c_custkey % 2 = 0 THEN 'B' ELSE '' END AS symbol FROM customer),
       dot AS (SELECT replace(symbol, '.', '') AS plain, min(symbol) AS native FROM listing WHERE contains(symbol, '.') GROUP BY 1 HAVING count(*) = 1)
       SELECT c_custkey, CASE WHEN a.symbol NOT IN (SELECT symbol FROM listing) AND native IS NOT NULL THEN native ELSE a.symbol END AS symbol FROM act a LEFT JOIN dot ON plain = a.symbol""",
-    "adjusted_close": f"""WITH {ACTIONS}, {PRICES}, r AS (SELECT symbol, ex_date, product(split_ratio) AS ratio FROM sp WHERE ex_date LIKE '1996-%' GROUP BY 1, 2)
+    "adjusted_close": f"""WITH {ACTIONS}, {PRICES.replace('o_custkey % 20', 'o_custkey')}, r AS (SELECT symbol, ex_date, product(split_ratio) AS ratio FROM sp GROUP BY 1, 2)
       SELECT p.symbol, trade_date, round("close", 10) AS "close", round("close" / coalesce(product(ratio), 1.0), 10) AS close_adj FROM prices p LEFT JOIN r ON r.symbol = p.symbol AND trade_date < ex_date GROUP BY p.symbol, trade_date, "close" """,
     "trading_calendar": f"WITH {calendar('2024-01-01', '2024-12-31')} SELECT * FROM cal",
     "minute_grid": feat("SELECT condition_id, trade_date, ts, strftime(ts, '%H:%M') AS minute FROM grid"),
