@@ -31,7 +31,10 @@ _ISSUED = (
     r"sk_(?:live|test)_[A-Za-z0-9]{16,}",
     r"AIza[A-Za-z0-9_-]{35}",
     r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    r"-----BEGIN [\s\S]*",
 )
+# A private key in PEM, from its first to its last line.
+_PEM = r"()(-----BEGIN [A-Z0-9\x20]{0,30}PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z0-9\x20]{0,30}PRIVATE KEY(?: BLOCK)?-----)"
 
 #: 12 or more of a key's characters.
 _CORE = r"[A-Za-z0-9+/_\-]{12,}(?:\.[A-Za-z0-9_\-]{8,}){0,2}={0,2}"
@@ -58,15 +61,17 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A finding is a run of 12 or more of a key's characters that has a digit, or is
     assigned to a name; runs of letters alone aren't keys. What is assigned to a
-    secret's name is a finding from 6 characters on, whichever they are. The word
-    before is only looked at, so that it may be a finding too.
+    secret's name is a finding from 6 characters on, whichever they are, and a
+    private key in PEM is one as a whole. The word before is only looked at, so that
+    it may be a finding too.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     any_found, named = F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), F.regexp_extract_all(text, F.lit(_NAMED), F.lit(0))
     named = F.when(text.rlike(f"(?i)(?:{_NAMES})"), named)
-    # What is kept below has a digit, or such a sign before it; texts without either aren't searched.
-    docs = docs.where(text.rlike("[0-9:=]"))
-    pieces = {"any": (any_found, _ANY), "named": (named, _NAMED)}
+    blocks = F.when(text.contains("PRIVATE KEY"), F.regexp_extract_all(text, F.lit(_PEM), F.lit(0)))
+    # What is kept below has a digit, or such a sign before it, or is a key in PEM; texts without either aren't searched.
+    docs = docs.where(text.rlike("[0-9:=]") | text.contains("PRIVATE KEY"))
+    pieces = {"any": (any_found, _ANY), "named": (named, _NAMED), "block": (blocks, _PEM)}
     found = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"),
         *[m.alias(f"{k}_found") for k, (m, _) in pieces.items()], *[F.when(F.size(m) > 0, F.split(text, p, -1)).alias(f"{k}_between") for k, (m, p) in pieces.items()],
@@ -77,12 +82,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Parted by the pattern that found it; a named value that is a key in itself is found by the other one.
     placed = found.select("id", "path", F.posexplode(F.array(*rows)).alias("pattern", "rows")).select("id", "path", "pattern", F.inline("rows")).where("match IS NOT NULL")
     pattern = {k: F.col("pattern") == i for i, k in enumerate(pieces)}
-    part = lambda at: F.when(pattern["any"], F.regexp_extract("match", f"^{_ANY}$", at)).otherwise(F.regexp_extract("match", f"^{_NAMED}$", at))
+    part = lambda at: F.when(pattern["any"], F.regexp_extract("match", f"^{_ANY}$", at)).when(pattern["block"], F.regexp_extract("match", f"^{_PEM}$", at)).otherwise(F.regexp_extract("match", f"^{_NAMED}$", at))
     ahead = F.concat(F.right("last", F.lit(_BACK)), F.right("between", F.lit(_BACK)))
     previous = F.regexp_extract(F.right(ahead, F.lit(_BACK)), rf"{_RUN_START}[^\x20\x09-\x0D]{{1,40}}+(?:[\x20\x09-\x0D]{{1,3}})?$", 0)
     parted = placed.select("id", "path", "pattern", F.concat(previous, part(1)).alias("before"), part(2).alias("finding")).where("finding != ''")
     key = F.col("finding").rlike(rf"^(?=[A-Za-z+/_\-]{{0,60}}+[0-9]|[A-Za-z0-9+/_\-]{{20}}){_CORE}$")
-    kept = parted.where((pattern["any"] & (F.col("finding").rlike("[0-9]") | F.col("before").rlike("[:=][\\x20\\x09]{0,3}[\"']?$"))) | (pattern["named"] & ~key))
+    kept = parted.where((pattern["any"] & (F.col("finding").rlike("[0-9]") | F.col("before").rlike("[:=][\\x20\\x09]{0,3}[\"']?$"))) | (pattern["named"] & ~key) | pattern["block"])
     return kept.groupBy("id", "path", "before", "finding").agg(F.count("*").alias("n"))
 
 
@@ -177,7 +182,8 @@ def secrets(docs: DataFrame, model: SecretModel | None = None, threshold: float
     a null id; repeated rows add to n; other columns are left out; an empty table
     gives an empty one.
     """
-    found = candidates(docs, id_col, text_col, path_col)
+    # Written once: labels, forest and scores all read it, and the texts are searched a single time.
+    found = cut_lineage(candidates(docs, id_col, text_col, path_col))
     if model is None:
         model = fit(weak_labels(found), dictionary(docs, text_col=text_col))
     kept = scored(found, model).where(F.col("score") >= threshold)

@@ -122,3 +122,35 @@ def test_secrets_in_a_row_and_short_values_are_candidates(spark):
 def test_dictionary_covers_all_rows(spark):
     docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 500 == 0, F.concat(F.lit("q"), F.char(97 + F.col("id") / 500), F.lit("z"))).alias("text"))
     assert secret_forest.dictionary(docs) == [f"q{chr(97 + k)}z" for k in range(20)]
+
+
+def test_private_keys_in_pem_are_one_finding(spark):
+    lines = "\n".join("MIIEpAIBAAKCAQEA" + chr(97 + k) * 3 + f"{k}Zx9Qw8Er7Ty6" * 3 for k in range(5))
+    block = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{lines}\n-----END RSA PRIVATE KEY-----"
+    texts = {1: f"see\n{block}\nand", 2: f"{block}\n{block}", 3: "-----BEGIN RSA PRIVATE KEY----- without an end", 4: "-----BEGIN CERTIFICATE-----\nabc\n-----END CERTIFICATE-----"}
+    docs = spark.createDataFrame([(k, t, "a", "en", 1, "x", 1) for k, t in texts.items()], SCHEMA)
+    found = secret_forest.candidates(docs)
+    blocks = found.where("finding LIKE '-----BEGIN%'")
+    assert {r.id: r.n for r in blocks.groupBy("id").agg(F.sum("n").alias("n")).collect()} == {1: 1, 2: 2} and {r.finding for r in blocks.collect()} == {block}
+    kept = secret_forest.scored(found, secret_forest.SecretModel([], None)).where("score >= 0.5")
+    clean = {r.doc_id: r.text for r in secret_forest.redacted(docs, kept.withColumnRenamed("id", "doc_id")).collect()}
+    assert clean == texts | {1: "see\n[SECRET]\nand", 2: "[SECRET]\n[SECRET]"}
+
+
+def test_features_against_plain_python(spark):
+    rows = [(1, "x/y.py", 'token = "', "aB3dE5fG7hI9jK1l", 1), (2, "tests/z", "id ", "deadbeef00112233", 1), (3, "", "PASSWORD: ", "12345678901234", 1), (4, "p", "see token ", "the-other-thing0", 1), (5, "p", "", "é€ü123456789", 1)]
+    found = spark.createDataFrame(rows, "id long, path string, before string, finding string, n long")
+    got = {r.id: r for r in secret_forest.described(found, ["the", "ing", "oth"]).collect()}
+    sort = lambda c: "d" if c in "0123456789" else "u" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "-"
+    for i, path, before, c, _ in rows:
+        r, n = got[i], len(c)
+        assert r.length == min(n, 100)
+        for share, kind in ((r.digit_share, "d"), (r.upper_share, "u"), (r.lower_share, "l")):
+            assert abs(share - sum(sort(x) == kind for x in c) / n) < 1e-12
+        assert abs(r.transitions - sum(sort(a) != sort(b) and "-" not in (sort(a), sort(b)) for a, b in zip(c, c[1:])) / (n - 1)) < 1e-12
+        assert abs(r.distinct_share - len(set(c)) / n) < 1e-12
+        assert abs(r.dictionary - sum(c.lower()[k : k + 3] in ("the", "ing", "oth") for k in range(n - 2)) / (n - 2)) < 1e-12
+        assert r.hex == float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", c)))
+        assert r.assigned == float(before.strip(' "').endswith((":", "="))) and r.quoted == float(before.endswith('"'))
+        assert r.named == float(i in (1, 3)) and r.name_near == float(i in (1, 3, 4))
+        assert (r.path_code, r.path_test) == (float(path.endswith(".py")), float(path.startswith("tests/")))
