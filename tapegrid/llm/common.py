@@ -82,10 +82,18 @@ def words(text: str | F.Column) -> F.Column:
     return F.array_remove(F.split(lowered, SPACE), "")
 
 
-#: Ids of rows to leave out that are broadcast at most (about 16 MB); more are joined by a shuffle.
+#: Ids of rows to leave out, or to look up, that are broadcast at most (about 16 MB); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
 
+def among(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is in ids (one column), which can be read again cheaply; columns and repeated rows stay as they are."""
+    wanted = ids.toDF("wanted_id")
+    if wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return docs.join(wanted, docs[id_col] == wanted["wanted_id"], "left_semi")
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs less the rows whose id is in ids (one column). Rows with a null id stay; columns and repeated rows stay as they are."""
     out = cut_lineage(ids.toDF("left_out_id").where("left_out_id IS NOT NULL").distinct())

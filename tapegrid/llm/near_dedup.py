@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapegrid.llm.common import cut_lineage, map_arrow, partitions, sliced
+from tapegrid.llm.common import among, cut_lineage, map_arrow, partitions, sliced
 from tapegrid.llm.components import components
 from tapegrid.llm.text_hashes import mix, shingle_sets
 
@@ -275,7 +275,9 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, id_col: str =
     groups = cut_lineage(likely)
     weights = groups.join(distinct.select("id", "n_shingles"), "id").groupBy("component").agg(F.sum(1 + F.col("n_shingles") / BLOCK_SHINGLES).alias("weight"))
     weights = cut_lineage(weights.select("component", F.ceil(F.col("weight") / block).cast("int").alias("blocks"), F.col("component").alias("first")))
-    true = linked_rows(groups, own.where(F.col("text").isNotNull()), weights, "component", _true_edges(similarity_percent), block)
+    # The texts of groups only, read from the documents once for both steps.
+    texts = cut_lineage(among(own.where(F.col("text").isNotNull()), groups.select("id"), "id"))
+    true = linked_rows(groups, texts, weights, "component", _true_edges(similarity_percent), block)
 
     if not several.isEmpty():
         true = components(_links(true).unionByName(several))

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from tapegrid.llm import near_dedup
+from tapegrid.llm import common, near_dedup
 from tapegrid.llm.components import components
 from tapegrid.llm.text_hashes import shingle_sets
 
@@ -135,3 +135,12 @@ def test_many_near_copies(spark):
         rows.append((i, " ".join(copy), "x", 1))
     found = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), block=256).collect()
     assert {r.component_id for r in found} == {0}
+
+
+def test_rows_are_looked_up_alike_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "id long, text string")
+    ids = spark.createDataFrame([(1,), (None,), (9,)], "id long")
+    for most in (common.MAX_BROADCAST_IDS, 0):
+        monkeypatch.setattr(common, "MAX_BROADCAST_IDS", most)
+        found = common.among(docs, ids, "id")
+        assert sorted(r.text for r in found.collect()) == ["a", "b"] and found.columns == docs.columns
