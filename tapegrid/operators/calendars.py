@@ -91,6 +91,12 @@ def in_utc(calendar: DataFrame) -> DataFrame:
     return calendar.withColumns({"open_utc": utc_of(F.col("open_et")), "close_utc": utc_of(F.col("close_et"))})
 
 
+def each_day(spans: DataFrame) -> DataFrame:
+    """spans with a row for each trade_date from first_day to last_day, so that calendars are joined on equal days."""
+    days = F.explode(F.sequence(F.to_date("first_day"), F.to_date("last_day")))
+    return spans.withColumn("day", days).withColumn("trade_date", F.date_format("day", "yyyy-MM-dd")).drop("day", "first_day", "last_day")
+
+
 def missing_days(calendar: DataFrame, bars: DataFrame, symbols: list[str] | None = None) -> DataFrame:
     """symbol, trade_date of calendar days without a bar, between each symbol's first and last day."""
     rows = bars if symbols is None else bars.where(F.col("symbol").isin(symbols))
@@ -98,5 +104,6 @@ def missing_days(calendar: DataFrame, bars: DataFrame, symbols: list[str] | None
         rows = rows.withColumn("trade_date", trade_date(F.col("ts")))
     days = rows.select("symbol", "trade_date").distinct()
     spans = days.groupBy("symbol").agg(F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"))
-    wanted = spans.join(F.broadcast(trading_days(calendar)), F.col("trade_date").between(F.col("first_day"), F.col("last_day"))).select("symbol", "trade_date")
+    # A calendar has some 250 rows a year.
+    wanted = each_day(spans).join(F.broadcast(trading_days(calendar)), "trade_date").select("symbol", "trade_date")
     return wanted.join(days, ["symbol", "trade_date"], "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapegrid.functions.timeconv import from_epoch_micros, local, minute
-from tapegrid.operators.calendars import in_utc
+from tapegrid.operators.calendars import each_day, in_utc
 
 FEATURES = ("p", "dp_intraday", "dp_overnight", "flow_session", "usdc_session", "n_session", "flow_overnight", "usdc_overnight", "n_overnight")
 
@@ -42,7 +42,7 @@ def market_days(trades: DataFrame, calendar: DataFrame) -> DataFrame:
     name = F.date_format("et_ts", "yyyy-MM-dd")
     spans = trades.groupBy("condition_id").agg(F.min(name).alias("first_day"), F.max(name).alias("last_day"), F.max("resolved_et").alias("resolved_et"))
     # A calendar has some 250 rows a year.
-    return spans.join(F.broadcast(in_utc(calendar)), F.col("trade_date").between(F.col("first_day"), F.col("last_day"))).drop("first_day", "last_day")
+    return each_day(spans).join(F.broadcast(in_utc(calendar)), "trade_date")
 
 
 def minute_features(trades: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -105,14 +105,15 @@ def overnight_flow(flow: DataFrame, days: DataFrame) -> DataFrame:
     return joined.select("condition_id", "trade_date", *[F.when(some, F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(new) for new, c in named])
 
 
-def feature_panel(features: DataFrame, markets: DataFrame) -> DataFrame:
+def feature_panel(features: DataFrame, markets: DataFrame, present: DataFrame | None = None) -> DataFrame:
     """trade_date, minute and {key}_{feature} for each key of markets (key, condition_id); one market may serve several keys.
 
     Keys whose market has no rows are left out. The keys, a few chosen markets, are
-    read first, as they become columns.
+    read first, as they become columns. present: condition_id of the markets that have
+    rows, such as market_days gives; without it the features are computed once more for that.
     """
     keyed = features.join(F.broadcast(markets.select("key", "condition_id").distinct()), "condition_id")
-    present = features.select("condition_id").distinct()
+    present = (features if present is None else present).select("condition_id").distinct()
     keys = [r["key"] for r in markets.join(present, "condition_id", "left_semi").select("key").distinct().orderBy("key").collect()]
     return keyed.groupBy("trade_date", "minute").pivot("key", keys).agg(*[F.first(c).alias(c) for c in FEATURES])
 

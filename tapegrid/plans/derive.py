@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tapegrid.functions.timeconv import close_label
 from tapegrid.operators import calendars, markets
 
-START, END = "2024-01-01", "2024-03-31"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -48,12 +46,18 @@ def trades(spark: SparkSession, sf_dir: str, market: str = "event_type") -> Data
     return markets.market_trades(tape(spark, sf_dir, market), tie="event_id")
 
 
-def calendar(spark: SparkSession) -> DataFrame:
-    return calendars.trading_calendar(spark, START, END)
+def days(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """From the day before the first event, which local time may put it on, to the last event's day."""
+    ends = table(spark, sf_dir, "events").agg(F.date_sub(F.min("ts"), 1).cast("string").alias("first"), F.to_date(F.max("ts")).cast("string").alias("last")).first()
+    return (ends.first, ends.last) if ends.first else ("2000-01-02", "2000-01-01")
+
+
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendars.trading_calendar(spark, *days(spark, sf_dir))
 
 
 def features(spark: SparkSession, sf_dir: str, market: str = "event_type") -> DataFrame:
-    return markets.minute_features(trades(spark, sf_dir, market), calendar(spark))
+    return markets.minute_features(trades(spark, sf_dir, market), calendar(spark, sf_dir))
 
 
 def cn_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,8 @@ def build_feature_panel(spark: SparkSession, tape: DataFrame, themes: dict[str,
     """Catalog, the themes' markets, their features in one job, and the panel."""
     chosen = markets.theme_markets(markets.market_catalog(tape, min_usdc), themes, per_theme)
     trades = markets.market_trades(tape, chosen, "event_id" if "event_id" in tape.columns else None)
-    return markets.feature_panel(markets.minute_features(trades, calendars.trading_calendar(spark, start, end)), chosen)
+    calendar = calendars.trading_calendar(spark, start, end)
+    return markets.feature_panel(markets.minute_features(trades, calendar), chosen, markets.market_days(trades, calendar))
 
 
 def profile_tables(spark: SparkSession, found: dict[str, DataFrame]) -> DataFrame:

@@ -70,11 +70,10 @@ PRICES = """prices AS (
 HOLIDAYS = "('2024-01-01'), ('2024-01-15'), ('2024-02-19'), ('2024-03-29'), ('2024-05-27'), ('2024-06-19'), ('2024-07-04'), ('2024-09-02'), ('2024-11-28'), ('2024-12-25')"
 
 
-def calendar(start: str, end: str) -> str:
-    return f"""cal AS (
+CALENDAR = f"""cal AS (
   SELECT strftime(d, '%Y-%m-%d') AS trade_date, d + INTERVAL '9 hours 30 minutes' AS open_et,
     d + CASE WHEN strftime(d, '%Y-%m-%d') IN ('2024-07-03', '2024-11-29', '2024-12-24') THEN INTERVAL 13 HOUR ELSE INTERVAL 16 HOUR END AS close_et
-  FROM (SELECT unnest(generate_series(TIMESTAMP '{start}', TIMESTAMP '{end}', INTERVAL 1 DAY)) AS d)
+  FROM (SELECT unnest(generate_series((SELECT date_trunc('day', min(ts)) - INTERVAL 1 DAY FROM events), (SELECT CAST(date_trunc('day', max(ts)) AS TIMESTAMP) FROM events), INTERVAL 1 DAY)) AS d)
   WHERE isodow(d) < 6 AND strftime(d, '%Y-%m-%d') NOT IN (SELECT h FROM (VALUES {HOLIDAYS}) AS v(h))
 )"""
 
@@ -97,7 +96,7 @@ def tape(market: str) -> str:
 )"""
 
 
-FEATURES = f"""{calendar('2024-01-01', '2024-03-31')}, {tape('event_type')},
+FEATURES = f"""{CALENDAR}, {tape('event_type')},
 span AS (SELECT condition_id, min(strftime(et, '%Y-%m-%d')) AS a, max(strftime(et, '%Y-%m-%d')) AS b, max(resolved_et) AS resolved_et FROM tr GROUP BY 1),
 days AS (SELECT condition_id, trade_date, open_et, close_et, resolved_et, lag(close_et) OVER (PARTITION BY condition_id ORDER BY trade_date) AS prev_close FROM span JOIN cal ON trade_date BETWEEN a AND b),
 grid AS (SELECT condition_id, trade_date, resolved_et, unnest(generate_series(open_et, close_et, INTERVAL 1 MINUTE)) AS ts FROM days),
@@ -216,9 +215,9 @@ SQL = {
       SELECT c_custkey, CASE WHEN a.symbol NOT IN (SELECT symbol FROM listing) AND native IS NOT NULL THEN native ELSE a.symbol END AS symbol FROM act a LEFT JOIN dot ON plain = a.symbol""",
     "adjusted_close": f"""WITH {ACTIONS}, {PRICES.replace('o_custkey % 20', 'o_custkey')}, r AS (SELECT symbol, ex_date, product(split_ratio) AS ratio FROM sp GROUP BY 1, 2)
       SELECT p.symbol, trade_date, round("close", 10) AS "close", round("close" / coalesce(product(ratio), 1.0), 10) AS close_adj FROM prices p LEFT JOIN r ON r.symbol = p.symbol AND trade_date < ex_date GROUP BY p.symbol, trade_date, "close" """,
-    "trading_calendar": f"WITH {calendar('2024-01-01', '2024-12-31')} SELECT * FROM cal",
+    "trading_calendar": f"WITH {CALENDAR} SELECT * FROM cal",
     "minute_grid": feat("SELECT condition_id, trade_date, ts, strftime(ts, '%H:%M') AS minute FROM grid"),
-    "missing_days": f"""WITH {CN}, {calendar('2024-01-01', '2024-03-31')}, s AS (SELECT symbol, min(trade_date) AS a, max(trade_date) AS b FROM cn_day GROUP BY 1)
+    "missing_days": f"""WITH {CN}, {CALENDAR}, s AS (SELECT symbol, min(trade_date) AS a, max(trade_date) AS b FROM cn_day GROUP BY 1)
       SELECT symbol, trade_date FROM s JOIN cal ON trade_date BETWEEN a AND b WHERE (symbol, trade_date) NOT IN (SELECT (symbol, trade_date) FROM cn_day)""",
     "trades_et": f"WITH {tape('event_type')} SELECT condition_id, event_id, et AS et_ts, resolved_et, round(p_event, 6) AS p_event, round(d * usdc_amount, 6) AS signed FROM tr",
     "minute_flow": f"WITH {tape('user_id')} SELECT condition_id, date_trunc('minute', utc) AS m, round(arg_max(p_event, CAST(epoch(utc) AS BIGINT) * 10000000 + event_id), 6) AS p, round(sum(d * usdc_amount), 6) AS net, round(sum(usdc_amount), 6) AS usdc, count(*) AS n FROM tr GROUP BY 1, 2",

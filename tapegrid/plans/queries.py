@@ -56,7 +56,7 @@ def us_minute(spark, sf_dir):
 
 @query
 def us_daily_true_session(spark, sf_dir):
-    early = calendars.trading_calendar(spark, D.START, D.END, early=["2024-01-10"])
+    early = calendars.trading_calendar(spark, *D.days(spark, sf_dir), early=["2024-01-10"])
     return rounded(bars.us_daily(D.us_raw(spark, sf_dir), early), 4)
 
 
@@ -230,13 +230,13 @@ def adjusted_close(spark, sf_dir):
 
 @query
 def trading_calendar(spark, sf_dir):
-    return calendars.trading_calendar(spark, "2024-01-01", "2024-12-31")
+    return D.calendar(spark, sf_dir)
 
 
 @query
 def minute_grid(spark, sf_dir):
     spans = D.trades(spark, sf_dir)
-    return markets.market_days(spans, D.calendar(spark)).select("condition_id", "trade_date", "open_et", "close_et").transform(
+    return markets.market_days(spans, D.calendar(spark, sf_dir)).select("condition_id", "trade_date", "open_et", "close_et").transform(
         lambda d: d.select("condition_id", "trade_date", F.explode(F.sequence("open_et", "close_et", F.expr("INTERVAL 1 MINUTE"))).alias("ts")).withColumn("minute", T.minute(F.col("ts")))
     )
 
@@ -244,7 +244,7 @@ def minute_grid(spark, sf_dir):
 @query
 def missing_days(spark, sf_dir):
     daily = bars.cn_daily(D.cn_raw(spark, sf_dir), "stock")
-    return calendars.missing_days(D.calendar(spark), daily)
+    return calendars.missing_days(D.calendar(spark, sf_dir), daily)
 
 
 # --- event markets
@@ -289,7 +289,7 @@ _KEYS = [("a", "click"), ("b", "error"), ("twin", "click")]
 
 
 def _panel(spark, sf_dir):
-    return markets.feature_panel(D.features(spark, sf_dir), spark.createDataFrame(_KEYS, "key string, condition_id string"))
+    return markets.feature_panel(D.features(spark, sf_dir), spark.createDataFrame(_KEYS, "key string, condition_id string"), markets.market_days(D.trades(spark, sf_dir), D.calendar(spark, sf_dir)))
 
 
 @query

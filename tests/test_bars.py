@@ -36,50 +36,50 @@ def test_labels_are_closes_in_local_time(spark, start, label):
 
 
 def test_us_build_and_rebuild(spark, tmp_path):
-    us_file(tmp_path / "a.csv.gz", [("TEST", 100, 10.0, 10.2, 10.5, 9.5, ns("2024-06-13 09:30"), 3), ("GONE", 10.6, 1, 1, 1, 1, ns("2024-06-13 09:30"), 1), ("OLD", 5, 1, 1, 1, 1, ns("2023-06-13 09:30"), 1), ("TEST", 7, 1, 1, 1, 1, ns("2024-06-13 16:00"), 1)])
+    us_file(tmp_path / "a.csv.gz", [("QUX", 140, 20.0, 20.4, 21.0, 19.0, ns("2024-06-13 09:30"), 3), ("LEFT", 12.7, 2, 2, 2, 2, ns("2024-06-13 09:30"), 1), ("ELD", 8, 3, 3, 3, 3, ns("2023-06-13 09:30"), 1), ("QUX", 9, 2, 2, 2, 2, ns("2024-06-13 16:00"), 1)])
     root = str(tmp_path / "db")
     jobs.build_us_bars(spark, str(tmp_path / "a.csv.gz"), root)
     minute = spark.read.parquet(f"{root}/minute")
-    assert {(r.symbol, r.ts) for r in bars.read_minute(minute, ["TEST"], "2024-06-13", "2024-06-13", rth_only=False).select("symbol", F.concat_ws(" ", "trade_date", "minute").alias("ts")).collect()} == {("TEST", "2024-06-13 09:31"), ("TEST", "2024-06-13 16:01")}
+    assert {(r.symbol, r.ts) for r in bars.read_minute(minute, ["QUX"], "2024-06-13", "2024-06-13", rth_only=False).select("symbol", F.concat_ws(" ", "trade_date", "minute").alias("ts")).collect()} == {("QUX", "2024-06-13 09:31"), ("QUX", "2024-06-13 16:01")}
     daily = {(r.symbol, r.trade_date): r for r in spark.read.parquet(f"{root}/daily").collect()}
-    assert daily["TEST", "2024-06-13"].volume == 100 and daily["GONE", "2024-06-13"].volume == 11 and len(daily) == 3
-    us_file(tmp_path / "b.csv.gz", [("TEST", 200, 11.0, 11.2, 11.5, 10.5, ns("2024-06-14 09:30"), 3)])
+    assert daily["QUX", "2024-06-13"].volume == 140 and daily["LEFT", "2024-06-13"].volume == 13 and len(daily) == 3
+    us_file(tmp_path / "b.csv.gz", [("QUX", 330, 22.0, 22.6, 23.0, 21.5, ns("2024-06-14 09:30"), 3)])
     tables.write_minute(bars.us_minute(files.read_us_raw(spark, str(tmp_path / "b.csv.gz"))), f"{root}/minute")
     spark.catalog.refreshByPath(f"{root}/minute")
-    assert {r.symbol for r in spark.read.parquet(f"{root}/minute").collect()} == {"TEST", "OLD"}
+    assert {r.symbol for r in spark.read.parquet(f"{root}/minute").collect()} == {"QUX", "ELD"}
     tables.compact(spark, f"{root}/minute", 2024)
     spark.catalog.refreshByPath(f"{root}/minute")
     assert spark.read.parquet(f"{root}/minute").count() == 2
 
 
 def test_us_canonical_reads_lazily_and_keeps_regular_hours(spark, tmp_path):
-    us_file(tmp_path / "a.csv.gz", [("abc.ws", 2.5, 1, 2, 3, 0.5, ns(f"2024-06-13 {t}"), 1) for t in ("09:29", "09:30", "15:59", "16:00")])
+    us_file(tmp_path / "a.csv.gz", [("kel.ws", 2.5, 1, 2, 3, 0.5, ns(f"2024-06-13 {t}"), 1) for t in ("09:29", "09:30", "15:59", "16:00")])
     raw = files.read_us_raw(spark, str(tmp_path / "a.csv.gz"), 2)
     assert [r.minute for r in bars.us_canonical(raw, rth_only=True).orderBy("ts").collect()] == ["09:31", "16:00"]
-    assert bars.us_canonical(raw).count() == 4 and bars.us_canonical(raw).first().symbol == "ABC.WS"
+    assert bars.us_canonical(raw).count() == 4 and bars.us_canonical(raw).first().symbol == "KEL.WS"
     (tmp_path / "c.csv").write_text("ticker,open\nA,1\n")
     with pytest.raises(Exception, match="(?i)header|column"):
         files.read_us_raw(spark, str(tmp_path / "c.csv")).collect()
 
 
 def test_cn_build(spark, tmp_path):
-    rows = ["2024-01-02 09:30:00,sh600000,浦发,6.63,6.63,6.63,6.63,1530,1014390,0,0", "2024-01-02 09:31:00,sh600000,浦发,6.63,6.60,6.65,6.59,7192,4768371,0,0"]
-    (tmp_path / "sh600000_2024.csv").write_text("\n".join([CN_HEADER, *rows]) + "\n", encoding="utf-8-sig")
-    old = ["2023-06-01 09:30:00,sz000123,老,10,10,10,10,100,1000,0,0", "2023-06-01 15:00:00,sz000123,老,10.4,10.3,10.4,10.2,0,3090,0,0"]
-    (tmp_path / "sz000123_2023.csv").write_text("\n".join([CN_HEADER, *old]) + "\n", encoding="utf-8-sig")
+    rows = ["2024-01-02 09:30:00,sh601234,某甲,7.12,7.12,7.12,7.12,900,640800,0,0", "2024-01-02 09:31:00,sh601234,某甲,7.12,7.15,7.17,7.10,3100,2213400,0,0"]
+    (tmp_path / "sh601234_2024.csv").write_text("\n".join([CN_HEADER, *rows]) + "\n", encoding="utf-8-sig")
+    old = ["2023-06-01 09:30:00,sz000777,某乙,12,12,12,12,250,2600,0,0", "2023-06-01 15:00:00,sz000777,某乙,12.2,12.1,12.3,12.0,0,4100,0,0"]
+    (tmp_path / "sz000777_2023.csv").write_text("\n".join([CN_HEADER, *old]) + "\n", encoding="utf-8-sig")
     (tmp_path / "index").mkdir()
-    index = [f"2024-01-02 09:30:00,{c},x,1,2,3,0.5,1.26e9,0,0" for c in ("000300", "399006", "899050")]
+    index = [f"2024-01-02 09:30:00,{c},x,1,2,3,0.5,2.5e8,0,0" for c in ("000905", "399101", "899001")]
     (tmp_path / "index" / "i_2024.csv").write_text("\n".join([CN_HEADER.replace("成交量,", ""), *index]) + "\n", encoding="utf-8-sig")
     root = str(tmp_path / "db")
     jobs.build_cn_bars(spark, {"stock": [str(p) for p in tmp_path.glob("s*.csv")], "index": str(tmp_path / "index" / "i_2024.csv")}, root)
-    minute = {(r.symbol, r.ts.minute): r for r in spark.read.parquet(f"{root}/minute").where("symbol = '600000.SH'").collect()}
-    assert minute["600000.SH", 31].vwap == pytest.approx(4768371 / 7192, rel=1e-6) and minute["600000.SH", 31].trade_count == 0
+    minute = {(r.symbol, r.ts.minute): r for r in spark.read.parquet(f"{root}/minute").where("symbol = '601234.SH'").collect()}
+    assert minute["601234.SH", 31].vwap == pytest.approx(2213400 / 3100, rel=1e-6) and minute["601234.SH", 31].trade_count == 0
     daily = {r.symbol: r for r in spark.read.parquet(f"{root}/daily").collect()}
-    assert daily["000300.SH"].volume == 0 and daily["399006.SZ"].amount == 1.26e9 and "899050.BJ" in daily
-    assert (daily["000123.SZ"].volume, daily["000123.SZ"].amount) == (100, 4090) and daily["000123.SZ"].close == pytest.approx(10.3)
+    assert daily["000905.SH"].volume == 0 and daily["399101.SZ"].amount == 2.5e8 and "899001.BJ" in daily
+    assert (daily["000777.SZ"].volume, daily["000777.SZ"].amount) == (250, 6700) and daily["000777.SZ"].close == pytest.approx(12.1)
     listing = {r.symbol: r for r in spark.read.parquet(f"{root}/listing").collect()}
-    assert listing["600000.SH"][1:] == ("浦发", "XSHG", "active", "2024-01-02", "")
-    assert listing["000123.SZ"][2:] == ("XSHE", "delisted", "2023-06-01", "2023-06-01")
+    assert listing["601234.SH"][1:] == ("某甲", "XSHG", "active", "2024-01-02", "")
+    assert listing["000777.SZ"][2:] == ("XSHE", "delisted", "2023-06-01", "2023-06-01")
     actions = spark.read.parquet(f"{root}/corp_actions")
     assert actions.count() == 0 and len(actions.columns) == 4
     with pytest.raises(ValueError):
@@ -88,7 +88,7 @@ def test_cn_build(spark, tmp_path):
 
 @pytest.mark.parametrize(
     "raw,wanted",
-    [(" aapl.us ", "AAPL"), ("AAPL:NASDAQ", "AAPL"), ("ibm.n", "IBM"), ("msft.oq", "MSFT"), ("brk.a", "BRK.A"), ("AAC.U", "AAC.U"), ("achr.ws", "ACHR.WS"), ("BAC.PR.A", "BAC.PR.A"), (":X", ":X"), (".US", ".US"), ("A.O.N", "A.O"), ("\tx\n", "X"), (None, "")],
+    [(" gull.us ", "GULL"), ("TERN:NASDAQ", "TERN"), ("rail.n", "RAIL"), ("lmn.oq", "LMN"), ("ty.a", "TY.A"), ("OPQ.U", "OPQ.U"), ("rst.ws", "RST.WS"), ("KEL.PR.A", "KEL.PR.A"), (":X", ":X"), (".US", ".US"), ("A.O.N", "A.O"), ("\tx\n", "X"), (None, "")],
 )
 def test_normalize_symbol(spark, raw, wanted):
     assert one(spark, raw, "string", symbols.normalize_symbol) == wanted
@@ -105,18 +105,18 @@ def test_rest_bars(spark):
 
 def test_listing_and_actions(spark):
     tickers = "ticker string, name string, primary_exchange string, active boolean, delisted_utc string"
-    records = spark.createDataFrame([("AAA", "New Co", "X", True, None), ("AAA", "Old Co", "X", False, "2021-05-01T00:00:00Z"), ("BBB", "b", None, False, "2022-01-01"), ("CCC", "c", "", False, "2020-01-01"), ("CCC", "c", "", False, "2024-06-01"), (" ", "none", "", True, None)], tickers)
+    records = spark.createDataFrame([("LMN", "Lumen Works", "X", True, None), ("LMN", "Limen Mill", "X", False, "2021-05-01T00:00:00Z"), ("OPQ", "b", None, False, "2022-01-01"), ("RST", "c", "", False, "2020-01-01"), ("RST", "c", "", False, "2024-06-01"), (" ", "none", "", True, None)], tickers)
     listing = {r.symbol: (r.name, r.status, r.delist_date) for r in securities.build_listing(records).collect()}
-    assert listing == {"AAA": ("New Co", "active", ""), "BBB": ("b", "delisted", "2022-01-01"), "CCC": ("c", "delisted", "2024-06-01")}
-    splits = spark.createDataFrame([("AAPL", "2020-08-31", 4.0), ("XYZ", "2023-01-10", 2.0), ("XYZ", "2023-01-10", 3.0), ("BAD", "2023", 2.0)], schemas.SPLITS)
-    dividends = spark.createDataFrame([("AAPL", "2020-08-31", 0.2), ("KO", "2024-03-15", 0.46), ("KO", "2024-03-15", 1.0)], schemas.DIVIDENDS)
+    assert listing == {"LMN": ("Lumen Works", "active", ""), "OPQ": ("b", "delisted", "2022-01-01"), "RST": ("c", "delisted", "2024-06-01")}
+    splits = spark.createDataFrame([("GULL", "2019-03-05", 5.0), ("TERN", "2022-07-19", 2.0), ("TERN", "2022-07-19", 4.0), ("BAD", "2023", 2.0)], schemas.SPLITS)
+    dividends = spark.createDataFrame([("GULL", "2019-03-05", 0.3), ("RAIL", "2021-09-02", 0.25), ("RAIL", "2021-09-02", 0.5)], schemas.DIVIDENDS)
     found = {r.symbol: (r.split_ratio, round(r.cash_div, 6)) for r in securities.corporate_actions(splits, dividends).collect()}
-    assert found == {"AAPL": (4.0, 0.2), "KO": (1.0, 1.46), "XYZ": (6.0, 0.0)}
+    assert found == {"GULL": (5.0, 0.3), "RAIL": (1.0, 0.75), "TERN": (8.0, 0.0)}
     empty = securities.corporate_actions(splits.limit(0), dividends.limit(0))
     assert empty.columns == ["symbol", "ex_date", "split_ratio", "cash_div"] and empty.count() == 0
 
 
-@pytest.mark.parametrize("listed,pairs", [(["BF.A", "BF.B", "MOG.A", "AAPL", "AB", "A.B"], {"BFB": "BF.B", "MOGA": "MOG.A", "AAPL": "AAPL", "ZZZ": "ZZZ", "AB": "AB"}), (["A.B", "AB", "X.A", "XA.", "X.B"], {"AB": "AB", "XA": "XA", "XB": "X.B"})])
+@pytest.mark.parametrize("listed,pairs", [(["TY.A", "TY.B", "KEL.A", "GULL", "AB", "A.B"], {"TYB": "TY.B", "KELA": "KEL.A", "GULL": "GULL", "NONE": "NONE", "AB": "AB"}), (["A.B", "AB", "X.A", "XA.", "X.B"], {"AB": "AB", "XA": "XA", "XB": "X.B"})])
 def test_remap(spark, listed, pairs):
     actions = spark.createDataFrame([(k, "2024-01-01", 2.0) for k in pairs], schemas.SPLITS).withColumn("was", F.col("symbol"))
     found = securities.remap_symbols(actions, spark.createDataFrame([(s,) for s in listed], "symbol string"))

@@ -27,35 +27,34 @@ def features(spark, df):
     return {(r.trade_date[5:], r.minute): r for r in found}
 
 
-ONE = [("2024-06-13 08:00", 0.50, 1, 10.0), ("2024-06-13 09:45:30", 0.60, 1, 100.0), ("2024-06-13 10:30", 0.55, -1, 50.0), ("2024-06-14 11:00", 0.62, 1, 80.0)]
-TWO = [("2024-06-13 10:00", 0.50, 1, 40.0), ("2024-06-13 16:00:00", 0.52, 1, 30.0), ("2024-06-13 22:00", 0.55, -1, 20.0), ("2024-06-14 09:15", 0.58, 1, 10.0), ("2024-06-14 09:30:30", 0.60, 1, 5.0)]
+ONE = [("2024-05-21 07:10", 0.31, 1, 7.0), ("2024-05-21 09:52:10", 0.44, 1, 64.0), ("2024-05-21 11:15", 0.37, -1, 24.0), ("2024-05-22 10:20", 0.49, 1, 9.0)]
+TWO = [("2024-05-21 11:05", 0.28, 1, 33.0), ("2024-05-21 16:00:00", 0.36, 1, 21.0), ("2024-05-21 20:40", 0.41, -1, 12.0), ("2024-05-22 08:05", 0.46, 1, 6.0), ("2024-05-22 09:30:20", 0.52, 1, 3.0)]
 
 
 def test_labels_see_earlier_trades_alone(spark):
     f = features(spark, trades(spark, ONE))
     assert len(f) == 2 * 391
-    assert (f["06-13", "09:30"].p, f["06-13", "09:30"].n_session, f["06-13", "09:30"].flow_session) == (0.5, 0, 0)
-    assert (f["06-13", "09:45"].p, f["06-13", "09:45"].n_session) == (0.5, 0)
-    assert (f["06-13", "09:46"].p, f["06-13", "09:46"].n_session, f["06-13", "09:46"].usdc_session, f["06-13", "09:46"].flow_session) == (0.6, 1, 100, 100)
-    r = f["06-13", "10:31"]
-    assert (r.n_session, r.usdc_session, r.flow_session) == (2, 150, 50) and r.dp_intraday == pytest.approx(0.05)
-    assert f["06-13", "10:30"].p == 0.6 and f["06-14", "09:30"].dp_overnight == pytest.approx(0.0)
-    for day in ("06-13", "06-14"):
+    shown = {m: (r.p, r.n_session, r.usdc_session, r.flow_session) for (day, m), r in f.items() if day == "05-21"}
+    assert shown["09:30"] == shown["09:52"] == (0.31, 0, 0, 0)
+    assert shown["09:53"] == shown["11:15"] == (0.44, 1, 64, 64)
+    assert shown["11:16"] == shown["16:00"] == (0.37, 2, 88, 40)
+    assert f["05-21", "11:16"].dp_intraday == pytest.approx(0.06) and f["05-22", "09:30"].dp_overnight == pytest.approx(0.0)
+    for day in ("05-21", "05-22"):
         own = [f[k] for k in sorted(f) if k[0] == day]
         assert all(a.n_session <= b.n_session and a.usdc_session <= b.usdc_session for a, b in zip(own, own[1:], strict=False))
 
 
 def test_nothing_after_resolution(spark):
-    f = features(spark, trades(spark, ONE, resolved="2024-06-14 12:00"))
-    assert f["06-14", "11:30"].p == 0.62 and f["06-14", "11:59"].n_session == 1
-    assert all(x is None for x in f["06-14", "12:00"][3:]) and all(x is None for x in f["06-14", "12:30"][3:])
+    f = features(spark, trades(spark, ONE, resolved="2024-05-22 12:40"))
+    assert f["05-22", "10:21"].p == 0.49 and f["05-22", "12:39"].n_session == 1
+    assert all(x is None for m in ("12:40", "13:00", "16:00") for x in f["05-22", m][3:])
 
 
 def test_night_runs_from_close_to_open(spark):
     f = features(spark, trades(spark, TWO))
-    assert f["06-13", "12:00"].n_overnight is None
-    assert {(r.n_overnight, r.usdc_overnight, r.flow_overnight) for k, r in f.items() if k[0] == "06-14"} == {(3, 60, 20)}
-    assert (f["06-14", "09:31"].n_session, f["06-14", "09:31"].usdc_session) == (1, 5)
+    assert f["05-21", "12:00"].n_overnight is None
+    assert {(r.n_overnight, r.usdc_overnight, r.flow_overnight) for k, r in f.items() if k[0] == "05-22"} == {(3, 39, 15)}
+    assert (f["05-22", "09:31"].n_session, f["05-22", "09:31"].usdc_session) == (1, 3)
 
 
 def test_half_day_clock_changes_nulls_and_ties(spark):
@@ -82,24 +81,24 @@ def test_panel(spark):
     keys = spark.createDataFrame([("a", "m"), ("b", "n"), ("c", "m"), ("d", "weekend")], "key string, condition_id string")
     panel = markets.feature_panel(f, keys)
     assert panel.columns == ["trade_date", "minute", *[f"{k}_{c}" for k in "abc" for c in markets.FEATURES]] and panel.count() == 782
-    r = panel.where("trade_date = '2024-06-13' AND minute = '10:31'").first()
+    r = panel.where("trade_date = '2024-05-21' AND minute = '11:16'").first()
     assert r.a_n_session == r.c_n_session == 2 and r.b_n_session == 1
-    bars = spark.createDataFrame([("S", "2024-06-13", "10:31"), ("S", "2024-06-13", "20:00")], "symbol string, trade_date string, minute string")
+    bars = spark.createDataFrame([("S", "2024-05-21", "11:16"), ("S", "2024-05-21", "20:00")], "symbol string, trade_date string, minute string")
     assert [x.a_n_session for x in markets.attach_features(bars, panel).orderBy("minute").collect()] == [2, None]
     assert [x.minute for x in markets.panel_tail(panel, 2).collect()] == ["16:00", "15:59"]
 
 
 def test_catalog_and_search(spark):
     columns = "condition_id string, market_slug string, category string, category_refined string, usdc_amount double, block_timestamp long, opens_at timestamp, close_at timestamp, resolved_at timestamp, winning_outcome_label string"
-    rows = [("1", "Will-Trump-win", "c", None, 30.0, 5), ("1", "Will-Trump-win", "c", None, 20.0, 3), ("2", "fed-cut.50%", "c", "r", 49.0, 1), ("3", None, "c", "r", 70.0, 1)]
+    rows = [("1", "Harbour-Bridge-opens", "c", None, 30.0, 5), ("1", "Harbour-Bridge-opens", "c", None, 20.0, 3), ("2", "rain-over.30mm%", "c", "r", 49.0, 1), ("3", None, "c", "r", 70.0, 1)]
     tape = spark.createDataFrame([(*r, None, None, None, None) for r in rows], columns)
     catalog = markets.market_catalog(tape, 50.0)
     assert {(r.condition_id, r.n_trades, r.first_ts, r.last_ts) for r in catalog.collect()} == {("1", 2, 3, 5), ("3", 1, 1, 1)}
     every = markets.market_catalog(tape, 0.0)
-    assert [r.condition_id for r in markets.search(every, ["TRUMP", "fed"]).collect()] == ["1", "2"]
-    assert [r.condition_id for r in markets.search(every, ["trump", "fed"], 1).collect()] == ["1"]
-    assert markets.search(every, ["t.50"], 0).count() == 1 and markets.search(every, ["d.ut"]).count() == 0 and markets.search(every, []).count() == 0
-    assert [(r.key, r.condition_id) for r in markets.theme_markets(every, {"a": ["trump"], "b": ["fed", "trump"]}).orderBy("key").collect()] == [("a", "1"), ("b", "1")]
+    assert [r.condition_id for r in markets.search(every, ["BRIDGE", "rain"]).collect()] == ["1", "2"]
+    assert [r.condition_id for r in markets.search(every, ["bridge", "rain"], 1).collect()] == ["1"]
+    assert markets.search(every, ["r.30"], 0).count() == 1 and markets.search(every, ["r.in"]).count() == 0 and markets.search(every, []).count() == 0
+    assert [(r.key, r.condition_id) for r in markets.theme_markets(every, {"a": ["bridge"], "b": ["rain", "bridge"]}).orderBy("key").collect()] == [("a", "1"), ("b", "1")]
 
 
 def test_calendar():
@@ -133,7 +132,7 @@ def test_ingest_reads_each_file_once(spark, tmp_path):
     from tapegrid.sources.schemas import US_RAW
 
     (tmp_path / "in").mkdir()
-    line = "A,1,1,1,1,1,1718285400000000000,1\n"
+    line = "QX,4,2,3,5,1,1716298200000000000,6\n"
     for k in (1, 2):
         (tmp_path / "in" / f"{k}.csv").write_text("ticker,volume,open,close,high,low,window_start,transactions\n" + line * k)
         flow.ingest_new_files(spark, str(tmp_path / "in"), US_RAW, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
