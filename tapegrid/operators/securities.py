@@ -78,6 +78,16 @@ def empty_corporate_actions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CORP_ACTIONS)
 
 
+def of_symbols(rows: DataFrame, symbols: list[str] | None = None) -> DataFrame:
+    """Rows of the symbols asked for, of all without a list, of none with an empty one."""
+    return rows if symbols is None else rows.where(F.col("symbol").isin(symbols))
+
+
+def symbol_meta(listing: DataFrame, symbols: list[str] | None = None) -> DataFrame:
+    """symbol, exchange, name of the listing."""
+    return of_symbols(listing, symbols).select("symbol", "exchange", "name")
+
+
 def remap_symbols(actions: DataFrame, listed: DataFrame) -> DataFrame:
     """actions with class shares under their listed names: BFB becomes BF.B if that is the only dotted symbol so written and BFB isn't listed.
 

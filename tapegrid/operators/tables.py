@@ -24,10 +24,11 @@ def write_minute(bars: DataFrame, path: str, files_per_year: int = 8, keys: tupl
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*keys).parquet(path)
 
 
-def write_whole(rows: DataFrame, path: str, sort: str = "symbol", files: int | None = None) -> None:
-    """Replaces a table; rows are clustered by a column."""
-    dealt = rows.repartitionByRange(files, sort) if files else rows.repartitionByRange(sort)
-    dealt.sortWithinPartitions(sort).write.mode("overwrite").option("compression", "zstd").parquet(path)
+def write_whole(rows: DataFrame, path: str, sort: str | list = "symbol", files: int | None = None) -> None:
+    """Replaces a table; rows are in the order of one or more columns, within files and from file to file."""
+    by = sort if isinstance(sort, list) else [sort]
+    dealt = rows.repartitionByRange(files, *by) if files else rows.repartitionByRange(*by)
+    dealt.sortWithinPartitions(*by).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def compact(spark: SparkSession, path: str, year: int, files: int = 1) -> None:

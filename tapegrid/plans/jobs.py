@@ -55,5 +55,12 @@ def build_feature_panel(spark: SparkSession, tape: DataFrame, themes: dict[str,
     return markets.feature_panel(markets.minute_features(trades, calendar), chosen, markets.market_days(trades, calendar))
 
 
+def build_market_tables(spark: SparkSession, tape: DataFrame, root: str, themes: dict[str, list[str]], start: str, end: str, min_usdc: float = 50_000.0, per_theme: int = 1) -> None:
+    """The catalog, most traded markets first, and the feature panel in order of time, as tables."""
+    tables.write_whole(markets.market_catalog(tape, min_usdc), f"{root}/catalog", [F.desc("total_usdc"), "condition_id"])
+    panel = build_feature_panel(spark, tape, themes, start, end, min_usdc, per_theme)
+    tables.write_whole(panel, f"{root}/panel", ["trade_date", "minute"])
+
+
 def profile_tables(spark: SparkSession, found: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [tables.profile_table(rows, name) for name, rows in found.items()])

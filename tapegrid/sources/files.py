@@ -38,16 +38,26 @@ def read_trades(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def read_lifecycle(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Those of the five lifecycle tables that exist."""
-    found = {}
-    for name in LIFECYCLE:
-        try:
-            found[name] = spark.read.parquet(f"{root.rstrip('/')}/{name}")
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-    return found
+    found = {name: _existing(spark, f"{root.rstrip('/')}/{name}") for name in LIFECYCLE}
+    return {name: rows for name, rows in found.items() if rows is not None}
+
+
+def read_corp_actions(spark: SparkSession, path: str, symbols: list[str] | None = None) -> DataFrame:
+    """Corporate actions of some or all symbols; none where there is no such table."""
+    rows = _existing(spark, path)
+    rows = spark.createDataFrame([], schemas.CORP_ACTIONS) if rows is None else rows
+    return rows if symbols is None else rows.where(F.col("symbol").isin(symbols))
 
 
 def read_rest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
