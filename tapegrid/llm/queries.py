@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapegrid.llm import ball_tree, decontamination, hilbert_sharding, language_id, near_dedup, pattern_packing, secret_forest, site_quality, substring_dedup, token_counts
+from tapegrid.llm import ball_tree, decontamination, hilbert_sharding, language_id, near_dedup, pattern_packing, secret_forest, site_quality, substring_dedup, token_counts, whitening
 from tapegrid.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, learned).withColumn("held_out", language_id.held_out("doc_id")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), count=4, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hilbert_sharding,
         op9_pattern_packing,
         op10_rank_order_language,
+        op11_polarised_whitening,
     )
 }
 

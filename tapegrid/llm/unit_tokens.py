@@ -116,7 +116,8 @@ class UnitCounter:
             e = self.tok.encode(text, add_special_tokens=False)
             word = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
-            at = np.array([e.offsets[i][0] for i in first], np.int64)
+            offsets = e.offsets  # made anew on each access
+            at = np.array([offsets[i][0] for i in first], np.int64)
             keep = np.r_[True, at[1:] > at[:-1]] if len(at) else np.zeros(0, bool)
             return np.r_[at[keep], len(text)], np.r_[first[keep], len(word)]
         units = self.units(text)
