@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapegrid.llm import ball_tree, decontamination, hilbert_sharding, language_id, near_dedup, pattern_packing, secret_forest, site_quality, substring_dedup, token_counts, whitening
+from tapegrid.llm import ball_tree, decontamination, hilbert_sharding, language_id, near_dedup, pattern_packing, prefix_trie, secret_forest, site_quality, substring_dedup, token_counts, whitening
 from tapegrid.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op11_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), count=4, scale=256)
 
 
+def op13_fingerprint_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_pattern_packing,
         op10_rank_order_language,
         op11_polarised_whitening,
+        op13_fingerprint_trie,
     )
 }
 
@@ -93,4 +98,33 @@ SQL: dict[str, str] = {
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 20
     """,
+    "op13_fingerprint_trie": """
+        WITH bits AS (
+          SELECT DISTINCT conv_id, encode(CAST(conv_id AS VARCHAR)) AS raw FROM conversations WHERE conv_id IS NOT NULL
+        ), heads AS (
+          SELECT conv_id, xor(4294967295, list_reduce(
+            list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, octet_length(raw) + 1), lambda i: CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT))),
+            lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(0 AS BIGINT) FOR k IN range(8)]), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))
+          )) % 9 AS h FROM bits
+        ), own AS (
+          SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+          FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), rebuilt AS (
+          SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:h], c.turns[h + 1:]) AS turns
+          FROM own c JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+        ), prefixes AS (
+          SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM rebuilt
+        ), nodes AS (
+          SELECT depth, turns[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = len(turns)), '')) AS ends_sha256
+          FROM prefixes GROUP BY 1, 2
+        ), sized AS (
+          SELECT *, CASE WHEN depth > 0 THEN (n_convs - 1) * octet_length(encode(path[depth].text)) ELSE 0 END AS own_saved, NOT EXISTS (SELECT 1 FROM nodes k WHERE k.depth = n.depth + 1 AND k.path[1:n.depth] = n.path) AS leaf
+          FROM nodes n
+        ), above AS (
+          SELECT path[1:d] AS path, d AS depth, sum(own_saved) AS saved_tokens, count_if(leaf) AS n_leaves, count_if(depth = d + 1) AS n_children
+          FROM (SELECT *, unnest(range(depth + 1)) AS d FROM sized) GROUP BY 1, 2
+        )
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(a.n_children AS BIGINT) AS n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN above a ON a.depth = n.depth AND a.path = n.path LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+    """,
 }
