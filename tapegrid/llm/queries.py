@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapegrid.llm import ball_tree, decontamination, hilbert_sharding, language_id, near_dedup, pattern_packing, prefix_trie, secret_forest, site_quality, substring_dedup, token_counts, whitening
+from tapegrid.llm import ball_tree, decontamination, hilbert_sharding, language_id, near_dedup, pattern_packing, prefix_trie, secret_forest, site_quality, substring_dedup, token_counts, whitening, word_bpe
 from tapegrid.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op11_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), count=4, scale=256)
 
 
+def op12_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_fingerprint_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_pattern_packing,
         op10_rank_order_language,
         op11_polarised_whitening,
+        op12_lexicon_bpe,
         op13_fingerprint_trie,
     )
 }

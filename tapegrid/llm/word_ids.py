@@ -66,6 +66,23 @@ def cut_places(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def units_between(data: np.ndarray, places: np.ndarray) -> pa.Array:
+    """The units that begin at the places of data, the last of which is the end."""
+    return pa.Array.from_buffers(pa.large_string(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)])
+
+
+def text_parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Parts of about PART bytes of a column of texts: first row, first row behind, bytes, where each text ends in them; null is empty."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PART, side="right")) - 1)
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a + 1 : b + 1] - offsets[a]
+        a = b
+
+
 def _joined(units: pa.Array, between: str) -> list[str]:
     """Texts of _TOGETHER units each."""
     cuts = pa.array([*range(0, len(units), _TOGETHER), len(units)], pa.int32())
@@ -116,27 +133,30 @@ class WordIds:
         self.units = pa.concat_arrays([self.units, words, others])
         self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
 
-    def _plain(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts one after the other, and where each text's end, of texts without special tokens."""
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
-        places = cut_places(data, ends)
-        units = pa.Array.from_buffers(pa.large_string(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)])
-        coded = units.dictionary_encode()
-        different = coded.dictionary
+    def found(self, different: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each of the different units begin and how many they are."""
         if self.units.nbytes + self.ids.nbytes + self.sizes.nbytes > MEMO_BYTES:
             self._forget()
         own = pc.index_in(different, value_set=self.units)
         if own.null_count:
             self._learn(different.filter(own.is_null()))
             own = pc.index_in(different, value_set=self.units)
-        begins = np.cumsum(self.sizes) - self.sizes
-        at = own.to_numpy()[coded.indices.to_numpy()]
-        size = self.sizes[at]
+        own = own.to_numpy()
+        return self.ids, (np.cumsum(self.sizes) - self.sizes)[own], self.sizes[own]
+
+    def _plain(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, and where each text's end, of texts without special tokens."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
+        places = cut_places(data, ends)
+        coded = units_between(data, places).dictionary_encode()
+        pool, begins, sizes = self.found(coded.dictionary)
+        at = coded.indices.to_numpy()
+        size = sizes[at]
         last = np.r_[0, np.cumsum(size)][np.searchsorted(places, ends)]
         full = np.flatnonzero(size)
         at, size = at[full], size[full]
-        ids = self.ids[np.repeat(begins[at] - (np.cumsum(size) - size), size) + np.arange(int(last[-1]))]
+        ids = pool[np.repeat(begins[at] - (np.cumsum(size) - size), size) + np.arange(int(last[-1]))]
         return ids, last
 
     def _in_segments(self, raw: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,17 +202,9 @@ class WordIds:
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Parts of a column of texts: (first row, ids of the rows one after the other, where each row's end); null is empty."""
-        column = pc.fill_null(column.cast(pa.large_binary()), b"")
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-        a = 0
-        while a < len(column):
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PART, side="right")) - 1)
-            part = data[offsets[a] : offsets[b]]
+        for a, _, part, ends in text_parts(column):
             raw = part.tobytes()
-            ends = offsets[a + 1 : b + 1] - offsets[a]
             if len(part) > PART or self.by_special.search(raw):
                 yield a, *self._in_segments(raw, ends.tolist())
             else:
                 yield a, *self._plain(part, ends)
-            a = b
