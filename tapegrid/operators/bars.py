@@ -26,12 +26,17 @@ def _provenance(source: str) -> list[Column]:
     return [F.lit(source).alias("source"), F.lit("").alias("ingested_utc"), F.lit("").alias("raw_hash")]
 
 
+def _file_year(raw: DataFrame, ts: Column) -> list[Column]:
+    """The year of a row's file, by which tables are replaced, where rows come from files; that of its time for files without one."""
+    return [F.coalesce("file_year", F.year(ts)).cast("int").alias("year")] if "file_year" in raw.columns else []
+
+
 def us_minute(raw: DataFrame) -> DataFrame:
-    """Raw US rows as the stored minute table."""
+    """Raw US rows as the stored minute table; with the year of its file if they have one."""
     return raw.select(
         F.upper("ticker").alias("symbol"), close_label(F.col("window_start")).alias("ts"),
         *[F.col(c).cast("float").alias(c) for c in _PRICES], F.round("volume").cast("long").alias("volume"), F.col("transactions").cast("long").alias("trade_count"),
-        *_provenance(US_SOURCE),
+        *_provenance(US_SOURCE), *_file_year(raw, close_label(F.col("window_start"))),
     )
 
 
@@ -42,9 +47,10 @@ def _daily(bars: DataFrame, amount: Column, volume: Column, source: str) -> Data
         known = F.when(F.col(column).isNotNull(), F.col("ts"))
         return pick(column, known)
 
+    year = [F.max("year").alias("year")] if "year" in bars.columns else []
     return bars.groupBy("symbol", "trade_date").agg(
         edge(F.min_by, "open").cast("float").alias("open"), F.max("high").cast("float").alias("high"), F.min("low").cast("float").alias("low"), edge(F.max_by, "close").cast("float").alias("close"),
-        volume.alias("volume"), amount.cast("double").alias("amount"), F.lit(source).alias("source"),
+        volume.alias("volume"), amount.cast("double").alias("amount"), F.lit(source).alias("source"), *year,
     )
 
 
@@ -59,7 +65,7 @@ def us_daily(raw: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     With a calendar, bars after an early close are left out; without, the day ends at 16:00.
     """
     ts = close_label(F.col("window_start"))
-    rows = raw.select(F.upper("ticker").alias("symbol"), ts.alias("ts"), *_PRICES, "volume").withColumn("trade_date", trade_date(F.col("ts"))).where(is_regular(minute(F.col("ts"))))
+    rows = raw.select(F.upper("ticker").alias("symbol"), ts.alias("ts"), *_PRICES, "volume", *_file_year(raw, ts)).withColumn("trade_date", trade_date(F.col("ts"))).where(is_regular(minute(F.col("ts"))))
     if calendar is not None:
         rows = rows.join(F.broadcast(calendar.select("trade_date", "close_et")), "trade_date").where("ts <= close_et")
     return _daily(rows, F.sum(F.col("close") * F.col("volume")), _whole(F.sum("volume")), US_SOURCE)
@@ -77,14 +83,14 @@ def cn_minute(raw: DataFrame, kind: str) -> DataFrame:
     vwap = F.when(volume > 0, F.col("amount") / volume).otherwise(0.0)
     return raw.select(
         cn_symbol(kind).alias("symbol"), "ts", *[F.col(c).cast("float").alias(c) for c in _PRICES], F.rint(volume).cast("long").alias("volume"), F.lit(0).cast("long").alias("trade_count"),
-        vwap.cast("float").alias("vwap"), F.col("amount").cast("double").alias("amount"), *_provenance(CN_SOURCE),
+        vwap.cast("float").alias("vwap"), F.col("amount").cast("double").alias("amount"), *_provenance(CN_SOURCE), *_file_year(raw, F.col("ts")),
     )
 
 
 def cn_daily(raw: DataFrame, kind: str) -> DataFrame:
     """Daily bars over all rows of a day, auctions included, with the true amount."""
     volume = F.col("volume") if kind == "stock" else F.lit(0.0)
-    rows = raw.withColumns({"symbol": cn_symbol(kind), "trade_date": trade_date(F.col("ts")), "volume": volume})
+    rows = raw.select(cn_symbol(kind).alias("symbol"), "ts", trade_date(F.col("ts")).alias("trade_date"), *_PRICES, volume.alias("volume"), "amount", *_file_year(raw, F.col("ts")))
     return _daily(rows, F.sum("amount"), _whole(F.sum("volume")), CN_SOURCE)
 
 

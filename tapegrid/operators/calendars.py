@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapegrid.functions.timeconv import minute, trade_date, utc_of
+from tapegrid.sources.landing import file_day
 
 # Closures that no rule gives (fixed values).
 SPECIAL_CLOSURES = (
@@ -107,3 +108,27 @@ def missing_days(calendar: DataFrame, bars: DataFrame, symbols: list[str] | None
     # A calendar has some 250 rows a year.
     wanted = each_day(spans).join(F.broadcast(trading_days(calendar)), "trade_date").select("symbol", "trade_date")
     return wanted.join(days, ["symbol", "trade_date"], "left_anti")
+
+
+#: Bytes of a compressed file that holds nothing, at most.
+EMPTY_BYTES = 60
+
+
+def file_audit(calendar: DataFrame, listing: DataFrame, least_bytes: int = EMPTY_BYTES + 1) -> DataFrame:
+    """day, state, n_files of days whose landed files don't match the calendar: missing (none), empty (none of least_bytes), surplus (files on a closed day).
+
+    listing: file_path, file_size, as landing.landed_files gives them. A file of no
+    bytes at all counts as none: Spark's listing passes it over. So do files without
+    a date in their path.
+    """
+    landed = listing.withColumn("day", file_day(F.col("file_path"))).where("day IS NOT NULL").groupBy("day").agg(F.count("*").alias("n_files"), F.max("file_size").alias("largest"))
+    days = trading_days(calendar).select(F.col("trade_date").alias("day"), F.lit(True).alias("open"))
+    state = F.when(F.col("n_files").isNull(), "missing").when(F.col("open").isNull(), "surplus").when(F.col("largest") < least_bytes, "empty")
+    joined = days.join(landed, "day", "full_outer").withColumn("state", state)
+    return joined.where("state IS NOT NULL").select("day", "state", F.coalesce("n_files", F.lit(0)).cast("long").alias("n_files"))
+
+
+def files_of_days(calendar: DataFrame, listing: DataFrame, least_bytes: int = EMPTY_BYTES + 1) -> DataFrame:
+    """The landed files of trading days that have any content."""
+    # A calendar has some 250 rows a year.
+    return listing.where(F.col("file_size") >= least_bytes).join(F.broadcast(trading_days(calendar)), file_day(F.col("file_path")) == F.col("trade_date"), "left_semi")

@@ -108,11 +108,15 @@ def listing_report(listing: DataFrame) -> DataFrame:
     )
 
 
+def names_by_year(raw: DataFrame) -> DataFrame:
+    """symbol, year, name: the first row's name in each year; '' if it has none. raw: symbol, name, ts, and file_year if it comes from files."""
+    year = F.coalesce("file_year", F.year("ts")) if "file_year" in raw.columns else F.year("ts")
+    return raw.groupBy("symbol", year.alias("year")).agg(F.min_by(F.coalesce("name", F.lit("")), "ts").alias("name"))
+
+
 def latest_names(raw: DataFrame) -> DataFrame:
-    """symbol, name: the first row's name in each symbol's latest year; '' if it has none. raw: symbol, name, ts."""
-    year = F.year("ts")
-    first = raw.groupBy("symbol", year.alias("year")).agg(F.min_by(F.coalesce("name", F.lit("")), "ts").alias("name"))
-    return first.groupBy("symbol").agg(F.max_by("name", "year").alias("name"))
+    """symbol, name: the first row's name in each symbol's latest year."""
+    return names_by_year(raw).groupBy("symbol").agg(F.max_by("name", "year").alias("name"))
 
 
 def cn_listing(daily: DataFrame, names: DataFrame, active: DataFrame) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapegrid.functions.timeconv import trade_date
+from tapegrid.sources.landing import file_year
 
 PRICES = ("open", "high", "low", "close")
 
@@ -53,10 +57,51 @@ def input_manifest(rows: DataFrame) -> DataFrame:
     return named.groupBy("file_name", "file_size", "year").agg(F.count("*").alias("n_rows"))
 
 
-def stale_years(manifest: DataFrame, done: DataFrame) -> DataFrame:
-    """Years with a file that is new, changed in size, or gone since `done`."""
-    key = ["file_name", "file_size", "year"]
-    return manifest.join(done, key, "left_anti").select("year").unionByName(done.join(manifest, key, "left_anti").select("year")).distinct()
+def file_manifest(listing: DataFrame) -> DataFrame:
+    """file_name, file_size, year of landed files that have a year in their path; from the listing alone."""
+    return listing.select("file_name", "file_size", file_year(F.col("file_path")).alias("year")).where("year IS NOT NULL")
+
+
+def stale_years(manifest: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("year",)) -> DataFrame:
+    """Years, or other parts by their keys, with a file that is new, changed in size, or gone since `done`."""
+    key = ["file_name", "file_size", *keys]
+    return manifest.join(done, key, "left_anti").select(*keys).unionByName(done.join(manifest, key, "left_anti").select(*keys)).distinct()
+
+
+def stored_manifest(spark: SparkSession, path: str, keys: tuple[str, ...] = ("year",)) -> DataFrame:
+    """The manifest of the last builds: file_name, file_size, build and the keys; no rows before the first."""
+    types = {"year": "int"}
+    fields = ", ".join(["file_name string", "file_size long", "build int", *(f"{k} {types.get(k, 'string')}" for k in keys)])
+    try:
+        return spark.read.schema(fields).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], fields)
+
+
+def store_manifest(manifest: DataFrame, path: str, build: int, keys: tuple[str, ...] = ("year",)) -> None:
+    """Replaces the manifest of the parts that have just been built. It is written after their data: a build that fails is done again."""
+    manifest.withColumn("build", F.lit(build)).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def write_daily(rows: DataFrame, path: str, keys: tuple[str, ...] = ("year",), files_per_year: int = 1) -> None:
+    """Replaces the daily rows of the years that rows has, whole, sorted by symbol."""
+    dealt = rows.repartition(*keys, F.pmod(F.xxhash64("symbol"), F.lit(files_per_year))).sortWithinPartitions(*keys, "symbol", "trade_date")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*keys).parquet(path)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of its own only on a single machine where none is set, as in tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
 def content_fingerprint(bars: DataFrame, columns: tuple[str, ...] = (*PRICES, "volume")) -> DataFrame:
@@ -100,8 +145,3 @@ def profile_table(rows: DataFrame, name: str) -> DataFrame:
     counts = rows.agg(F.count("*").alias("n_rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{k}") for k, c in enumerate(rows.columns)])
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{k}").alias("n_null")) for k, c in enumerate(rows.columns)])
     return counts.select("n_rows", F.explode(pairs).alias("c")).select(F.lit(name).alias("table_name"), "c.column_name", "n_rows", "c.n_null")
-
-
-def safe_name_collisions(listing: DataFrame, safe) -> DataFrame:
-    """Names that stand for more than one symbol in paths."""
-    return listing.select("symbol", safe(F.col("symbol")).alias("safe")).distinct().groupBy("safe").agg(F.count("*").alias("n_symbols")).where("n_symbols > 1")

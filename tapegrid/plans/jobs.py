@@ -2,35 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapegrid.operators import bars, calendars, markets, securities, tables
-from tapegrid.sources import files, schemas
-
-
-def build_us_bars(spark: SparkSession, paths: str | list[str], root: str, daily_paths: str | list[str] | None = None, files_per_year: int = 8) -> None:
-    """Minute table of the years in paths, and the daily table of daily_paths (by default the same; meant are all files)."""
-    tables.write_minute(bars.us_minute(files.read_us_raw(spark, paths)), f"{root}/minute", files_per_year)
-    tables.write_whole(bars.us_daily(files.read_us_raw(spark, daily_paths or paths)), f"{root}/daily")
-
-
-def build_cn_bars(spark: SparkSession, sources: dict[str, str | list[str]], root: str, years: list[int] | None = None, files_per_year: int = 8) -> None:
-    """Minute and daily tables, listing and the empty corporate actions, from stock and index files ({'stock': paths, 'index': paths})."""
-    raw = {kind: files.read_cn_raw(spark, paths, kind) for kind, paths in sources.items()}
+from tapegrid.sources import files, landing, schemas
+
+
+def _rebuild(spark: SparkSession, listing: DataFrame, done_path: str, keys: tuple[str, ...], skip_done: bool, build: Callable[[list], None]) -> list:
+    """Runs build for the parts (by keys) whose files aren't those of the last build, and notes the files; the parts.
+
+    Parts whose files are all gone keep their rows. The manifest, a row a file, stays
+    in Spark; a row a part comes to the driver.
+    """
+    done = tables.stored_manifest(spark, done_path, keys)
+    parts = listing.select(*keys).distinct()
+    stale = parts.join(tables.stale_years(listing, done, keys), list(keys), "left_semi") if skip_done else parts
+    found = sorted(tuple(r) for r in stale.collect())
+    if found:
+        number = 1 + (done.agg(F.max("build")).first()[0] or 0)
+        build(found)
+        tables.store_manifest(listing.join(F.broadcast(spark.createDataFrame(found, listing.select(*keys).schema)), list(keys), "left_semi"), done_path, number, keys)
+    return found
+
+
+def build_us_bars(spark: SparkSession, paths: str | list[str], root: str, files_per_year: int = 8, skip_done: bool = True) -> list[int]:
+    """Minute and daily tables of the years whose files in paths are new, changed or fewer since the last build; these years.
+
+    A year is replaced whole in both tables, from its files alone; other years' files
+    aren't opened. paths name all files of a year. Files without a date in their path
+    can't be told apart by year: if there are any, every file is read, and rows go by
+    their own year. skip_done=False builds all years anew.
+    """
+    listing = landing.landed_files(spark, paths)
+
+    def build(years: list[int] | None) -> None:
+        raw = files.read_us_raw(spark, paths, years=years)
+        tables.write_minute(bars.us_minute(raw), f"{root}/minute", files_per_year)
+        tables.write_daily(bars.us_daily(raw), f"{root}/daily")
+
+    if not listing.where(landing.file_year(F.col("file_path")).isNull()).isEmpty():
+        build(None)
+        return sorted(r.year for r in spark.read.parquet(f"{root}/daily").select("year").distinct().collect())
+    return [year for (year,) in _rebuild(spark, tables.file_manifest(listing), f"{root}/manifest", ("year",), skip_done, lambda parts: build([year for (year,) in parts]))]
+
+
+def build_cn_bars(spark: SparkSession, sources: dict[str, str | list[str]], root: str, years: list[int] | None = None, files_per_year: int = 8, skip_done: bool = True) -> list[tuple[str, int]]:
+    """Minute and daily tables, listing and the empty corporate actions, from stock and index files ({'stock': paths, 'index': paths}).
+
+    Kinds and years whose files are those of the last build are passed over, as in
+    build_us_bars; the listing is made anew from the daily table and the names, which
+    have a row a symbol and year. Returns what was built: (kind, year).
+    """
+    keys = ("kind", "year")
+    listing = reduce(DataFrame.unionByName, [tables.file_manifest(landing.landed_files(spark, paths)).withColumn("kind", F.lit(kind)) for kind, paths in sources.items()])
     if years is not None:
-        raw = {kind: files.of_years(rows, years) for kind, rows in raw.items()}
-    minute = reduce(bars.cn_union, [bars.cn_minute(rows, kind).withColumn("kind", F.lit(kind)) for kind, rows in raw.items()])
-    tables.write_minute(minute, f"{root}/minute", files_per_year, ("kind", "year"))
-    tables.write_whole(reduce(bars.cn_union, [bars.cn_daily(rows, kind) for kind, rows in raw.items()]), f"{root}/daily")
-    named = reduce(DataFrame.unionByName, [rows.select(bars.cn_symbol(kind).alias("symbol"), "name", "ts", "file_year") for kind, rows in raw.items()])
-    last = named.agg(F.max("file_year").alias("last_year"))
-    active = named.join(F.broadcast(last), F.col("file_year") == F.col("last_year"), "left_semi").select("symbol").distinct()
-    listing = securities.cn_listing(spark.read.parquet(f"{root}/daily"), securities.latest_names(named), active)
-    tables.write_whole(listing, f"{root}/listing")
-    securities.empty_corporate_actions(spark).write.mode("overwrite").parquet(f"{root}/corp_actions")
+        listing = files.of_years(listing, years, "year")
+
+    def build(parts: list[tuple[str, int]]) -> None:
+        raw = {kind: files.read_cn_raw(spark, sources[kind], kind, own) for kind in sources if (own := [y for k, y in parts if k == kind])}
+        with_kind = lambda make: reduce(bars.cn_union, [make(rows, kind).withColumn("kind", F.lit(kind)) for kind, rows in raw.items()])
+        tables.write_minute(with_kind(bars.cn_minute), f"{root}/minute", files_per_year, keys)
+        tables.write_daily(with_kind(bars.cn_daily), f"{root}/daily", keys)
+        names = with_kind(lambda rows, kind: securities.names_by_year(rows.withColumn("symbol", bars.cn_symbol(kind))))
+        names.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{root}/names")
+
+    built = _rebuild(spark, listing, f"{root}/manifest", keys, skip_done, build)
+    if built:
+        names = spark.read.parquet(f"{root}/names")
+        last = names.agg(F.max("year").alias("last_year"))  # one row
+        active = names.join(F.broadcast(last), F.col("year") == F.col("last_year"), "left_semi").select("symbol").distinct()
+        latest = names.groupBy("symbol").agg(F.max_by("name", "year").alias("name"))
+        tables.write_whole(securities.cn_listing(spark.read.parquet(f"{root}/daily"), latest, active), f"{root}/listing")
+        securities.empty_corporate_actions(spark).write.mode("overwrite").parquet(f"{root}/corp_actions")
+    return built
 
 
 def build_reference(spark: SparkSession, landing: str, root: str, since: str | None = None) -> None:
@@ -44,7 +92,7 @@ def build_reference(spark: SparkSession, landing: str, root: str, since: str | N
     dividends = securities.remap_symbols(securities.between_dates(dividends, since), listed)
     tables.write_whole(splits, f"{root}/splits")
     tables.write_whole(dividends, f"{root}/dividends")
-    tables.write_whole(securities.corporate_actions(splits, dividends), f"{root}/corp_actions")
+    tables.write_whole(securities.corporate_actions(splits, dividends), f"{root}/corp_actions", ["symbol", "ex_date"])
 
 
 def build_feature_panel(spark: SparkSession, tape: DataFrame, themes: dict[str, list[str]], start: str, end: str, min_usdc: float = 50_000.0, per_theme: int = 1) -> DataFrame:

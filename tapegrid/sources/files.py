@@ -8,30 +8,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tapegrid.sources import schemas
+from tapegrid.sources.landing import read_by_name
 
 LIFECYCLE = ("preparations", "splits", "merges", "resolutions", "redemptions")
 
 
-def _csv(spark: SparkSession, paths: str | list[str], schema: StructType) -> DataFrame:
-    # A schema is laid on columns by place; without enforceSchema a header that differs fails.
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths)
-
-
-def read_us_raw(spark: SparkSession, paths: str | list[str], partitions: int | None = None) -> DataFrame:
-    """Daily gzip files of all tickers. A gzip file is one task; `partitions` deals its rows out afterwards."""
-    rows = _csv(spark, paths, schemas.US_RAW)
+def read_us_raw(spark: SparkSession, paths: str | list[str], partitions: int | None = None, years: list[int] | None = None) -> DataFrame:
+    """Daily gzip files of all tickers, columns met by name, and the year in each file's name. A gzip file is one task; `partitions` deals its rows out afterwards."""
+    rows = read_by_name(spark, paths, schemas.US_RAW, ("ticker", "window_start"), years)
     return rows.repartition(partitions) if partitions else rows
 
 
-def read_cn_raw(spark: SparkSession, paths: str | list[str], kind: str) -> DataFrame:
+def read_cn_raw(spark: SparkSession, paths: str | list[str], kind: str, years: list[int] | None = None) -> DataFrame:
     """Files of stocks or indexes, with English column names and the year of the file's name. Index files have no volume."""
     if kind not in ("stock", "index"):
         raise ValueError(f"kind must be 'stock' or 'index', not {kind!r}")
-    rows = _csv(spark, paths, schemas.CN_STOCK_RAW if kind == "stock" else schemas.CN_INDEX_RAW)
-    year = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})\.csv", 1)
-    rows = rows.withColumn("file_year", F.when(year != "", year.cast("int")))
+    rows = read_by_name(spark, paths, schemas.CN_STOCK_RAW if kind == "stock" else schemas.CN_INDEX_RAW, schemas.CN_KEYS, years)
     renamed = rows.withColumnsRenamed({k: v for k, v in schemas.CN_NAMES.items() if k in rows.columns})
-    return renamed if "volume" in renamed.columns else renamed.withColumn("volume", F.lit(0.0))
+    return renamed.withColumn("volume", F.coalesce("volume", F.lit(0.0)) if "volume" in renamed.columns and kind == "stock" else F.lit(0.0))
 
 
 def read_trades(spark: SparkSession, path: str) -> DataFrame:

@@ -20,10 +20,9 @@ _CN_PRICES = "`时间` timestamp_ntz, `代码` string, `名称` string, `开盘
 _CN_END = "`成交额` double, `涨幅` double, `振幅` double"
 CN_STOCK_RAW = schema(f"{_CN_PRICES}, `成交量` double, {_CN_END}")
 CN_INDEX_RAW = schema(f"{_CN_PRICES}, {_CN_END}")
+CN_KEYS = ("时间", "代码")
 CN_NAMES = {"时间": "ts", "代码": "code", "名称": "name", "开盘价": "open", "收盘价": "close", "最高价": "high", "最低价": "low", "成交量": "volume", "成交额": "amount", "涨幅": "change", "振幅": "range"}
 
-US_MINUTE = schema("symbol string, ts timestamp_ntz, open float, high float, low float, close float, volume bigint, trade_count bigint, source string, ingested_utc string, raw_hash string")
-CN_MINUTE = schema("symbol string, ts timestamp_ntz, open float, high float, low float, close float, volume bigint, trade_count bigint, vwap float, amount double, source string, ingested_utc string, raw_hash string")
 DAILY = schema("symbol string, trade_date string, open float, high float, low float, close float, volume bigint, amount double, source string")
 LISTING = schema("symbol string, name string, exchange string, status string, ipo_date string, delist_date string")
 SPLITS = schema("symbol string, ex_date string, split_ratio double")
