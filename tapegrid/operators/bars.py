@@ -166,3 +166,8 @@ def layer_summary(bars: DataFrame) -> DataFrame:
 
 def symbol_span(daily: DataFrame) -> DataFrame:
     return daily.groupBy("symbol").agg(F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
+
+
+def first_bars(bars: DataFrame, symbols: list[str] | None = None, n: int = 10) -> DataFrame:
+    """The first n bars of some or all symbols, in order of time and symbol."""
+    return _of_symbols(bars, symbols).orderBy("ts", "symbol").limit(n)

@@ -28,12 +28,13 @@ def market_trades(tape: DataFrame, markets: DataFrame | None = None, tie: str |
 
 
 def minute_flow(trades: DataFrame) -> DataFrame:
-    """condition_id, m (UTC minute), last (a struct, so that a null price stays one), net, usdc, n."""
+    """condition_id, m (UTC minute), last (a struct, so that a null price stays one), net, usdc, n, resolved_et."""
     return trades.groupBy("condition_id", F.date_trunc("MINUTE", "utc").cast("timestamp_ntz").alias("m")).agg(
         F.max_by(F.struct(F.col("p_event").alias("p")), F.struct("utc", "tie")).alias("last"),
         F.coalesce(F.sum(F.col("D").cast("double") * F.col("usdc_amount")), F.lit(0.0)).alias("net"),
         F.coalesce(F.sum("usdc_amount"), F.lit(0.0)).alias("usdc"),
         F.count("*").alias("n"),
+        F.max("resolved_et").alias("resolved_et"),
     )
 
 
@@ -52,57 +53,47 @@ def minute_features(trades: DataFrame, calendar: DataFrame) -> DataFrame:
     so windows hold at most 1440 rows a day and market however it traded; labels
     are whole minutes, so nothing is lost. Nulls in D or amounts are skipped.
     Markets without a grid day have no rows.
+
+    Trades are read once and shuffled twice, by minute as partial sums and by market.
+    A market's first minute brings its grid along; minutes and labels then stand in
+    one row of time, where running counts of openings and closings tell sessions and
+    nights apart, and windows do what joins of grid, minutes and days would.
     """
     flow = minute_flow(trades)
-    days = market_days(trades, calendar)
-    grid = days.select("condition_id", "trade_date", "resolved_et", F.explode(F.sequence("open_utc", "close_utc", F.expr("INTERVAL 1 MINUTE"))).alias("m"))
-    every = grid.join(flow, ["condition_id", "m"], "full_outer")
-    before = Window.partitionBy("condition_id").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
-    known = every.withColumn("p", F.last("last", ignorenulls=True).over(before)["p"]).where("trade_date IS NOT NULL")
-
-    day = Window.partitionBy("condition_id", "trade_date").orderBy("m")
-    so_far = day.rowsBetween(Window.unboundedPreceding, -1)
-    session = known.withColumns(
-        {
-            "dp_intraday": F.col("p") - F.first("p").over(day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-            "flow_session": F.coalesce(F.sum("net").over(so_far), F.lit(0.0)),
-            "usdc_session": F.coalesce(F.sum("usdc").over(so_far), F.lit(0.0)),
-            "n_session": F.coalesce(F.sum("n").over(so_far), F.lit(0)).cast("double"),
-        }
+    market = Window.partitionBy("condition_id").orderBy("m")
+    whole = market.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    spans = flow.withColumns({"resolved_et": F.max("resolved_et").over(whole), "last_m": F.max("m").over(whole), "nth": F.row_number().over(market)})
+    none = F.array(F.lit(None).cast("date"))
+    days = F.when(F.col("nth") == 1, F.concat(none, F.sequence(F.to_date(local(F.col("m"))), F.to_date(local(F.col("last_m")))))).otherwise(none)
+    with_days = spans.withColumn("day", F.explode(days)).withColumn("trade_date", F.date_format("day", "yyyy-MM-dd")).drop("nth", "last_m")
+    # A calendar has some 250 rows a year.
+    dated = with_days.join(F.broadcast(in_utc(calendar).select("trade_date", "open_utc", "close_utc")), "trade_date", "left").where("day IS NULL OR open_utc IS NOT NULL")
+    labels = F.when(F.col("day").isNull(), F.array("m")).otherwise(F.sequence("open_utc", "close_utc", F.expr("INTERVAL 1 MINUTE")))
+    is_label = F.col("day").isNotNull()
+    rows = dated.withColumn("t", F.explode(labels)).select(
+        "condition_id", "t", "trade_date", "resolved_et", is_label.alias("is_label"), (is_label & (F.col("t") == F.col("open_utc"))).alias("opens"), (is_label & (F.col("t") == F.col("close_utc"))).alias("closes"), *[F.when(~is_label, F.col(c)).alias(c) for c in ("last", "net", "usdc", "n")]
     )
-    in_order = Window.partitionBy("condition_id").orderBy("trade_date")
-    ends = known.groupBy("condition_id", "trade_date").agg(F.min_by("p", "m").alias("open_p"), F.max_by("p", "m").alias("close_p"))
-    ends = ends.select("condition_id", "trade_date", (F.col("open_p") - F.lag("close_p").over(in_order)).alias("dp_overnight"))
-    night = overnight_flow(flow, days)
-    # Both have a row per market and day.
-    joined = session.join(ends, ["condition_id", "trade_date"]).join(night, ["condition_id", "trade_date"])
-    ts = local(F.col("m"))
+    # A label comes before the trades of its own minute.
+    order = ("t", F.desc("is_label"))
+    so_far, before = (Window.unboundedPreceding, Window.currentRow), (Window.unboundedPreceding, -1)
+    time = Window.partitionBy("condition_id").orderBy(*order)
+    placed = rows.withColumns({"p": F.last("last", ignorenulls=True).over(time.rowsBetween(*before))["p"], "session": F.count_if("opens").over(time.rowsBetween(*so_far)), "night": F.count_if("closes").over(time.rowsBetween(*so_far))})
+
+    def sums(window: Window, kind: str) -> dict[str, Column]:
+        return {f"{new}_{kind}": F.coalesce(F.sum(c).over(window.rowsBetween(*before)).cast("double"), F.lit(0.0)) for new, c in (("flow", "net"), ("usdc", "usdc"), ("n", "n"))}
+
+    # A night begins with the last label of the day before; what an opening has before it there are the night's trades.
+    night = Window.partitionBy("condition_id", "night").orderBy(*order)
+    nights = placed.withColumns(sums(night, "overnight") | {"close_p": F.first("p").over(night.rowsBetween(*so_far))})
+    # A session begins with its opening, whose values hold for all its labels.
+    session = Window.partitionBy("condition_id", "session").orderBy(*order)
+    first = lambda c: F.first(c).over(session.rowsBetween(*so_far))
+    has_night = first("night") > 0
+    overnight = {c: F.when(has_night, first(c)) for c in ("flow_overnight", "usdc_overnight", "n_overnight")}
+    both = nights.withColumns(sums(session, "session") | overnight | {"dp_intraday": F.col("p") - first("p"), "dp_overnight": F.when(has_night, first("p") - first("close_p"))})
+    ts = local(F.col("t"))
     unmasked = F.col("resolved_et").isNull() | (ts < F.col("resolved_et"))
-    return joined.select("condition_id", "trade_date", minute(ts).alias("minute"), *[F.when(unmasked, F.col(c)).alias(c) for c in FEATURES])
-
-
-def overnight_flow(flow: DataFrame, days: DataFrame) -> DataFrame:
-    """Sums from the last label of the day before, included, to the day's 09:30, excluded; a market's first day has none.
-
-    Each minute looks for its own night by the day that it falls into, so that the
-    join is on equal keys and its output no larger than its input.
-    """
-    in_order = Window.partitionBy("condition_id").orderBy("trade_date")
-    nights = days.select("condition_id", "trade_date", F.lag("close_utc").over(in_order).alias("night_from"), F.col("open_utc").alias("night_to"))
-    marks = nights.select("condition_id", F.col("night_to").alias("m"), "trade_date", "night_from", F.lit(0).alias("kind"))
-    rows = flow.select("condition_id", "m", F.lit(None).cast("string").alias("trade_date"), F.lit(None).cast("timestamp_ntz").alias("night_from"), F.lit(1).alias("kind"), "net", "usdc", "n")
-    # Backwards in time, the last opening met is the first after a minute. (A frame that
-    # runs to the end of its partition would be computed anew for each row.) An opening
-    # at the same minute isn't after it: such trades belong to the session.
-    backwards = Window.partitionBy("condition_id").orderBy(F.desc("m"), "kind").rowsBetween(Window.unboundedPreceding, -1)
-    mixed = marks.unionByName(rows, allowMissingColumns=True)
-    opening = F.last(F.when(F.col("kind") == 0, F.struct("trade_date", "night_from", "m")), ignorenulls=True).over(backwards)
-    placed = mixed.withColumn("opening", opening).where("kind = 1 AND opening IS NOT NULL AND opening.m > m AND m >= opening.night_from")
-    sums = placed.groupBy("condition_id", F.col("opening.trade_date").alias("trade_date")).agg(F.sum("net").alias("net"), F.sum("usdc").alias("usdc"), F.sum("n").alias("n"))
-    joined = nights.join(sums, ["condition_id", "trade_date"], "left")
-    some = F.col("night_from").isNotNull()
-    named = (("flow_overnight", "net"), ("usdc_overnight", "usdc"), ("n_overnight", "n"))
-    return joined.select("condition_id", "trade_date", *[F.when(some, F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(new) for new, c in named])
+    return both.where("is_label").select("condition_id", "trade_date", minute(ts).alias("minute"), *[F.when(unmasked, F.col(c)).alias(c) for c in FEATURES])
 
 
 def feature_panel(features: DataFrame, markets: DataFrame, present: DataFrame | None = None) -> DataFrame:
@@ -138,12 +129,20 @@ def search(catalog: DataFrame, keywords: list[str], top: int | None = None) -> D
 
 
 def theme_markets(catalog: DataFrame, themes: dict[str, list[str]], per_theme: int = 1) -> DataFrame:
-    """key, condition_id of each theme's most traded markets; keys are numbered if there may be several."""
-    parts = [catalog.where(_mentions(words)).select(F.lit(theme).alias("theme"), "condition_id", "total_usdc") for theme, words in themes.items()]
+    """key, condition_id of each theme's most traded markets, with their notional, place and time span; keys are numbered if there may be several."""
+    parts = [catalog.where(_mentions(words)).select(F.lit(theme).alias("theme"), "condition_id", "total_usdc", "first_ts", "last_ts") for theme, words in themes.items()]
     best = Window.partitionBy("theme").orderBy(F.desc("total_usdc"), "condition_id")
     ranked = reduce(DataFrame.unionByName, parts).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= per_theme)
     key = F.col("theme") if per_theme == 1 else F.concat("theme", F.col("nth").cast("string"))
-    return ranked.select(key.alias("key"), "theme", "condition_id", "total_usdc", "nth")
+    return ranked.select(key.alias("key"), "theme", "condition_id", "total_usdc", "nth", "first_ts", "last_ts")
+
+
+def markets_on(spans: DataFrame, calendar: DataFrame) -> DataFrame:
+    """condition_id of the markets with a calendar day between the local days of their first and last trade (first_ts, last_ts)."""
+    day = lambda c: F.date_format(local(from_epoch_micros(F.col(c) * 1_000_000)), "yyyy-MM-dd")
+    days = each_day(spans.where("first_ts IS NOT NULL").select("condition_id", day("first_ts").alias("first_day"), day("last_ts").alias("last_day")))
+    # A calendar has some 250 rows a year.
+    return days.join(F.broadcast(calendar.select("trade_date")), "trade_date", "left_semi").select("condition_id").distinct()
 
 
 def attach_features(bars: DataFrame, panel: DataFrame) -> DataFrame:

@@ -95,18 +95,26 @@ def build_reference(spark: SparkSession, landing: str, root: str, since: str | N
     tables.write_whole(securities.corporate_actions(splits, dividends), f"{root}/corp_actions", ["symbol", "ex_date"])
 
 
-def build_feature_panel(spark: SparkSession, tape: DataFrame, themes: dict[str, list[str]], start: str, end: str, min_usdc: float = 50_000.0, per_theme: int = 1) -> DataFrame:
-    """Catalog, the themes' markets, their features in one job, and the panel."""
-    chosen = markets.theme_markets(markets.market_catalog(tape, min_usdc), themes, per_theme)
-    trades = markets.market_trades(tape, chosen, "event_id" if "event_id" in tape.columns else None)
+def build_feature_panel(spark: SparkSession, tape: DataFrame, themes: dict[str, list[str]], start: str, end: str, min_usdc: float = 50_000.0, per_theme: int = 1, catalog: DataFrame | None = None) -> DataFrame:
+    """Catalog, the themes' markets, their features in one job, and the panel.
+
+    The tape is read twice: for the catalog, unless one is given, and for the trades of
+    the chosen markets. These few are settled in between, so that their ids are part
+    of the second scan.
+    """
+    catalog = markets.market_catalog(tape, min_usdc) if catalog is None else catalog
+    chosen = markets.theme_markets(catalog, themes, per_theme)
+    chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # at most per_theme for each theme
+    ids = sorted({r.condition_id for r in chosen.collect()})
+    trades = markets.market_trades(tape.where(F.col("condition_id").isin(ids)), tie="event_id" if "event_id" in tape.columns else None)
     calendar = calendars.trading_calendar(spark, start, end)
-    return markets.feature_panel(markets.minute_features(trades, calendar), chosen, markets.market_days(trades, calendar))
+    return markets.feature_panel(markets.minute_features(trades, calendar), chosen, markets.markets_on(chosen, calendar))
 
 
 def build_market_tables(spark: SparkSession, tape: DataFrame, root: str, themes: dict[str, list[str]], start: str, end: str, min_usdc: float = 50_000.0, per_theme: int = 1) -> None:
     """The catalog, most traded markets first, and the feature panel in order of time, as tables."""
     tables.write_whole(markets.market_catalog(tape, min_usdc), f"{root}/catalog", [F.desc("total_usdc"), "condition_id"])
-    panel = build_feature_panel(spark, tape, themes, start, end, min_usdc, per_theme)
+    panel = build_feature_panel(spark, tape, themes, start, end, min_usdc, per_theme, spark.read.parquet(f"{root}/catalog"))
     tables.write_whole(panel, f"{root}/panel", ["trade_date", "minute"])
 
 

@@ -322,7 +322,7 @@ def catalog_search(spark, sf_dir):
 @query
 def theme_top_markets(spark, sf_dir):
     themes = {"red": ["red"], "widget": ["WIDGET", "m3"], "none": ["absent"]}
-    return rounded(markets.theme_markets(markets.market_catalog(D.tape(spark, sf_dir, "user_id"), 0.0), themes, 3), 2)
+    return rounded(markets.theme_markets(markets.market_catalog(D.tape(spark, sf_dir, "user_id"), 0.0), themes, 3).drop("first_ts", "last_ts"), 2)
 
 
 @query

@@ -1,8 +1,8 @@
 import datetime as dt
 import json
 
-from tapegrid.operators import calendars, securities
-from tapegrid.plans import jobs
+from tapegrid.operators import bars, calendars, securities
+from tapegrid.plans import jobs, queries
 from tapegrid.sources import files, schemas
 
 TAPE = "condition_id string, market_slug string, category string, category_refined string, usdc_amount double, p_event double, D int, block_timestamp long, event_id long, opens_at timestamp_ntz, close_at timestamp_ntz, resolved_at timestamp_ntz, winning_outcome_label string"
@@ -49,3 +49,41 @@ def test_lifecycle_and_years(spark, tmp_path):
     assert [r.file_year for r in files.of_years(rows, [2023]).collect()] == [2023]
     days = calendars.trading_days(calendars.trading_calendar(spark, "2024-05-24", "2024-05-28"))
     assert sorted(r.trade_date for r in days.collect()) == ["2024-05-24", "2024-05-28"]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_read_their_trades_once(spark):
+    plan = plan_of(queries.QUERIES["market_features"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
+
+
+def test_chosen_markets_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "tape")
+    spark.createDataFrame([(c, f"slug-{c}", None, None, 60.0, 0.5, 1, 1716300000 + k, k, None, None, None, None) for k, c in enumerate("aabbcc")], TAPE).write.parquet(path)
+    tape = files.read_trades(spark, path)
+    panel = jobs.build_feature_panel(spark, tape, {"one": ["slug-b"], "two": ["slug-c", "slug-b"]}, "2024-05-01", "2024-05-31", 100.0)
+    plan = plan_of(panel)
+    assert plan.count("FileScan parquet") == 1 and "In(condition_id, [b])" in plan.replace("EqualTo(condition_id,b)", "In(condition_id, [b])")
+    assert {"one_p", "two_p"} <= set(panel.columns) and panel.count() == 391
+    weekend = jobs.build_feature_panel(spark, tape, {"one": ["slug-b"]}, "2024-05-25", "2024-05-26", 100.0)
+    assert weekend.columns == ["trade_date", "minute"] and weekend.count() == 0
+
+
+def test_listing_of_two_pulls_and_a_snapshot(spark):
+    fields = "ticker string, name string, primary_exchange string, active boolean, delisted_utc string, market string, snapshot_date string"
+    active = spark.createDataFrame([("GULL", "Gull", "X", True, None, "stocks", "2024-01-02"), ("GULL", "Old Gull", "X", True, None, "stocks", "2023-01-02"), ("FXAB", "Pair", "X", True, None, "fx", "2024-01-02")], fields)
+    delisted = spark.createDataFrame([("GULL", "Gone", "2020-05-01"), ("TERN", "Tern", "2021-05-01")], "ticker string, name string, delisted_utc string")
+    asked = securities.filter_tickers(active, market="stocks", active=True, date="2024-01-02")
+    assert [r.name for r in asked.collect()] == ["Gull"]
+    assert securities.filter_tickers(active).count() == 3 and securities.filter_tickers(active, active=False).count() == 0
+    found = {r.symbol: (r.name, r.status, r.delist_date) for r in securities.build_listing(asked, delisted).collect()}
+    assert found == {"GULL": ("Gull", "active", ""), "TERN": ("Tern", "delisted", "2021-05-01")}
+
+
+def test_bars_in_order_with_a_limit(spark):
+    rows = spark.createDataFrame([("A", dt.datetime(2024, 5, 21, 9, 31 + k)) for k in (3, 0, 2, 1)] + [("B", dt.datetime(2024, 5, 21, 9, 31))], "symbol string, ts timestamp_ntz")
+    assert [(r.symbol, r.ts.minute) for r in bars.first_bars(rows, ["A"], 2).collect()] == [("A", 31), ("A", 32)]
+    assert [r.symbol for r in bars.first_bars(rows, None, 2).collect()] == ["A", "B"] and "TakeOrderedAndProject" in plan_of(bars.first_bars(rows, None, 2))
