@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapegrid.llm.common import map_arrow
+from tapegrid.llm.common import cut_lineage, map_arrow
 from tapegrid.llm.lexicon import compiled, is_word, mapped, published
 from tapegrid.llm.word_ids import WordIds, cut_places, text_parts, units_between
 
@@ -18,6 +18,8 @@ from tapegrid.llm.word_ids import WordIds, cut_places, text_parts, units_between
 WORDS, LONGEST = 50_000, 48
 #: Different words whose counts a task holds; beyond, it passes them on.
 HELD = 200_000
+#: Steps of the histogram of word counts for each doubling of a count.
+STEPS = 16
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", longest: int = LONGEST) -> DataFrame:
@@ -56,13 +58,28 @@ def _counts(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         yield from t.cast(pa.schema([("word", pa.binary()), ("n", pa.int64())])).to_batches(max_chunksize=20_000)
 
 
+def frequent(counts: DataFrame, words: int) -> DataFrame:
+    """The most frequent words of counts (word, n), at most so many: those above a count that leaves no more.
+
+    The count comes from a histogram in STEPS steps for each doubling, a few hundred
+    rows whatever the corpus, so no task has to merge the first words of all others.
+    """
+    step = F.floor(F.log2("n") * STEPS)
+    left, least = words, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n_words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
+        if r.n_words > left:
+            break
+        left, least = left - r.n_words, r.least
+    return counts.where(F.col("n") >= least) if least else counts.where(F.lit(False))
+
+
 def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text", words: int = WORDS) -> str:
     """Compiles the most frequent words of all texts and brings the file to the executors. Its name.
 
-    Of equally frequent words the smaller bytes come first. What comes to the driver
-    is bounded by `words`. A lexicon only saves merges: ids don't depend on it.
+    What comes to the driver is bounded by `words`. A lexicon only saves merges: ids
+    don't depend on it.
     """
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(words).select("word").toArrow()
+    top = frequent(cut_lineage(word_counts(docs, text_col)), words).select("word").toArrow()
     units = top.column("word").combine_chunks().cast(pa.large_string())
     encoder = WordIds(tokenizer_path)
     pool, begins, sizes = encoder.found(units)

@@ -82,3 +82,10 @@ def test_counts_cover_all_texts(spark, monkeypatch):
     monkeypatch.setattr(word_bpe, "HELD", 2)
     docs = spark.createDataFrame([(k, "one two two " * (k + 1), "", 0) for k in range(50)] + [(None, None, "", 0)], SCHEMA)
     assert {bytes(r.word): r.n for r in word_bpe.word_counts(docs).collect()} == {b"one": 1275, b"two": 2550, b" ": 3825}
+
+
+def test_frequent_words_are_the_most_frequent(spark):
+    rows = [(f"w{k}".encode(), n) for k, n in enumerate([900, 500, 500, 80, 80, 80, *[3] * 40, *[1] * 100])]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    for words, wanted in ((0, 0), (1, 1), (2, 1), (3, 3), (5, 3), (6, 6), (45, 6), (46, 46), (1000, 146)):
+        assert sorted(r.n for r in word_bpe.frequent(counts, words).collect()) == sorted(n for _, n in rows)[len(rows) - wanted :], words
