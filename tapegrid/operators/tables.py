@@ -104,23 +104,28 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def content_fingerprint(bars: DataFrame, columns: tuple[str, ...] = (*PRICES, "volume")) -> DataFrame:
-    """symbol, trade_date, n_bars, digest: equal digests mean equal bars, in whatever order they are stored."""
+def content_fingerprint(bars: DataFrame, columns: tuple[str, ...] = (*PRICES, "volume"), by: tuple[str, ...] = ()) -> DataFrame:
+    """symbol, trade_date, n_bars, digest: equal digests mean equal bars, in whatever order they are stored. by: further columns to tell days apart by, such as year."""
     rows = bars if "trade_date" in bars.columns else bars.withColumn("trade_date", trade_date(F.col("ts")))
     # A day has 1440 minutes, so a group's list is short.
     row = F.concat_ws("|", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), *[F.coalesce(F.col(c).cast("double").cast("string"), F.lit("null")) for c in columns])
-    return rows.groupBy("symbol", "trade_date").agg(F.count("*").alias("n_bars"), F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("digest"))
+    return rows.groupBy("symbol", "trade_date", *by).agg(F.count("*").alias("n_bars"), F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("digest"))
 
 
-def detect_restatements(old: DataFrame, new: DataFrame) -> DataFrame:
-    """symbol, trade_date, old_bars, new_bars, change of the days that differ between two states of a table."""
-    a = content_fingerprint(old).select("symbol", "trade_date", F.col("n_bars").alias("old_bars"), F.col("digest").alias("old_digest"))
-    b = content_fingerprint(new).select("symbol", "trade_date", F.col("n_bars").alias("new_bars"), F.col("digest").alias("new_digest"))
+def change_of(old: DataFrame, new: DataFrame) -> DataFrame:
+    """symbol, trade_date, old_bars, new_bars, change of the days whose fingerprints differ."""
+    a = old.select("symbol", "trade_date", F.col("n_bars").alias("old_bars"), F.col("digest").alias("old_digest"))
+    b = new.select("symbol", "trade_date", F.col("n_bars").alias("new_bars"), F.col("digest").alias("new_digest"))
     change = F.when(F.col("old_digest").isNull(), "added").when(F.col("new_digest").isNull(), "removed").when(F.col("old_digest") != F.col("new_digest"), "restated")
     joined = a.join(b, ["symbol", "trade_date"], "full_outer").withColumn("change", change)
     return joined.where("change IS NOT NULL").select("symbol", "trade_date", "old_bars", "new_bars", "change")
 
 
+def detect_restatements(old: DataFrame, new: DataFrame) -> DataFrame:
+    """change_of() two states of a table at hand; snapshots.restatements compares stored versions."""
+    return change_of(content_fingerprint(old), content_fingerprint(new))
+
+
 def reconcile_bars(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """symbol, ts, only_in ('a', 'b' or ''), and diff_{field}: where two sources differ, field by field."""
     fields = [*PRICES, "volume"]
@@ -145,3 +150,40 @@ def profile_table(rows: DataFrame, name: str) -> DataFrame:
     counts = rows.agg(F.count("*").alias("n_rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{k}") for k, c in enumerate(rows.columns)])
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{k}").alias("n_null")) for k, c in enumerate(rows.columns)])
     return counts.select("n_rows", F.explode(pairs).alias("c")).select(F.lit(name).alias("table_name"), "c.column_name", "n_rows", "c.n_null")
+
+
+#: Spark's types by the kind of profile that they get.
+_KINDS = {"string": "text", "boolean": "flag", "date": "time", "timestamp": "time", "timestamp_ntz": "time", "tinyint": "whole", "smallint": "whole", "int": "whole", "bigint": "whole", "float": "number", "double": "number"}
+
+
+def column_profile(rows: DataFrame, name: str, key: str | None = None) -> DataFrame:
+    """A row for each column of a table, from one pass: table_name, column_name, kind, n_rows, n_null, range and sample.
+
+    kind: text, flag, time, whole, number, or other (lists, decimals and the like).
+    min_number, max_number (of whole and number; flags as 0 and 1), min_text,
+    max_text, min_time, max_time, mean_length (of text and lists); sample_number,
+    sample_text, sample_time: the value in the row whose key (by default the first
+    column) has the least md5, so it is the same however the rows lie; of several
+    such rows the least. Columns that don't apply to a kind are null. NaN counts as
+    no value. An empty table has 0 rows and nulls.
+    """
+    key = rows.columns[0] if key is None else key
+    aggregates, structs = [], []
+    for k, (c, kind) in enumerate((c, _KINDS.get(t, "number" if t.startswith("decimal") else "other")) for c, t in rows.dtypes):
+        col = F.col(f"`{c}`")
+        value = F.when(F.isnan(col), None).otherwise(col).cast("double") if kind == "number" else col.cast("double") if kind in ("whole", "flag") else col.cast("string") if kind == "text" else col.cast("timestamp_ntz") if kind == "time" else None
+        length = F.length(col) if kind == "text" else F.size(col) if rows.schema[c].dataType.typeName() in ("array", "map") else None
+        aggregates.append(F.count_if(col.isNull()).alias(f"null{k}"))
+        names = {"whole": "number", "flag": "number"}.get(kind, kind)
+        if value is not None:
+            sample = F.min(F.when(value.isNotNull(), F.struct(F.md5(F.col(f"`{key}`").cast("string")).alias("h"), value.alias("v"))))
+            aggregates += [F.min(value).alias(f"min{k}"), F.max(value).alias(f"max{k}"), sample["v"].alias(f"sample{k}")]
+        if length is not None:
+            aggregates.append(F.avg(F.when(col.isNotNull(), length)).alias(f"length{k}"))
+        fields = [F.lit(c).alias("column_name"), F.lit(kind).alias("kind"), F.col(f"null{k}").alias("n_null")]
+        for to, type_ in (("number", "double"), ("text", "string"), ("time", "timestamp_ntz")):
+            fields += [(F.col(f"{what}{k}") if value is not None and names == to else F.lit(None)).cast(type_).alias(f"{what}_{to}") for what in ("min", "max", "sample")]
+        fields.append((F.col(f"length{k}") if length is not None else F.lit(None)).cast("double").alias("mean_length"))
+        structs.append(F.struct(*fields))
+    counts = rows.agg(F.count("*").alias("n_rows"), *aggregates)
+    return counts.select("n_rows", F.explode(F.array(*structs)).alias("c")).select(F.lit(name).alias("table_name"), "n_rows", "c.*")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapegrid.functions.timeconv import close_label
+from tapegrid.functions.timeconv import close_label, from_epoch_micros, local, trade_date
 from tapegrid.operators import calendars, markets
+from tapegrid.sources import schemas
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,3 +133,41 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     rows = e.groupBy(F.col("event_type").alias("symbol"), F.date_format("ts", "yyyy-MM-dd").alias("trade_date"), F.date_format("ts", "HH:mm").alias("minute"))
     return rows.agg(F.max_by("value", "event_id").alias("close"), F.round(F.avg("value"), 6).alias("vwap"), (F.count("*") * 10).alias("volume"))
+
+
+#: 364 days in nanoseconds, by which the second half of the tickers lies earlier: the same weekdays of another year.
+_BACK = 364 * 86_400 * 10**9
+
+
+def us_raw_of_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """us_raw with the .B tickers a year earlier, and the local day on which a bar begins."""
+    raw = us_raw(spark, sf_dir)
+    start = F.col("window_start") - F.when(F.col("ticker").endswith(".B"), F.lit(_BACK)).otherwise(F.lit(0))
+    return raw.withColumn("window_start", start).withColumn("day", trade_date(local(from_epoch_micros(F.call_function("div", F.col("window_start"), F.lit(1000))))))
+
+
+def land_csv(rows: DataFrame, folder: str, columns: list[str] | None = None) -> None:
+    """Adds rows (with their day) to a folder of landed files: a gzip CSV for each day, its date in the path."""
+    columns = schemas.US_RAW.names if columns is None else columns
+    rows.select("day", *columns).repartition("day").write.mode("append").partitionBy("day").option("header", True).option("compression", "gzip").csv(folder)
+
+
+def rest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REST aggregates as another vendor would make them from the same events: whole volumes, prices in cents, and errors corrected by leaving out every 97th event."""
+    e = table(spark, sf_dir, "events").where("event_id % 97 != 0")
+    ticker = F.concat("event_type", F.lit("."), F.when(F.col("user_id") % 2 == 0, "A").otherwise("B"))
+    cents = lambda c: F.round(c, 1)
+    bars = e.groupBy(ticker.alias("ticker"), F.date_trunc("MINUTE", "ts").cast("timestamp_ntz").alias("m")).agg(
+        cents(F.min_by("value", "event_id")).alias("o"), cents(F.max("value")).alias("h"), cents(F.min("value")).alias("l"), cents(F.max_by("value", "event_id")).alias("c"), F.rint(F.round(F.sum("value"), 6)).alias("v"), F.round(F.avg("value"), 6).alias("vw"), F.count("*").alias("n")
+    )
+    return bars.select("ticker", F.call_function("div", _micros(F.col("m")), F.lit(1000)).alias("t"), "o", "h", "l", "c", "v", "vw", "n")
+
+
+def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten symbols that all trade in each minute of a morning: a symbol's events of a day, in order, stand for 09:31, 09:32 and so on, the last ones together at 16:00."""
+    e = table(spark, sf_dir, "events").withColumns({"symbol": F.concat("event_type", F.lit("."), F.when(F.col("user_id") % 2 == 0, "A").otherwise("B")), "trade_date": F.date_format("ts", "yyyy-MM-dd")})
+    nth = F.least(F.row_number().over(Window.partitionBy("symbol", "trade_date").orderBy("event_id")), F.lit(390))
+    at = F.lit(570) + nth
+    minute = F.concat(F.lpad(F.call_function("div", at, F.lit(60)).cast("string"), 2, "0"), F.lit(":"), F.lpad((at % 60).cast("string"), 2, "0"))
+    rows = e.withColumn("minute", minute).groupBy("symbol", "trade_date", "minute")
+    return rows.agg(F.max_by("value", "event_id").alias("close"), F.round(F.avg("value"), 6).alias("vwap"), (F.count("*") * 10).alias("volume"))

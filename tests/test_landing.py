@@ -24,8 +24,8 @@ def bar(day, ticker="A", price=10.0, minute=0, **more):
     return {"ticker": ticker, "volume": 5, "open": price, "close": price, "high": price, "low": price, "window_start": (START[day] + 60 * minute) * 10**9, "transactions": 2} | more
 
 
-def read_files(df):
-    """Files that the scans of df's plan opened."""
+def scan_metric(df, name):
+    """The sum of a metric over the file scans of df's plan, after it has run."""
     df.collect()
     plan = df._jdf.queryExecution().executedPlan()
     found, todo = 0, [plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan]
@@ -33,14 +33,21 @@ def read_files(df):
         node = todo.pop()
         if "QueryStage" in node.nodeName():
             node = node.plan()
-        metrics = node.metrics()
-        if metrics.contains("numFiles"):
-            found += metrics.apply("numFiles").value()
+        if node.metrics().contains("numFiles"):
+            found += node.metrics().apply(name).value()
         children = node.children()
         todo += [children.apply(k) for k in range(children.size())]
     return found
 
 
+def read_files(df):
+    return scan_metric(df, "numFiles")
+
+
+def scanned_rows(df):
+    return scan_metric(df, "numOutputRows")
+
+
 def test_days_and_years_of_paths(spark):
     paths = ["/a/2023-01-01-dump/2024-05-06.csv.gz", "/day=2024-05-06/part-0.csv", "/x/sh600000_2022.csv", "/x/none.csv", "/x/12024-05-06.csv"]
     rows = spark.createDataFrame([(p,) for p in paths], "p string").select(landing.file_day(F.col("p")).alias("day"), landing.file_year(F.col("p")).alias("year")).collect()
