@@ -132,4 +132,48 @@ SQL: dict[str, str] = {
         SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(a.n_children AS BIGINT) AS n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
         FROM nodes n JOIN above a ON a.depth = n.depth AND a.path = n.path LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
     """,
+    "op1_suffix_array_dedup": """
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS raw FROM documents
+        ), w AS (
+          SELECT r, doc_id, unnest(range(octet_length(encode(raw)) // 2 - 49)) AS pos, raw FROM d WHERE length(raw) >= 100
+        ), k AS (
+          SELECT r, doc_id, pos, md5(substr(raw, 2 * pos + 1, 100)) AS h FROM w
+        ), f AS (
+          SELECT r, pos FROM (SELECT r, pos, doc_id, min(doc_id) OVER (PARTITION BY h) AS first FROM k) WHERE first < doc_id
+        ), g AS (
+          SELECT r, pos, coalesce(pos - lag(pos) OVER (PARTITION BY r ORDER BY pos) > 50, true) AS begins FROM f
+        ), spans AS (
+          SELECT r, min(pos) AS a, max(pos) + 50 AS b FROM (SELECT r, pos, sum(begins::INTEGER) OVER (PARTITION BY r ORDER BY pos) AS span FROM g) GROUP BY r, span
+        ), keeps AS (
+          SELECT r, a AS cut, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS start, b FROM spans
+        ), kept AS (
+          SELECT r, sum(b - cut) AS n_removed, count(*) AS n_spans, string_agg(substr(raw, 2 * start + 1, 2 * (cut - start)), '' ORDER BY start) || substr(any_value(raw), 2 * max(b) + 1) AS raw
+          FROM keeps JOIN d USING (r) GROUP BY r
+        )
+        SELECT d.doc_id, CAST(length(d.raw) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.raw, d.raw))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)
+    """,
+    "op7_coordinate_near_dedup": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+        ), s AS (
+          SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN [words[i:i + 4] FOR i IN range(1, len(words) - 3)] WHEN len(words) > 0 THEN [words] ELSE [] END) AS shingles FROM w
+        ), x AS (
+          SELECT doc_id, unnest(shingles) AS shingle FROM s
+        ), small AS (
+          SELECT shingle, list(doc_id) AS ids FROM x GROUP BY shingle HAVING count(*) > 1
+        ), common AS (
+          SELECT a, b, count(*) AS n FROM (SELECT a, unnest(ids) AS b FROM (SELECT ids, unnest(ids) AS a FROM small)) WHERE a < b GROUP BY a, b
+        ), links AS (
+          SELECT a, b FROM common JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * n >= 85 * (len(p.shingles) + len(q.shingles) - n)
+        ), two_way AS (
+          SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach(id, root) AS (
+          SELECT doc_id, doc_id FROM s UNION SELECT two_way.b, reach.root FROM reach JOIN two_way ON two_way.a = reach.id WHERE reach.root < two_way.b
+        ), least AS (
+          SELECT id, min(root) AS component_id FROM reach GROUP BY id
+        )
+        SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN least ON least.id = s.doc_id
+    """,
 }
