@@ -102,6 +102,29 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return docs.join(out, docs[id_col] == out["left_out_id"], "left_anti")
 
 
+#: Rows of one key from which it is joined by broadcast, and bytes that are broadcast at most where rows have no bounded size.
+HOT_ROWS, MAX_BROADCAST_BYTES = 1_000_000, 64 << 20
+
+
+def join_counted(rows: DataFrame, small: DataFrame, keys: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with small, which has a row for each key with the number n of rows that have it, and can be read again cheaply.
+
+    Keys of more than HOT_ROWS rows, so at most a row of small for each HOT_ROWS of
+    rows, are broadcast; their rows stay where they are. how: inner or left.
+    """
+    hot = small.where(F.col(n) > HOT_ROWS)
+    if hot.isEmpty():
+        return rows.join(small, keys, how)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(F.col(n) <= HOT_ROWS), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+def broadcast_if_small(df: DataFrame, size: F.Column, most: int | None = None) -> DataFrame:
+    """df with a hint to broadcast it, if its rows' sizes in bytes add up to no more than `most`. df can be read again cheaply."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= (MAX_BROADCAST_BYTES if most is None else most) else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared checkpoint folder."""
     spark = df.sparkSession

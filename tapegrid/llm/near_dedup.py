@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapegrid.llm.common import among, cut_lineage, map_arrow, partitions, sliced
+from tapegrid.llm.common import MAX_BROADCAST_IDS, among, cut_lineage, join_counted, map_arrow, partitions, sliced
 from tapegrid.llm.components import components
 from tapegrid.llm.text_hashes import mix, shingle_sets
 
 #: Coordinates of a signature.
-COORDINATES = 40
+COORDINATES = 64
 #: Standard deviations by which the number of equal coordinates may stay below its mean.
 DEVIATIONS = 5.0
+#: Documents from which a coordinate-value pair is frequent.
+FREQUENT = 64
 #: Coordinates that are counted before rows that can't reach the match threshold are skipped.
 STEP = 8
 #: Documents of a group that are compared in one task, and shingles that count as one more; larger groups are split into blocks.
@@ -38,8 +40,27 @@ def prefix(similarity: float) -> int:
     return COORDINATES - least_matches(similarity) + 1
 
 
+def rarest(sets: DataFrame, posted: int) -> DataFrame:
+    """id, posts: of each document's coordinate-value pairs the `posted` ones that come first in one order of all pairs, the rarest first.
+
+    Any one order of all pairs lets two documents that share enough of them meet in
+    such a prefix. Pairs under FREQUENT come in the order of coordinates, then frequent
+    ones by their count. So a passage that many documents have fills long lists only
+    with those documents that have hardly any pair of their own.
+    sets: id, pairs (array<long>, one for each coordinate).
+    """
+    every = sets.select("id", F.posexplode("pairs").alias("k", "pair"))
+    frequent = cut_lineage(every.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT))
+    if frequent.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        frequent = F.broadcast(frequent)  # 16 bytes a row
+    # At most COORDINATES entries a document.
+    often = every.join(frequent, "pair").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("often"))
+    ranked = F.array_sort(F.transform("pairs", lambda pair, k: F.struct(F.coalesce(F.try_element_at("often", k), F.lit(0)).alias("n"), k.alias("k"), pair.alias("pair"))))
+    return sets.select("id", "pairs").join(often, "id", "left").select("id", F.transform(F.slice(ranked, 1, posted), lambda t: t["pair"]).alias("posts"))
+
+
 def signatures(sets: list[np.ndarray], posted: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """For sets that aren't empty: keys of the posted coordinate-value pairs (n, posted), and a byte of each value (n, COORDINATES)."""
+    """For sets that aren't empty: keys of the first `posted` coordinate-value pairs (n, posted), and a byte of each value (n, COORDINATES)."""
     keys = np.zeros((len(sets), posted), np.int64)
     sketch = np.zeros((len(sets), COORDINATES), np.uint8)
     at = 0
@@ -224,7 +245,7 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, id_col: str =
     5-word shingle sets; component_id is the smallest id that links reach.
 
     Equal sets are one document from the start. Each other is posted under the
-    coordinate-value pairs of its MinHash signature that come first: as many that two
+    rarest coordinate-value pairs of its MinHash signature: as many that two
     documents above the match threshold share one of them (prefix). Collisions are
     counted in each posting list, and rows that can't reach the threshold are skipped;
     a spanning forest of the pairs above it, not all pairs, leaves the list. Its
@@ -237,13 +258,12 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, id_col: str =
     table gives an empty one.
     """
     similarity = similarity_percent / 100
-    posted = prefix(similarity)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
             sets = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
             full = [k for k, s in enumerate(sets) if len(s)]
-            keys, sketch = signatures([sets[k] for k in full], posted)
+            keys, sketch = signatures([sets[k] for k in full], COORDINATES)
             place = {k: x for x, k in enumerate(full)}
             yield pa.RecordBatch.from_arrays(
                 [
@@ -253,21 +273,21 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, id_col: str =
                     pa.array([keys[place[k]].tolist() if k in place else None for k in range(len(sets))], pa.list_(pa.int64())),
                     pa.array([sketch[place[k]].tobytes() if k in place else None for k in range(len(sets))], pa.binary()),
                 ],
-                ["id", "n_shingles", "set_key", "posted", "sketch"],
+                ["id", "n_shingles", "set_key", "pairs", "sketch"],
             )
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = cut_lineage(map_arrow(own, sketched, "id long, n_shingles long, set_key binary, posted array<long>, sketch binary"))
+    base = cut_lineage(map_arrow(own, sketched, "id long, n_shingles long, set_key binary, pairs array<long>, sketch binary"))
     usable = base.where("id IS NOT NULL AND set_key IS NOT NULL")
     # One row for each different set: that of its smallest id. Copies meet it again at the end only.
-    same = cut_lineage(usable.groupBy("set_key").agg(F.min_by(F.struct("n_shingles", "posted", "sketch"), "id").alias("set"), F.min("id").alias("first")))
+    same = cut_lineage(usable.groupBy("set_key").agg(F.min_by(F.struct("n_shingles", "pairs", "sketch"), "id").alias("set"), F.min("id").alias("first"), F.count("*").alias("n")))
     distinct = same.select(F.col("first").alias("id"), "set_key", "set.*")
-    member = cut_lineage(usable.select("id", "set_key").distinct().join(same.select("set_key", "first"), "set_key"))
+    member = cut_lineage(join_counted(usable.select("id", "set_key").distinct(), same.select("set_key", "first", "n"), ["set_key"]).drop("n"))
     # An id with several sets is one document, and joins them.
     several = member.groupBy("id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low != high").select("id")
     several = member.join(several, "id").select(F.col("id").alias("a"), F.col("first").alias("b"))
 
-    posts = distinct.select("id", F.explode("posted").alias("post"))
+    posts = cut_lineage(rarest(distinct, prefix(similarity))).select("id", F.explode("posts").alias("post"))
     lists = posts.groupBy("post").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     lists = cut_lineage(lists.select("post", F.ceil(F.col("n") / block).cast("int").alias("blocks"), "first"))
     likely = linked_rows(posts, distinct.select("id", "n_shingles", "sketch"), lists, "post", _likely_edges(similarity), block)

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -144,3 +145,50 @@ def test_rows_are_looked_up_alike_by_broadcast_and_by_shuffle(spark, monkeypatch
         monkeypatch.setattr(common, "MAX_BROADCAST_IDS", most)
         found = common.among(docs, ids, "id")
         assert sorted(r.text for r in found.collect()) == ["a", "b"] and found.columns == docs.columns
+
+
+@pytest.mark.parametrize("frequent,most", [(2, 1_000_000), (5, 0), (64, 1_000_000)])
+def test_likely_pairs_share_a_rare_post(spark, monkeypatch, frequent, most):
+    """Whatever counts as frequent, documents with enough equal pairs meet in their prefixes."""
+    monkeypatch.setattr(near_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(near_dedup, "MAX_BROADCAST_IDS", most)
+    rng = np.random.default_rng(3)
+    n, least = near_dedup.COORDINATES, near_dedup.least_matches(0.85)
+    pairs = rng.integers(0, 4, (150, n)) + 1000 * np.arange(n)
+    pairs[75:] = pairs[:75]
+    for k in range(75, 150):
+        pairs[k, rng.choice(n, k % (n - least + 3), replace=False)] = 10**6 + 1000 * k + np.arange(k % (n - least + 3))
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pairs.tolist())], "id long, pairs array<long>")
+    posts = {r.id: set(r.posts) for r in near_dedup.rarest(df, near_dedup.prefix(0.85)).collect()}
+    assert len(posts) == 150 and {len(p) for p in posts.values()} == {near_dedup.prefix(0.85)}
+    close = [(i, j) for i in range(150) for j in range(i) if (pairs[i] == pairs[j]).sum() >= least]
+    assert len(close) > 30 and all(posts[i] & posts[j] for i, j in close) and all(posts[i] <= set(pairs[i].tolist()) for i in posts)
+
+
+def test_a_common_passage_fills_no_list(spark):
+    rng = random.Random(8)
+    passage = " ".join(f"c{k}" for k in range(100))
+    texts = [f"{passage} {' '.join(f'w{rng.randrange(10**6)}' for _ in range(70))}" for _ in range(400)]
+    pairs, _ = near_dedup.signatures(shingle_sets([t.encode() for t in texts]), near_dedup.COORDINATES)
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pairs.tolist())], "id long, pairs array<long>")
+    sizes = [r.n for r in near_dedup.rarest(df, near_dedup.prefix(0.85)).selectExpr("explode(posts) post").groupBy("post").count().withColumnRenamed("count", "n").collect()]
+    fixed = np.unique(pairs[:, : near_dedup.prefix(0.85)], return_counts=True)[1]
+    assert sum(x * x for x in sizes if x > 1) < 0.05 * (fixed[fixed > 1].astype(int) ** 2).sum()
+
+
+def test_links_that_signatures_miss():
+    """The chance that a pair at the threshold itself stays under the match threshold."""
+    for s in (0.8, 0.85):
+        n, least = near_dedup.COORDINATES, near_dedup.least_matches(s)
+        missed = sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(least))
+        assert missed < 5e-6, (s, missed)
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 3, k) for k in range(40)] + [(7, 99), (None, 5)], "key int, x int")
+    small = spark.createDataFrame([(0, 14, "a"), (1, 13, "b"), (2, 13, "c"), (8, 1, "d")], "key int, n long, name string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(small, ["key"], how).collect()))
+        for most in (1, 13, 1000):
+            monkeypatch.setattr(common, "HOT_ROWS", most)
+            assert sorted(map(str, common.join_counted(rows, small, ["key"], how=how).collect())) == want
