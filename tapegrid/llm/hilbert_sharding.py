@@ -134,12 +134,19 @@ def hilbert_shards(docs: DataFrame, dimensions: list[str], shards: int = SHARDS,
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-def write_shards(docs: DataFrame, path: str, dimensions: list[str], shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_shards(docs: DataFrame, path: str, dimensions: list[str], shards: int = SHARDS, text_col: str = "text") -> None:
     """docs as one folder of Parquet per shard; a shard's rows lie together on the curve, so filters on the dimensions skip files.
 
-    Rows meet their shard again by id; ids must be unique and not null.
+    Each row meets its own shard, whatever its id: rows are numbered first, and the
+    numbers written with them. A column of docs that is called shard is written as
+    shard_.
     """
-    placed = hilbert_shards(docs, dimensions, shards, id_col, text_col).select(F.col(id_col).alias("placed_id"), "shard", "hilbert")
-    joined = docs.join(placed, docs[id_col] == placed["placed_id"]).drop("placed_id")
-    ordered = joined.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "hilbert").drop("hilbert")
+    number, curve = "row number", "place on the curve"
+    docs = docs.withColumnRenamed("shard", "shard_") if "shard" in docs.columns else docs
+    docs = cut_lineage(docs.withColumn(number, F.monotonically_increasing_id()))
+    # The number stands in for the id, which decides between rows that are otherwise equal.
+    placed = hilbert_shards(docs, ["shard_" if c == "shard" else c for c in dimensions], shards, number, text_col)
+    placed = placed.select(F.col(number).alias("placed"), "shard", F.col("hilbert").alias(curve))
+    joined = docs.join(placed, docs[number] == placed["placed"]).drop("placed", number)
+    ordered = joined.repartitionByRange(shards, "shard").sortWithinPartitions("shard", curve).drop(curve)
     ordered.write.partitionBy("shard").parquet(path)

@@ -65,13 +65,16 @@ def profiles(docs: DataFrame, size: int = PROFILE, max_training: int = MAX_TRAIN
     """Columns lang, gram, rank (from 0), for each label of docs: its most frequent n-grams.
 
     Rows with a null text or label are left out. Only the `size` best n-grams of
-    each label come to the driver. Over max_training rows, a hash of the id picks
-    about that many.
+    each label come to the driver. Over max_training rows each label gets an equal
+    part of them: of labels with more rows a hash of the id picks about so many, of
+    others all rows are taken, so a rare language keeps its profile.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    total = rows.count()
-    if total > max_training:
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(max_training / total * (1 << 30)))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    if sum(counts.values()) > max_training:
+        share = {lang: int(min(1.0, max_training / len(counts) / n) * (1 << 30)) for lang, n in counts.items()}
+        share = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters()

@@ -1,9 +1,10 @@
 import random
 import re
+from itertools import combinations
 
 import pytest
 
-from tapegrid.llm import decontamination
+from tapegrid.llm import common, decontamination
 
 DOCS, ITEMS = "doc_id long, text string, at string, item int", "item_id long, text string, words string"
 
@@ -13,7 +14,7 @@ def w(text):
 
 
 def brute(docs, items, window=25, similarity=0.8):
-    """Best count of equal words over all windows of each way to lay an item on a document that a seed allows; short items need none."""
+    """Best count of equal words over all windows of each way to lay an item on a document that a seed allows; items of up to 11 words need none."""
     out = {}
     for d, t in docs:
         a = w(t)
@@ -22,7 +23,7 @@ def brute(docs, items, window=25, similarity=0.8):
             n = min(len(b), window)
             for place in range(-len(b) + 1, len(a)):
                 same = [0 <= place + k < len(a) and a[place + k] == x for k, x in enumerate(b)]
-                met = len(b) < 9 or any(all(same[q + k] for k, c in enumerate(m) if c == "1") and 0 <= place + q <= len(a) - len(m) for m in decontamination.MASKS for q in range(len(b) - len(m) + 1))
+                met = len(b) <= decontamination.OWN_MASKS or any(all(same[q + k] for k, c in enumerate(m) if c == "1") and 0 <= place + q <= len(a) - len(m) for m in decontamination.MASKS for q in range(len(b) - len(m) + 1))
                 best = max(sum(same[k : k + n]) for k in range(len(b) - n + 1))
                 if met and best / n >= similarity:
                     out[d, i] = max(best, out.get((d, i), 0))
@@ -32,6 +33,7 @@ def brute(docs, items, window=25, similarity=0.8):
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_against_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(decontamination, "MAX_BROADCAST", most)
+    monkeypatch.setattr(common, "MAX_BROADCAST_BYTES", most)
     rng = random.Random(5)
     v = [f"V{k}" for k in range(400)]
     items = [(k, " ".join(rng.choices(v, k=n))) for k, n in enumerate([3, 6, 8, 9, 12, 20, 30, 60, 40, 25])]
@@ -99,3 +101,13 @@ def test_a_very_long_text(spark):
     text = " ".join(f"w{k % 977}" for k in range(100_000)) + " " + item
     found = decontamination.contaminated(spark.createDataFrame([(1, text, "x", 1)], DOCS), spark.createDataFrame([(7, item, "x")], ITEMS)).collect()
     assert [(r.doc_id, r.item_id, r.matched) for r in found] == [(1, 7, 25)] and 100_000 <= found[0].at <= 100_005
+
+
+@pytest.mark.parametrize("n,least", [(5, 1), (8, 1), (9, 1), (10, 1), (11, 1), (12, 1), (14, 1), (15, 0.99), (16, 0.99)])
+def test_recall_of_all_substitutions(spark, n, least):
+    """Every way to substitute as many words as an overlap allows, with nothing equal outside the passage."""
+    differ = max(t for t in range(n) if t == 0 or (n - t) / n >= 0.8)
+    item = [f"b{k}" for k in range(n)]
+    docs = [(d, " ".join(["x", *["y" if k in left_out else word for k, word in enumerate(item)], "z"])) for d, left_out in enumerate(combinations(range(n), differ))]
+    found = decontamination.contaminated(spark.createDataFrame([(*r, "x", 1) for r in docs], DOCS), spark.createDataFrame([(1, " ".join(item), "x")], ITEMS)).collect()
+    assert {r.matched for r in found} == {n - differ} and least * len(docs) <= len({r.doc_id for r in found}) <= len(docs)

@@ -118,3 +118,66 @@ def test_written_shards_let_filters_skip_files(spark, tmp_path):
     assert len(hit) <= 4
     for c in "ab":
         assert ((ranges["max" + c] >= 0.6) & (ranges["min" + c] <= 0.7)).sum() <= 9
+
+
+def plain_grams(text):
+    """n-grams of a text, the most frequent first, in plain Python."""
+    low = " " + "".join(c.lower()[0] if c.isalpha() else " " for c in text) + " "
+    while "  " in low:
+        low = low.replace("  ", " ")
+    found = {}
+    for n in (1, 2, 3):
+        for k in range(len(low) - n + 1):
+            if (g := low[k : k + n]) != " ":
+                found[g] = found.get(g, 0) + 1
+    return found
+
+
+def plain_order(counts, size):
+    # Ties by code: code points in 21 bits each.
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
+
+
+def test_predictions_equal_plain_distances(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
+    rows = docs.collect()
+    total = {}
+    for r in rows:
+        if not r.held_out and r.lang is not None and r.text is not None:
+            for g, n in plain_grams(r.text).items():
+                total.setdefault(r.lang, {}).setdefault(g, 0)
+                total[r.lang][g] += n
+    profile = {lang: {g: k for k, g in enumerate(plain_order(counts, 300))} for lang, counts in total.items()}
+    long = "na\u00efve \u0130x \u00df " * 5000
+    extra = [(10**6, long), (10**6 + 1, "a"), (10**6 + 2, None), (10**6 + 3, "1 2")]
+    asked = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    found = {r.doc_id: r for r in language_id.predict(asked, language_id.profiles(docs.where("NOT held_out"))).collect()}
+    for i, text in [*((r.doc_id, r.text) for r in rows), *extra]:
+        own = plain_order(plain_grams(text or ""), 300)
+        if not any(c.isalpha() for c in text or ""):
+            assert (found[i].lang_pred, found[i].score) == ("und", 0)
+            continue
+        distance = {lang: sum(abs(ranks[g] - k) if g in ranks else 300 for k, g in enumerate(own)) for lang, ranks in profile.items()}
+        best = min(sorted(distance), key=distance.get)
+        assert found[i].lang_pred == best and found[i].score == pytest.approx(1 - distance[best] / (300 * len(own))), i
+
+
+def test_a_rare_language_keeps_its_profile(spark):
+    rows = [(k, "common words of a large language") for k in range(5000)]
+    docs = spark.createDataFrame([(i, t, "large") for i, t in rows] + [(9000 + k, "xyzzy plugh qwfp", "rare") for k in range(3)], "doc_id long, text string, lang string")
+    learned = language_id.profiles(docs, max_training=100)
+    assert set(learned.lang) == {"large", "rare"}
+    assert [r.lang_pred for r in language_id.predict(spark.createDataFrame([(1, "plugh xyzzy")], "doc_id long, text string"), learned).collect()] == ["rare"]
+
+
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    rows = [(None, "a", 1, 7, "h"), (None, "b", 2, 7, "h"), (3, "c", 3, 7, "h"), (3, "c", 3, 7, "h"), (3, "other", 4, 7, "h"), *[(k, f"t{k}" * (k % 9), k % 5, 8, None) for k in range(10, 60)], (70, "x" * 300_000, 1, 1, ""), (71, None, None, 1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, hilbert int, lang string")
+    path = str(tmp_path / "shards")
+    hilbert_sharding.write_shards(docs, path, ["lang", "shard"], 5)
+    found = spark.read.parquet(path)
+    assert sorted(found.select("doc_id", "text", "shard_", "hilbert", "lang").collect(), key=repr) == sorted(docs.collect(), key=repr)
+    sizes = [r["count"] for r in found.groupBy("shard").count().collect()]
+    assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+    hilbert_sharding.write_shards(docs.limit(0), f"{path}-none", ["lang"], 5)

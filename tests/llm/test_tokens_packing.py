@@ -98,3 +98,14 @@ def test_the_fit_finds_known_repeats():
     wanted[4], wanted[2] = 20, 40
     x = pattern_packing.nonnegative_fit(members, wanted, 3000)
     assert np.allclose(x, [30, 10, 0, 10], atol=0.2)
+
+
+def test_rare_white_space_costs_no_more():
+    """The offsets of a chunk are read once, not for each token."""
+    import time
+
+    counter, byte = UnitCounter(BYTE), Tokenizer.from_file(BYTE)
+    text = "".join(("word " * 400) + "\xa0" for _ in range(50))
+    start = time.process_time()
+    assert token_counts.spliced(text, counter.encode) == len(byte.encode(text, add_special_tokens=False))
+    assert time.process_time() - start < 1.5
