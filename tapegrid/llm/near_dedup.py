@@ -53,10 +53,10 @@ def rarest(sets: DataFrame, posted: int) -> DataFrame:
     frequent = cut_lineage(every.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT))
     if frequent.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
         frequent = F.broadcast(frequent)  # 16 bytes a row
-    # At most COORDINATES entries a document.
-    often = every.join(frequent, "pair").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("often"))
-    ranked = F.array_sort(F.transform("pairs", lambda pair, k: F.struct(F.coalesce(F.try_element_at("often", k), F.lit(0)).alias("n"), k.alias("k"), pair.alias("pair"))))
-    return sets.select("id", "pairs").join(often, "id", "left").select("id", F.transform(F.slice(ranked, 1, posted), lambda t: t["pair"]).alias("posts"))
+    place = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k", "pair")
+    # A document has COORDINATES rows.
+    ranked = every.join(frequent, "pair", "left").groupBy("id").agg(F.array_sort(F.collect_list(place)).alias("ranked"))
+    return ranked.select("id", F.transform(F.slice("ranked", 1, posted), lambda t: t["pair"]).alias("posts"))
 
 
 def signatures(sets: list[np.ndarray], posted: int = 1) -> tuple[np.ndarray, np.ndarray]:
