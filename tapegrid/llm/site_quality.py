@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapegrid.llm.common import cut_lineage, map_arrow, sliced
-from tapegrid.llm.text_hashes import word_hashes
+from tapegrid.llm.common import cut_lineage, join_counted, map_arrow, sliced
+from tapegrid.llm.text_hashes import mix, word_hashes
 
 #: Labelled rows that the document classifier is fitted on at most (about).
 MAX_TRAINING = 20_000
@@ -31,6 +31,8 @@ _CLASSES[124, 5] = 1
 
 #: Texts whose words are held at a time.
 PART = 256
+#: Buckets that words and pairs of words are hashed to, a power of two, and rows that each counts as having in either class besides its own.
+BUCKETS, SMOOTHING = 1 << 15, 2.0
 
 
 def features(texts: list[bytes]) -> np.ndarray:
@@ -59,19 +61,46 @@ def features(texts: list[bytes]) -> np.ndarray:
     return np.concatenate((out, np.sqrt(np.maximum(out[:, rooted], 0))), 1)
 
 
+def word_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The different buckets of each text's words and neighbouring pairs, one text after the other: (text, bucket)."""
+    h, _, _, first = word_hashes(texts)
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    pair = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[text[1:] == text[:-1]]
+    key = (np.concatenate((text, text[1:][text[1:] == text[:-1]])).astype(np.int64) * BUCKETS) + (np.concatenate((mix(h), pair)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    key = np.unique(key)
+    return key // BUCKETS, key % BUCKETS
+
+
+def word_scores(texts: list[bytes], odds: np.ndarray) -> np.ndarray:
+    """For each text the sum of its buckets' log odds over the root of their number; 0 without words."""
+    out = []
+    for at in range(0, len(texts), PART):
+        part = texts[at : at + PART]
+        text, bucket = word_buckets(part)
+        out.append(np.bincount(text, odds[bucket], len(part)) / np.sqrt(np.maximum(np.bincount(text, minlength=len(part)), 1)))
+    return np.concatenate([np.zeros(0), *out])
+
+
+def bucket_odds(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int) -> np.ndarray:
+    """Log odds of a bucket in good against other texts, from the texts of either class that have it; rare buckets are near 0."""
+    return np.log((good + SMOOTHING) / (n_good + 2 * SMOOTHING)) - np.log((bad + SMOOTHING * max(n_bad, 1) / max(n_good, 1)) / (n_bad + 2 * SMOOTHING * max(n_bad, 1) / max(n_good, 1)))
+
+
 @dataclass
 class Evidence:
-    """Logistic regression on features; its log odds less the learning rows' are the evidence."""
+    """Logistic regression on features and, where there are odds of words, on their score; its log odds less the learning rows' are the evidence."""
 
     weights: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     prior: float
+    odds: np.ndarray | None = None
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         if not len(texts):
             return np.zeros(0)
-        return np.clip((features(texts) - self.mean) / self.scale @ self.weights, -30, 30) - self.prior
+        x = features(texts) if self.odds is None else np.c_[features(texts), word_scores(texts, self.odds)]
+        return np.clip((x - self.mean) / self.scale @ self.weights, -30, 30) - self.prior
 
 
 def fit(x: np.ndarray, good: np.ndarray, penalty: float = 1.0, steps: int = 25) -> Evidence:
@@ -104,15 +133,38 @@ def fit_documents(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TR
         good = good.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(max_training / total * (1 << 30)))
     # At most about max_training rows of two numbers.
     joined = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(good), "label_id")
-    width = features([b""]).shape[1]
+    joined = joined.select(F.col("label_id").cast("long").alias("id"), "text", F.col("good").cast("int"), F.pmod(F.xxhash64("label_id", F.lit(9)), F.lit(2)).cast("int").alias("fold"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2, BUCKETS + 1), np.int64)  # the last place counts texts
+        for batch in sliced(batches):
+            text, bucket = word_buckets([t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()])
+            good, fold = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            np.add.at(total, (fold[text], (good[text] > 0).astype(int), bucket), 1)
+            np.add.at(total, (fold, (good > 0).astype(int), BUCKETS), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["place", "n"])
+
+    # At most four counts a bucket.
+    found = map_arrow(joined, counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(4 * (BUCKETS + 1))
+    total[found["place"].to_numpy(np.int64)] = found["n"].to_numpy(float)
+    total = total.reshape(2, 2, BUCKETS + 1)
+    odds = lambda c: bucket_odds(c[1, :-1], c[0, :-1], c[1, -1], c[0, -1])
+    # A learning row is scored with the odds of the other half, so that its own words don't speak for it.
+    other, whole = (odds(total[1]), odds(total[0])), odds(total.sum(0))
+    width = features([b""]).shape[1] + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            x = features([t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2).cast(pa.int32())], ["id", "x", "good"])
+            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            fold = batch.column(3).to_numpy()
+            x = np.c_[features(texts), np.where(fold == 0, word_scores(texts, other[0]), word_scores(texts, other[1]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], ["id", "x", "good"])
 
-    rows = map_arrow(joined.select(F.col("label_id").cast("long").alias("id"), "text", F.col("good").cast("int")), work, "id long, x array<double>, good int").toPandas().sort_values("id", kind="stable")
-    return fit(np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, width)), rows["good"].to_numpy(float))
+    rows = map_arrow(joined, work, "id long, x array<double>, good int").toPandas().sort_values("id", kind="stable")
+    made = fit(np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, width)), rows["good"].to_numpy(float))
+    return replace(made, odds=whole)
 
 
 def _log_odds(p: F.Column) -> F.Column:
@@ -162,5 +214,6 @@ def site_quality(docs: DataFrame, evidence: Evidence, host: F.Column, path: F.Co
     host_share = (F.col("host_good") - good + host_k * share) / (F.col("host_n") - 1 + host_k)
     prior = (F.col("path_good") - good + path_k * host_share) / (F.col("path_n") - 1 + path_k)
     score = 1 / (1 + F.exp(-(F.col("evidence") + F.col("prior"))))
-    scored = rows.join(sites, ["host", "path"]).withColumn("prior", _log_odds(prior)).withColumn("score", score)
+    # A large site's rows stay where they are.
+    scored = join_counted(rows, sites, ["host", "path"], "path_n").withColumn("prior", _log_odds(prior)).withColumn("score", score)
     return scored.select(F.col("id").alias(id_col), "host", "path", "evidence", "prior", "score", (F.col("score") >= threshold).alias("keep"))

@@ -1,10 +1,11 @@
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tapegrid.llm import decontamination, near_dedup, secret_forest, site_quality
+from tapegrid.llm import common, decontamination, near_dedup, secret_forest, site_quality
 from tapegrid.llm.common import table, without
 
 SF = "/root/testdata/sf0.01"
@@ -193,3 +194,65 @@ def test_tokens_behind_schemes_digests_and_addresses(spark):
     for r in secret_forest.secrets(docs.unionByName(more)).where("doc_id < 0").collect():
         found.setdefault(-r.doc_id, set()).add(r.finding)
     assert found == {k: v for k, (_, v) in texts.items() if v}
+
+
+def test_words_are_evidence(spark):
+    """Good and bad texts of one shape, by their words alone; half of the labels are held out."""
+    rng = np.random.default_rng(3)
+    vocabulary = {1: [f"w{k:03}" for k in range(0, 300)], 0: [f"w{k:03}" for k in range(200, 500)]}
+    rows = [(k, " ".join(rng.choice(vocabulary[k % 2], 60)) + ".", "s", "l", 1, "x", 1) for k in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = docs.where("doc_id < 300").selectExpr("doc_id", "cast(doc_id % 2 as int) quality")
+    evidence = site_quality.fit_documents(docs, labels)
+    found = evidence([r[1].encode() for r in rows[300:]])
+    assert np.mean((found > 0) == [k % 2 == 1 for k in range(300, 600)]) > 0.95
+    shape = site_quality.fit(site_quality.features([r[1].encode() for r in rows[:300]]), np.arange(300) % 2)
+    assert np.mean((shape([r[1].encode() for r in rows[300:]]) > 0) == [k % 2 == 1 for k in range(300, 600)]) < 0.7
+
+
+def plain_posterior(rows):
+    """The posterior of rows (host, path, evidence), by loops over sites."""
+    sig = lambda t: 1 / (1 + np.exp(-t))
+    good = {k: sig(e) for k, (_, _, e) in enumerate(rows)}
+    hosts, paths = {}, {}
+    for k, (h, p, _) in enumerate(rows):
+        hosts.setdefault(h, []).append(k)
+        paths.setdefault((h, p), []).append(k)
+    share = sum(good.values()) / len(rows)
+    noise = max(share * (1 - share), 1e-6)
+
+    def pseudo(parts):
+        """parts: rows of each site, and the share of the site above."""
+        n = sum(len(own) for own, _ in parts)
+        square = sum(len(own) * (np.mean([good[k] for k in own]) - above) ** 2 for own, above in parts)
+        spread = (square - noise * (len(parts) - 1)) / max(n - sum(len(own) ** 2 for own, _ in parts) / n, 1e-9)
+        return min(max(noise / spread if spread > 0 else 1e6, 1.0), 1e6)
+
+    host_k = pseudo([(own, share) for own in hosts.values()])
+    path_k = pseudo([(own, np.mean([good[k] for k in hosts[h]])) for (h, _), own in paths.items()])
+    out = []
+    for k, (h, p, e) in enumerate(rows):
+        host = (sum(good[j] for j in hosts[h] if j != k) + host_k * share) / (len(hosts[h]) - 1 + host_k)
+        prior = (sum(good[j] for j in paths[h, p] if j != k) + path_k * host) / (len(paths[h, p]) - 1 + path_k)
+        out.append(sig(e + np.log(prior / (1 - prior))))
+    return out
+
+
+@pytest.mark.parametrize("hot", [10**6, 30])
+def test_posterior_equals_loops_over_sites(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+
+    class Given:
+        prior = 0.0
+
+        def __call__(self, texts):
+            return np.array([float(t or b"0") for t in texts])
+
+    rng = np.random.default_rng(1)
+    rows = [(k, f"{rng.normal(0.5 * (k % 4) - 0.6, 2):.3f}", f"h{int(rng.integers(0, 12) ** 0.5)}", f"p{rng.integers(0, 3)}", 1, "x", 1) for k in range(300)]
+    rows += [(400, None, None, None, 1, "x", 1), (401, "", "", "", 1, "x", 1), (402, "3", "alone", "p", 1, "x", 1), rows[5], (None, "1.5", "h1", None, 1, "x", 1), (500, "2" + " " * 200_000, "h1", "p1", 1, "x", 1)]
+    found = site_quality.site_quality(spark.createDataFrame(rows, SCHEMA), Given(), F.col("source"), F.col("lang")).collect()
+    wanted = plain_posterior([(r[2] or "", r[3] or "", float(r[1] or 0)) for r in rows])
+    key = lambda i, h, p, e, s: (str(i), h, p, round(e, 6), round(float(s), 6))
+    assert sorted(key(r.doc_id, r.host, r.path, r.evidence, r.score) for r in found) == sorted(key(r[0], r[2] or "", r[3] or "", float(r[1] or 0), s) for r, s in zip(rows, wanted, strict=True))
+    assert all(r.keep == (r.score >= 0.5) for r in found)
