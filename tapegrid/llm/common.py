@@ -125,6 +125,19 @@ def broadcast_if_small(df: DataFrame, size: F.Column, most: int | None = None) -
     return F.broadcast(df) if total <= (MAX_BROADCAST_BYTES if most is None else most) else df
 
 
+#: The column by which with_row_key tells rows apart.
+ROW = "row key"
+
+
+def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with ROW: the id, or for a row without one a number above 2 ** 62 from its text, so that rows without ids can be judged, too.
+
+    Rows without ids have one key if their texts are the same, as repeated rows have.
+    """
+    nameless = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND((1 << 62) - 1) + (1 << 62)
+    return docs.withColumn(ROW, F.coalesce(F.col(id_col).cast("long"), nameless))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared checkpoint folder."""
     spark = df.sparkSession
