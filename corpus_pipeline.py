@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and read again as the next one's docs. All but the last return the columns of
-documents.
+documents. Rows with a null id are judged by a key of their text, rows with one id
+together; a null text is an empty document; other columns than doc_id, text, source
+and lang are carried along, but for n_chars, which redaction counts anew. An empty
+table gives an empty one at each stage.
 """
 
 from __future__ import annotations
@@ -12,30 +15,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapegrid.llm import decontamination, near_dedup, pattern_packing, secret_forest, site_quality
-from tapegrid.llm.common import table, without, written
+from tapegrid.llm.common import ROW, table, with_row_key, without, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out the documents whose posterior of being good is below a half."""
     evidence = site_quality.fit_documents(docs, table(spark, sf_dir, "labels"))
-    scored = site_quality.site_quality(docs, evidence, F.col("source"), F.col("lang"))
-    return without(docs, scored.where("NOT keep").select("doc_id"))
+    keyed = with_row_key(docs)
+    scored = site_quality.site_quality(keyed, evidence, F.col("source"), F.col("lang"), id_col=ROW)
+    return without(keyed, scored.where("NOT keep").select(ROW), ROW).drop(ROW)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates (similarity 0.8 or more)."""
-    found = near_dedup.near_duplicates(docs, similarity_percent=80)
-    return without(docs, found.where("NOT kept").select("doc_id"))
+    """Keeps the smallest id of each group of near-duplicates (similarity 0.8 or more); a row without an id only if none in its group has one."""
+    keyed = with_row_key(docs)
+    found = near_dedup.near_duplicates(keyed, similarity_percent=80, id_col=ROW)
+    return without(keyed, found.where("NOT kept").select(ROW), ROW).drop(ROW)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out the documents that overlap with a benchmark item."""
-    return without(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    keyed = with_row_key(docs)
+    return without(keyed, decontamination.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=ROW).select(ROW), ROW).drop(ROW)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in texts by a mark."""
-    return secret_forest.redacted(docs, secret_forest.secrets(docs))
+    keyed = with_row_key(docs)
+    return secret_forest.redacted(keyed, secret_forest.secrets(keyed, id_col=ROW), id_col=ROW).drop(ROW)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +58,8 @@ STAGES = [
     ("pattern packing", pack),
 ]
 
-#: The stages fit models and compare sets, which SQL doesn't express; a test compares them with brute force.
+#: The stages fit models, lay passages on each other and call a tokenizer, which SQL doesn't express. Tests hold each
+#: stage against plain Python: posteriors, similarities and overlaps of all pairs, planted secrets, and the tokenizer's ids.
 ORACLE_SQL = None
 
 
