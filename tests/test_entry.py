@@ -35,3 +35,24 @@ def test_query_equals_its_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("hidden,fails", [(["tapegrid.llm", "corpus_pipeline"], False), (["public_tokenizers"], False), (["tapegrid.llm.common"], True)])
+def test_imports_of_what_is_not_there(monkeypatch, hidden, fails):
+    """Without the folder or one of its libraries the other queries are left; a module that is missing inside the folder is an error."""
+    import importlib
+
+    importing, find = importlib.import_module, importlib.util.find_spec
+
+    def gone(name, package=None):
+        if name in ("tapegrid.llm.queries", "corpus_pipeline"):
+            raise ModuleNotFoundError(f"No module named {hidden[0]!r}", name=hidden[0])
+        return importing(name, package)
+
+    monkeypatch.setattr(importlib, "import_module", gone)
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, package=None: None if name in hidden else find(name, package))
+    if fails:
+        with pytest.raises(ImportError):
+            entry.queries()
+    else:
+        assert set(CORE) <= set(entry.queries()) and not [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
