@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapegrid.llm.common import cut_lineage, map_arrow, partitions, text_bytes
+from tapegrid.llm.common import cut_lineage, join_counted, map_arrow, partitions, text_bytes
 from tapegrid.llm.suffix_sorting import adjacent_prefixes, heads, suffix_array
 from tapegrid.llm.text_hashes import mix
 
@@ -194,8 +194,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         keyed = rows.join(number, ["id", "sha"])
         texts = texts.withColumn("sha", F.sha2("raw", 256)).join(number.withColumnRenamed("id", "key"), ["key", "sha"]).drop("sha")
     # Only whole texts that come more than once have a first one; short ones stay out, however often they come.
-    firsts = rows.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    keyed = cut_lineage(keyed.join(firsts, "sha", "left"))
+    firsts = cut_lineage(rows.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    long = join_counted(keyed.where(F.col("n_bytes") >= length), firsts, ["sha"], how="left").drop("n")
+    keyed = cut_lineage(long.unionByName(keyed.where(F.col("n_bytes") < length), allowMissingColumns=True))
     copies = keyed.where("id > first").select(F.col("id").alias("copy"), F.col("ord").alias("copy_ord"))
     if copies.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         copies = F.broadcast(copies)

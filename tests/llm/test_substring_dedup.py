@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tapegrid.llm import substring_dedup
+from tapegrid.llm import common, substring_dedup
 from tapegrid.llm.suffix_sorting import adjacent_prefixes, heads, rising, suffix_array
 
 SCHEMA = "doc_id long, text string, n_bytes string, key int"
@@ -81,3 +81,13 @@ def test_texts_with_one_id(spark):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
     assert sorted(map(tuple, substring_dedup.remove_repeats(df).collect()), key=repr) == brute(rows)
     assert substring_dedup.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_hot_copies_and_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rng = random.Random(2)
+    long = "".join(rng.choices("abcdefgh ", k=150_000))
+    rows = [(k, "the same text of more than fifty bytes in a third of all rows") for k in range(12)] + [(20 + k, "") for k in range(12)] + [(40 + k, None) for k in range(3)]
+    rows += [(50, long), (51, "x" + long[70_000:71_000] + "y"), (52, long[100:149_000] + "tail"), (53, "a short one")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(4)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(df).collect()), key=repr) == brute(rows)
