@@ -181,3 +181,39 @@ def test_written_shards_hold_each_row_once(spark, tmp_path):
     sizes = [r["count"] for r in found.groupBy("shard").count().collect()]
     assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
     hilbert_sharding.write_shards(docs.limit(0), f"{path}-none", ["lang"], 5)
+
+
+def test_cells_are_skipped_and_few_nodes_visited(spark):
+    """Clustered vectors: a query with its k-th score enters few cells, and few nodes of a tree."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(30, 12)) * 40
+    v = np.floor(centers[rng.integers(0, 30, 6000)] * 10 + rng.normal(size=(6000, 12)) * 20)
+    cells = ball_tree.Cells.cut(v[:2000], 60, 0)
+    of = cells.of(v)
+    cells.sizes = np.bincount(of, minlength=len(cells.centers))
+    cells.radius = np.array([np.sqrt(((v[of == c] - cells.centers[c]) ** 2).sum(1)).max() if (of == c).any() else 0 for c in range(len(cells.centers))])
+    q = v[::100]
+    scores = q @ v.T
+    least = np.sort(scores, 1)[:, -20]
+    top = cells.bounds(q)
+    for c in range(len(cells.centers)):
+        assert (top[:, c] >= scores[:, of == c].max(1, initial=-np.inf)).all()
+    entered = top >= least[:, None]
+    assert entered[:, cells.sizes > 0].mean() < 0.35 and all(entered[np.arange(len(q)), of[scores[np.arange(len(q)), :].argmax(1)]])
+    tree = ball_tree.BallTree(np.arange(6000), v)
+    score, found = np.full((len(q), 20), -np.inf), np.full((len(q), 20), -1, np.int64)
+    tree.search(np.full(len(q), -1), q, 20, score, found)
+    assert np.array_equal(score, -np.sort(-scores, 1)[:, :20]) and tree.visited < 0.35 * len(q) * len(tree.nodes)
+
+
+@pytest.mark.parametrize("wider,cells,queries", [(2, 4096, 7), (8, 5, 262_144)])
+def test_top_k_over_rounds_and_hot_cells(spark, monkeypatch, wider, cells, queries):
+    for name, value in (("WIDER", wider), ("CELLS", cells), ("QUERY_ROWS", queries), ("SAMPLE", 150)):
+        monkeypatch.setattr(ball_tree, name, value)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 5)) * 3
+    v[100:250] = v[100]  # more than a third of all rows are one vector
+    rows = [(int(i), x.tolist()) for i, x in enumerate(v)] + [(1000 + 20 * k, rng.normal(size=3).tolist()) for k in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    data = pd.DataFrame([(i, [int(np.floor(64 * c)) for c in x]) for i, x in rows], columns=["vec_id", "v"])
+    assert sorted(map(tuple, ball_tree.top_k(df, 20, 20, 64, shard_rows=30, block_rows=4).collect())) == brute(data, 20, 20)
