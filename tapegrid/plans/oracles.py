@@ -175,6 +175,7 @@ SQL = {
     "rest_bars": us(f"SELECT symbol, ts, {_r('open high low close volume', 6)}, transactions AS trade_count FROM rth"),
     "read_minute": us(f"SELECT trade_date, minute, symbol, {_r('open high low close', 2)}, CAST(round(volume) AS BIGINT) AS volume, transactions AS trade_count FROM rth WHERE symbol IN ('CLICK.A', 'ERROR.B') AND trade_date BETWEEN '2024-01-05' AND '2024-01-19'"),
     "read_daily": us(f"SELECT {_DAILY} FROM daily WHERE symbol IN ('CLICK.A', 'ERROR.B') AND trade_date BETWEEN '2024-01-05' AND '2024-01-19'"),
+    "first_bars": us("""SELECT symbol, ts, round("close", 6) + CAST(0 AS DOUBLE) AS "close" FROM rth WHERE symbol IN ('ERROR.A', 'CLICK.A') ORDER BY rth.ts, symbol LIMIT 25"""),
     "bar_amount": us('SELECT symbol, ts, round("close" * round_even(volume, 0), 4) AS amount FROM lab'),
     "universe_on_day": us("SELECT DISTINCT symbol FROM daily WHERE trade_date = '2024-01-08' AND volume > 0"),
     "market_amount_by_day": us("SELECT trade_date, round(sum(amount), 4) AS amount, count(*) AS n_symbols FROM daily GROUP BY 1"),

@@ -76,6 +76,11 @@ def read_daily(spark, sf_dir):
     return rounded(bars.read_daily(bars.us_daily(D.us_raw(spark, sf_dir)), ["CLICK.A", "ERROR.B"], "2024-01-05", "2024-01-19"), 4)
 
 
+@query
+def first_bars(spark, sf_dir):
+    return rounded(bars.first_bars(bars.us_canonical(D.us_raw(spark, sf_dir), rth_only=True), ["ERROR.A", "CLICK.A"], 25).select("symbol", "ts", "close"))
+
+
 @query
 def bar_amount(spark, sf_dir):
     return rounded(bars.with_amount(bars.us_canonical(D.us_raw(spark, sf_dir))).select("symbol", "ts", "amount"), 4)

@@ -23,8 +23,6 @@ CN_INDEX_RAW = schema(f"{_CN_PRICES}, {_CN_END}")
 CN_KEYS = ("时间", "代码")
 CN_NAMES = {"时间": "ts", "代码": "code", "名称": "name", "开盘价": "open", "收盘价": "close", "最高价": "high", "最低价": "low", "成交量": "volume", "成交额": "amount", "涨幅": "change", "振幅": "range"}
 
-DAILY = schema("symbol string, trade_date string, open float, high float, low float, close float, volume bigint, amount double, source string")
-LISTING = schema("symbol string, name string, exchange string, status string, ipo_date string, delist_date string")
 SPLITS = schema("symbol string, ex_date string, split_ratio double")
 DIVIDENDS = schema("symbol string, ex_date string, cash_div double")
 CORP_ACTIONS = schema("symbol string, ex_date string, split_ratio double, cash_div double")
