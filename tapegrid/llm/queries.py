@@ -176,4 +176,51 @@ SQL: dict[str, str] = {
         )
         SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN least ON least.id = s.doc_id
     """,
+    "op10_rank_order_language": r"""
+        WITH d AS (
+          SELECT doc_id, text, lang, CAST(doc_id AS VARCHAR) AS k, regexp_replace(' ' || lower(coalesce(text, '')) || ' ', '[^\p{L}]+', ' ', 'g') AS t FROM documents
+        ), h AS (
+          SELECT doc_id, lang, t, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))), lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(0 AS BIGINT) FOR j IN range(8)]), lambda x, j: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 5 = 0 AS held_out FROM d
+        ), g AS (
+          SELECT doc_id, n, substr(t, CAST(p AS BIGINT), CAST(n AS BIGINT)) AS gram FROM (SELECT doc_id, t, n, unnest(range(1, length(t) - n + 2)) AS p FROM h, (VALUES (1), (2), (3)) AS v(n) WHERE length(t) > 1)
+        ), own AS (
+          SELECT doc_id, gram, count(*) AS n FROM g WHERE gram <> ' ' GROUP BY doc_id, gram
+        ), coded AS (
+          SELECT *, CASE length(gram) WHEN 1 THEN CAST(unicode(gram) AS BIGINT) WHEN 2 THEN CAST(unicode(gram[1]) AS BIGINT) * 2097152 + unicode(gram[2]) ELSE (CAST(unicode(gram[1]) AS BIGINT) * 2097152 + unicode(gram[2])) * 2097152 + unicode(gram[3]) END AS code FROM own
+        ), ranked AS (
+          SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) - 1 AS r FROM coded QUALIFY r < 300
+        ), learned AS (
+          SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, code) - 1 AS r FROM coded JOIN h USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, code QUALIFY r < 300
+        ), distance AS (
+          SELECT x.doc_id, l.lang, sum(coalesce(abs(p.r - x.r), 300)) AS far, count(*) AS n
+          FROM ranked x CROSS JOIN (SELECT DISTINCT lang FROM learned) l LEFT JOIN learned p ON p.lang = l.lang AND p.code = x.code GROUP BY x.doc_id, l.lang
+        ), best AS (
+          SELECT doc_id, lang, far, n FROM distance QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY far, lang) = 1
+        )
+        SELECT h.doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1 - CAST(far AS DOUBLE) / (300 * n), CAST(0 AS DOUBLE)) AS score FROM h LEFT JOIN best ON best.doc_id = h.doc_id
+    """,
+    "op2_spaced_seed_decontamination": r"""
+        WITH t AS (
+          SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents)
+        ), items AS (
+          SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM benchmark
+        ), b AS (
+          SELECT item_id, unnest(words) AS word, unnest(range(len(words))) AS pos, len(words) AS n FROM items
+        ), laid AS (
+          SELECT doc_id, item_id, t.pos - b.pos AS place, any_value(n) AS n, list(b.pos) AS same FROM t JOIN b ON t.word = b.word GROUP BY doc_id, item_id, t.pos - b.pos HAVING count(*) >= 5
+        ), seeds AS (
+          SELECT *, list_sum([len(list_filter(same, lambda p: list_has_all(same, [p, p + 1, p + 2, p + 4, p + 6]))), len(list_filter(same, lambda p: list_has_all(same, [p, p + 1, p + 4, p + 7, p + 8])))]) AS hits, least(n, 25) AS compared FROM laid
+        ), counted AS (
+          SELECT doc_id, item_id, place, hits, compared, w, len(list_filter(same, lambda p: p >= w AND p < w + compared)) AS matched FROM (SELECT *, unnest(range(n - compared + 1)) AS w FROM seeds WHERE hits > 0)
+        ), windows AS (
+          SELECT doc_id, item_id, place, hits, compared, max(matched) AS matched, min(w) FILTER (WHERE matched = most) AS w FROM (SELECT *, max(matched) OVER (PARTITION BY doc_id, item_id, place) AS most FROM counted) GROUP BY doc_id, item_id, place, hits, compared
+        ), good AS (
+          SELECT *, CAST(matched AS DOUBLE) / compared AS similarity, place + w AS begins FROM windows WHERE CAST(matched AS DOUBLE) / compared >= 0.8
+        ), totals AS (
+          SELECT doc_id, item_id, CAST(sum(hits) AS BIGINT) AS hits FROM good GROUP BY doc_id, item_id
+        )
+        SELECT doc_id, item_id, similarity, CAST(matched AS BIGINT) AS matched, CAST(compared AS BIGINT) AS compared, CAST(begins AS BIGINT) AS "at", totals.hits FROM good JOIN totals USING (doc_id, item_id)
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, matched DESC, begins) = 1
+    """,
 }

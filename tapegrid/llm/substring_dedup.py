@@ -195,8 +195,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         texts = texts.withColumn("sha", F.sha2("raw", 256)).join(number.withColumnRenamed("id", "key"), ["key", "sha"]).drop("sha")
     # Only whole texts that come more than once have a first one; short ones stay out, however often they come.
     firsts = cut_lineage(rows.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    long = join_counted(keyed.where(F.col("n_bytes") >= length), firsts, ["sha"], how="left").drop("n")
-    keyed = cut_lineage(long.unionByName(keyed.where(F.col("n_bytes") < length), allowMissingColumns=True))
+    if firsts.limit(MAX_BROADCAST // 8 + 1).count() <= MAX_BROADCAST // 8:  # some 100 bytes each
+        keyed = cut_lineage(keyed.join(F.broadcast(firsts.drop("n")), "sha", "left"))
+    else:
+        long = join_counted(keyed.where(F.col("n_bytes") >= length), firsts, ["sha"], how="left").drop("n")
+        keyed = cut_lineage(long.unionByName(keyed.where(F.col("n_bytes") < length), allowMissingColumns=True))
     copies = keyed.where("id > first").select(F.col("id").alias("copy"), F.col("ord").alias("copy_ord"))
     if copies.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         copies = F.broadcast(copies)

@@ -83,8 +83,10 @@ def test_texts_with_one_id(spark):
     assert substring_dedup.remove_repeats(df.limit(0)).collect() == []
 
 
-def test_hot_copies_and_very_long_texts(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_hot_copies_and_very_long_texts(spark, monkeypatch, most):
     monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(substring_dedup, "MAX_BROADCAST", most)
     rng = random.Random(2)
     long = "".join(rng.choices("abcdefgh ", k=150_000))
     rows = [(k, "the same text of more than fifty bytes in a third of all rows") for k in range(12)] + [(20 + k, "") for k in range(12)] + [(40 + k, None) for k in range(3)]
