@@ -192,3 +192,14 @@ def test_joins_of_hot_keys(spark, monkeypatch):
         for most in (1, 13, 1000):
             monkeypatch.setattr(common, "HOT_ROWS", most)
             assert sorted(map(str, common.join_counted(rows, small, ["key"], how=how).collect())) == want
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(11)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+    near = [x if k % 40 else "changed" for k, x in enumerate(long)]
+    rows = [(5, " ".join(long)), (3, " ".join(near)), (9, " ".join(long[:75_000])), (1, "x" * 2_000_000)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), 75).collect()}
+    sets = {i: plain_set(t) for i, t in rows}
+    linked = 100 * len(sets[5] & sets[3]) >= 75 * len(sets[5] | sets[3])
+    assert linked and found == {i: (len(sets[i]), 3 if i in (3, 5) else i) for i, _ in rows}

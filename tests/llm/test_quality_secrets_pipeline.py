@@ -256,3 +256,9 @@ def test_posterior_equals_loops_over_sites(spark, monkeypatch, hot):
     key = lambda i, h, p, e, s: (str(i), h, p, round(e, 6), round(float(s), 6))
     assert sorted(key(r.doc_id, r.host, r.path, r.evidence, r.score) for r in found) == sorted(key(r[0], r[2] or "", r[3] or "", float(r[1] or 0), s) for r, s in zip(rows, wanted, strict=True))
     assert all(r.keep == (r.score >= 0.5) for r in found)
+
+
+def test_a_secret_in_a_very_long_text(spark):
+    text = "lorem ipsum dolor sit amet " * 40_000
+    docs = spark.createDataFrame([(1, f"{text} api_key = \"aB3dE5fG7hI9jK1l\" {text}", "a", "en", 1, "x", 1), (2, text, "a", "en", 1, "x", 1)], SCHEMA)
+    assert [(r.doc_id, r.finding) for r in secret_forest.secrets(docs).collect()] == [(1, "aB3dE5fG7hI9jK1l")]
