@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +45,10 @@ def _of_years(rows: DataFrame, years: list[int] | None) -> DataFrame:
 
 
 def headers(spark: SparkSession, paths: str | list[str], required: tuple[str, ...], years: list[int] | None = None) -> DataFrame:
-    """file_path, header: each file's first line that has the required names. The lines are read as text in one pass over all files."""
+    """file_path (as Spark's metadata has it, with signs in % notation), header: each file's first line that has the required names.
+
+    The lines are read as text in one pass over all files.
+    """
     lines = _of_years(spark.read.option("recursiveFileLookup", True).text(paths), years).select("value", F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("at"))
     named = reduce(lambda a, b: a & b, [F.col("value").contains(name) for name in required])
     return lines.where(named).groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
@@ -70,13 +74,13 @@ def read_by_name(spark: SparkSession, paths: str | list[str], known: StructType,
     groups = headers(spark, paths, required, years).groupBy("header").agg(F.collect_list("file_path").alias("files")).orderBy("header").collect()
     listing = landed_files(spark, paths).where("file_size > 0")
     wanted = listing if years is None else listing.where(file_year(F.col("file_path")).isin(years))
-    met = {f for g in groups for f in g.files}
-    without = [r.file_path for r in wanted.select("file_path").toLocalIterator() if _same(r.file_path) not in {_same(f) for f in met}] if wanted.count() > len(met) else []
+    met = {_same(unquote(f)) for g in groups for f in g.files}
+    without = [r.file_path for r in wanted.select("file_path").toLocalIterator() if _same(r.file_path) not in met] if wanted.count() > len(met) else []
     if without and not spark.read.text(without).isEmpty():
         raise ValueError(f"no header with the columns {', '.join(required)} in {without[0]}")
     parts = []
     for g in groups:
-        rows = spark.read.schema(_schema(g.header, known, required)).option("header", True).csv(g.files)
+        rows = spark.read.schema(_schema(g.header, known, required)).option("header", True).csv([unquote(f) for f in g.files])
         parts.append(rows.withColumn("file_year", file_year(F.col("_metadata.file_path"))))
     parts.append(spark.createDataFrame([], StructType([*known.fields]).add("file_year", IntegerType())))
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

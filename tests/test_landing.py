@@ -133,6 +133,17 @@ def test_headers_of_different_order_and_extent(spark, tmp_path):
         files.read_us_raw(spark, str(tmp_path))
 
 
+def test_paths_with_signs_and_spaces(spark, tmp_path):
+    folder = tmp_path / "a b" / "100% 数+x"
+    land(folder, "2024-06-13", [bar("2024-06-13", "A")], name="{} x#1.csv.gz")
+    land(folder, "2023-06-13", [bar("2023-06-13", "B")], US[::-1], "{}+y.csv.gz")
+    assert {(r.ticker, r.file_year) for r in files.read_us_raw(spark, str(tmp_path / "a b")).collect()} == {("A", 2024), ("B", 2023)}
+    assert jobs.build_us_bars(spark, str(tmp_path / "a b"), str(tmp_path / "db 1")) == [2023, 2024] and jobs.build_us_bars(spark, str(tmp_path / "a b"), str(tmp_path / "db 1")) == []
+    (folder / "2024-06-14.csv.gz").write_bytes(gzip.compress(b"no,header\n"))
+    with pytest.raises(ValueError, match="2024-06-14"):
+        files.read_us_raw(spark, str(tmp_path / "a b"))
+
+
 def test_files_against_the_calendar(spark, tmp_path):
     calendar = calendars.trading_calendar(spark, "2024-06-12", "2024-06-20")
     for day in ("2024-06-12", "2024-06-13", "2024-06-15", "2024-06-19"):
