@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tapegrid.llm import ball_tree, decontamination, hilbert_sharding, language_id, near_dedup, pattern_packing, prefix_trie, secret_forest, site_quality, substring_dedup, token_counts, whitening, word_bpe
 from tapegrid.llm.common import table
+from tapegrid.llm.hilbert_sql import hilbert_sql
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,4 +224,5 @@ SQL: dict[str, str] = {
         SELECT doc_id, item_id, similarity, CAST(matched AS BIGINT) AS matched, CAST(compared AS BIGINT) AS compared, CAST(begins AS BIGINT) AS "at", totals.hits FROM good JOIN totals USING (doc_id, item_id)
         QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, matched DESC, begins) = 1
     """,
+    "op8_hilbert_sharding": hilbert_sql({"lang": True, "source": True, "n_chars": False, "doc_id": False}, 40, hilbert_sharding.BITS),
 }
