@@ -265,10 +265,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spans = map_arrow(around.repartition(n, "anchor").sortWithinPartitions("anchor"), covered, "key long, start long, stop long")
     in_text = lambda at: F.col(at).bitwiseAND((1 << _ORDER_BITS) - 1).alias(at)
     by_key = spans.groupBy("key", F.shiftright("start", _ORDER_BITS).alias("ord")).agg(F.array_sort(F.collect_list(F.struct(in_text("start"), in_text("stop")))).alias("spans"))
-    by_key = cut_lineage(by_key)
-    with_spans = by_key.select("key", "ord")
-    if with_spans.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:  # 16 bytes each; texts without spans aren't shuffled
-        texts = texts.join(F.broadcast(with_spans), ["key", "ord"], "left_semi")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
