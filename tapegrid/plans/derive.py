@@ -19,11 +19,16 @@ def _micros(ts) -> F.Column:
 
 
 def us_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten tickers of one-minute bars: events by type and half of the users."""
+    """Ten tickers of one-minute bars: events by type and half of the users.
+
+    Volumes are added in order of event_id: another order may put a sum that ends in .5 beside it, and its rounding one off.
+    """
     e = table(spark, sf_dir, "events")
     ticker = F.concat("event_type", F.lit("."), F.when(F.col("user_id") % 2 == 0, "A").otherwise("B"))
-    bars = e.groupBy(ticker.alias("ticker"), F.date_trunc("MINUTE", "ts").cast("timestamp_ntz").alias("m")).agg(
-        F.sum("value").alias("volume"), F.min_by("value", "event_id").alias("open"), F.max_by("value", "event_id").alias("close"), F.max("value").alias("high"), F.min("value").alias("low"), F.count("*").alias("transactions")
+    rows = e.select(ticker.alias("ticker"), F.date_trunc("MINUTE", "ts").cast("timestamp_ntz").alias("m"), "event_id", "value")
+    so_far = Window.partitionBy("ticker", "m").orderBy("event_id", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bars = rows.withColumns({"total": F.sum("value").over(so_far), "nth": F.row_number().over(so_far)}).groupBy("ticker", "m").agg(
+        F.max_by("total", "nth").alias("volume"), F.min_by("value", "event_id").alias("open"), F.max_by("value", "event_id").alias("close"), F.max("value").alias("high"), F.min("value").alias("low"), F.count("*").alias("transactions")
     )
     return bars.withColumn("window_start", _micros(F.col("m")) * 1000).drop("m")
 

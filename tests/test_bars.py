@@ -148,3 +148,32 @@ def test_actions_of_all_suppliers_and_years(spark, tmp_path):
     assert actions == {("S7", "1996-05-01", 2.0, 0.0), ("S7", "1994-05-01", 2.0, 0.0), ("S25", "1996-05-01", 3.0, 0.0), ("S25", "1997-05-01", 1.0, 0.04)}
     adjusted = {(r.symbol, r.trade_date): r.close_adj for r in queries.adjusted_close(spark, str(tmp_path)).collect()}
     assert adjusted == {("S7", "1993-01-01"): 25.0, ("S7", "1995-01-01"): 50.0, ("S7", "1997-01-01"): 100.0, ("S25", "1993-01-01"): 30.0}
+
+
+def events_file(spark, folder, rows):
+    """A table of events (id, minute, user, value) whose rows are stored in this order."""
+    start = dt.datetime(2024, 1, 4, 15, 0)
+    events = [(i, start + dt.timedelta(minutes=m, seconds=i), user, "click", value) for i, m, user, value in rows]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
+
+
+def of_sql(folder, name):
+    """Rows of a query's SQL over events in order of event_id, on one thread."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"CREATE TABLE events AS SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM read_parquet('{folder}/events.parquet/*.parquet') ORDER BY event_id")
+    sql = con.sql(entry.oracle_sql()[name])
+    return sql.columns, sorted(sql.limit(10**6).fetchall())
+
+
+@pytest.mark.parametrize("name,place,values", [("bar_amount", 2, [round(3.65 * 112, 4), round(3.97 * 177, 4)])])
+def test_halves_of_volumes_follow_the_order_of_events(spark, tmp_path, name, place, values):
+    """Added by id the volumes are just above 111.5 and below 177.5; the other way round they are these numbers."""
+    rows = [(1, 0, 2, 92.26), (2, 0, 2, 15.59), (3, 0, 2, 3.65), (4, 1, 2, 88.07), (5, 1, 2, 85.46), (6, 1, 2, 3.97)]
+    events_file(spark, tmp_path, rows[::-1])
+    columns, theirs = of_sql(tmp_path, name)
+    ours = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).select(*columns).collect())
+    assert ours == theirs and [r[place] for r in ours] == values
