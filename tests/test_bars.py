@@ -169,7 +169,7 @@ def of_sql(folder, name):
     return sql.columns, sorted(sql.limit(10**6).fetchall())
 
 
-@pytest.mark.parametrize("name,place,values", [("bar_amount", 2, [round(3.65 * 112, 4), round(3.97 * 177, 4)])])
+@pytest.mark.parametrize("name,place,values", [("bar_amount", 2, [round(3.65 * 112, 4), round(3.97 * 177, 4)]), ("us_minute", 6, [112, 177])])
 def test_halves_of_volumes_follow_the_order_of_events(spark, tmp_path, name, place, values):
     """Added by id the volumes are just above 111.5 and below 177.5; the other way round they are these numbers."""
     rows = [(1, 0, 2, 92.26), (2, 0, 2, 15.59), (3, 0, 2, 3.65), (4, 1, 2, 88.07), (5, 1, 2, 85.46), (6, 1, 2, 3.97)]
