@@ -40,12 +40,14 @@ def us_minute(raw: DataFrame) -> DataFrame:
     )
 
 
-def _daily(bars: DataFrame, amount: Column, volume: Column, source: str) -> DataFrame:
-    """bars: symbol, trade_date, ts, prices. First and last skip null prices."""
+def _daily(bars: DataFrame, amount: Column, volume: Column, source: str, tie: str | None = None) -> DataFrame:
+    """bars: symbol, trade_date, ts, prices. First and last skip null prices; of rows of the same time the one of the smallest tie, if given, is taken for both."""
 
     def edge(pick, column: str) -> Column:
-        known = F.when(F.col(column).isNotNull(), F.col("ts"))
-        return pick(column, known)
+        at = F.col("ts")
+        if tie:
+            at = F.struct("ts", F.col(tie) if pick is F.min_by else -F.col(tie))
+        return pick(column, F.when(F.col(column).isNotNull(), at))
 
     year = [F.max("year").alias("year")] if "year" in bars.columns else []
     return bars.groupBy("symbol", "trade_date").agg(
@@ -87,11 +89,14 @@ def cn_minute(raw: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def cn_daily(raw: DataFrame, kind: str) -> DataFrame:
-    """Daily bars over all rows of a day, auctions included, with the true amount."""
+def cn_daily(raw: DataFrame, kind: str, tie: str | None = None) -> DataFrame:
+    """Daily bars over all rows of a day, auctions included, with the true amount.
+
+    tie: a column of numbers that orders rows of one symbol and time (codes that share a symbol); without one any of them may be first or last.
+    """
     volume = F.col("volume") if kind == "stock" else F.lit(0.0)
-    rows = raw.select(cn_symbol(kind).alias("symbol"), "ts", trade_date(F.col("ts")).alias("trade_date"), *_PRICES, volume.alias("volume"), "amount", *_file_year(raw, F.col("ts")))
-    return _daily(rows, F.sum("amount"), _whole(F.sum("volume")), CN_SOURCE)
+    rows = raw.select(cn_symbol(kind).alias("symbol"), "ts", trade_date(F.col("ts")).alias("trade_date"), *_PRICES, volume.alias("volume"), "amount", *([tie] if tie else []), *_file_year(raw, F.col("ts")))
+    return _daily(rows, F.sum("amount"), _whole(F.sum("volume")), CN_SOURCE, tie)
 
 
 def cn_union(stocks: DataFrame, indexes: DataFrame) -> DataFrame:

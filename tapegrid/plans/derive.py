@@ -67,12 +67,12 @@ def features(spark: SparkSession, sf_dir: str, market: str = "event_type") -> Da
 
 
 def cn_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock rows: a code for each user, a minute's first event as price."""
+    """Stock rows: a code for each user, a minute's first event as price. first_event orders the rows of one minute as they stand in the table."""
     e = table(spark, sf_dir, "events")
     code = F.concat(F.when(F.col("user_id") % 2 == 0, "sh").otherwise("sz"), F.lpad(F.col("user_id").cast("string"), 6, "0"))
     minute = F.date_trunc("MINUTE", "ts").cast("timestamp_ntz")
     rows = e.groupBy(minute.alias("ts"), code.alias("code")).agg(
-        F.min_by("value", "event_id").alias("open"), F.max_by("value", "event_id").alias("close"), F.max("value").alias("high"), F.min("value").alias("low"), F.sum(F.floor("value")).cast("double").alias("volume"), F.sum(F.col("value") * 10).alias("amount")
+        F.min_by("value", "event_id").alias("open"), F.max_by("value", "event_id").alias("close"), F.max("value").alias("high"), F.min("value").alias("low"), F.sum(F.floor("value")).cast("double").alias("volume"), F.sum(F.col("value") * 10).alias("amount"), F.min("event_id").alias("first_event")
     )
     return rows.withColumn("name", F.concat(F.lit("N"), F.col("code"), F.date_format("ts", "HH")))
 

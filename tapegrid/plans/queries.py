@@ -160,7 +160,7 @@ def cn_daily(spark, sf_dir):
 @query
 def cn_index_daily(spark, sf_dir):
     index = D.cn_raw(spark, sf_dir).withColumn("code", F.concat(F.when(F.col("code").startswith("sh"), "39").otherwise("899"), F.substring("code", 5, 10))).drop("volume")
-    return rounded(bars.cn_daily(index, "index"), 4)
+    return rounded(bars.cn_daily(index, "index", tie="first_event"), 4)
 
 
 @query

@@ -153,7 +153,7 @@ def test_actions_of_all_suppliers_and_years(spark, tmp_path):
 def events_file(spark, folder, rows):
     """A table of events (id, minute, user, value) whose rows are stored in this order."""
     start = dt.datetime(2024, 1, 4, 15, 0)
-    events = [(i, start + dt.timedelta(minutes=m, seconds=i), user, "click", value) for i, m, user, value in rows]
+    events = [(i, start + dt.timedelta(minutes=m), user, "click", value) for i, m, user, value in rows]
     spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
 
 
@@ -177,3 +177,15 @@ def test_halves_of_volumes_follow_the_order_of_events(spark, tmp_path, name, pla
     columns, theirs = of_sql(tmp_path, name)
     ours = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).select(*columns).collect())
     assert ours == theirs and [r[place] for r in ours] == values
+
+
+def test_codes_that_share_an_index_take_the_first_row_of_a_minute(spark, tmp_path):
+    """Users 10,000 apart have one index: of their rows of the first and of the last minute the one of the smaller event_id counts."""
+    rows = [(4 * k + place, minute, user, 10.0 * k + place + minute) for k in range(1, 31) for minute in (0, 9) for place, user in enumerate((k, k + 10_000) if k % 3 else (k + 10_000, k))]
+    rows = [(i + (1000 if minute else 0), minute, user, value) for i, minute, user, value in rows]
+    events_file(spark, tmp_path, rows[::-1])
+    columns, theirs = of_sql(tmp_path, "cn_index_daily")
+    found = queries.cn_index_daily(spark, str(tmp_path)).select(*columns)
+    ours = sorted(tuple(r) for r in found.collect())
+    assert ours == theirs and len(ours) == 30
+    assert {(r.symbol, r.open, r.close) for r in found.collect()} == {(f"39{k:04}.SZ" if k % 2 == 0 else f"899{k:04}.BJ", 10.0 * k, 10.0 * k + 9) for k in range(1, 31)}
