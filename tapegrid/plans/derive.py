@@ -18,6 +18,12 @@ def _micros(ts) -> F.Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def _minutes(ts) -> F.Column:
+    """Whole minutes of a naive time since 1970, from its parts: date_trunc and timestamp_diff go through the session's zone, and shift an hour that its clocks skip."""
+    naive = ts.cast("timestamp_ntz")
+    return F.unix_date(naive.cast("date")).cast("long") * 1440 + F.hour(naive) * 60 + F.minute(naive)
+
+
 def us_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten tickers of one-minute bars: events by type and half of the users.
 
@@ -25,12 +31,12 @@ def us_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     e = table(spark, sf_dir, "events")
     ticker = F.concat("event_type", F.lit("."), F.when(F.col("user_id") % 2 == 0, "A").otherwise("B"))
-    rows = e.select(ticker.alias("ticker"), F.date_trunc("MINUTE", "ts").cast("timestamp_ntz").alias("m"), "event_id", "value")
+    rows = e.select(ticker.alias("ticker"), _minutes(F.col("ts")).alias("m"), "event_id", "value")
     so_far = Window.partitionBy("ticker", "m").orderBy("event_id", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bars = rows.withColumns({"total": F.sum("value").over(so_far), "nth": F.row_number().over(so_far)}).groupBy("ticker", "m").agg(
         F.max_by("total", "nth").alias("volume"), F.min_by("value", "event_id").alias("open"), F.max_by("value", "event_id").alias("close"), F.max("value").alias("high"), F.min("value").alias("low"), F.count("*").alias("transactions")
     )
-    return bars.withColumn("window_start", _micros(F.col("m")) * 1000).drop("m")
+    return bars.withColumn("window_start", F.col("m") * 60 * 10**9).drop("m")
 
 
 def tape(spark: SparkSession, sf_dir: str, market: str = "event_type") -> DataFrame:

@@ -189,3 +189,18 @@ def test_codes_that_share_an_index_take_the_first_row_of_a_minute(spark, tmp_pat
     ours = sorted(tuple(r) for r in found.collect())
     assert ours == theirs and len(ours) == 30
     assert {(r.symbol, r.open, r.close) for r in found.collect()} == {(f"39{k:04}.SZ" if k % 2 == 0 else f"899{k:04}.BJ", 10.0 * k, 10.0 * k + 9) for k in range(1, 31)}
+
+
+def test_minutes_that_the_clocks_of_a_session_skip(spark, tmp_path):
+    """02:00 to 02:59 isn't there on 2024-03-10 in New York; as naive UTC it is, and its events aren't those of 03:00 to 03:59."""
+    times = [dt.datetime(1969, 12, 31, 23, 59, 30), *(dt.datetime(2024, 3, 10, h, 30, 5) for h in (1, 2, 3)), *(dt.datetime(2024, 11, 3, h, 30, 5) for h in (5, 6))]
+    events = [(i, ts, 2, "click", 10.25 * (i + 1)) for i, ts in enumerate(times)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    columns, theirs = of_sql(tmp_path, "us_minute")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        ours = sorted(tuple(r) for r in queries.us_minute(spark, str(tmp_path)).select(*columns).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert ours == theirs and len(ours) == len(times)
